@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import media, mixing, near_dup, sharding, shared, token_shards
+from sparkloom.llm import decontaminate, media, mixing, near_dup, sharding, shared, token_shards, toxicity
 
 END_ID = 2
 SHARDS = 40
@@ -22,6 +22,10 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_shards(shared.read_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op2_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(shared.read_table(spark, sf_dir, "documents"), shared.read_table(spark, sf_dir, "labels"))
+
+
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(shared.read_table(spark, sf_dir, "documents"), words=4, part=80, whole=100)
 
@@ -38,12 +42,18 @@ def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(shared.read_table(spark, sf_dir, "documents"))
 
 
+def op9_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(shared.read_table(spark, sf_dir, "documents"), shared.read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_toxicity_neighbours": op2_toxicity_neighbours,
     "op3_minhash_near_dup": op3_minhash_near_dup,
     "op4_telephony_media": op4_telephony_media,
     "op5_karmarkar_karp_shards": op5_karmarkar_karp_shards,
     "op6_entropy_mix": op6_entropy_mix,
+    "op9_edit_decontamination": op9_edit_decontamination,
 }
 
 ORACLES: dict[str, str] = {
