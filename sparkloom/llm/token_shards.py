@@ -20,7 +20,10 @@ row ``j`` of all blocks is shifted into its word at once.
 
 from __future__ import annotations
 
+import array
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -156,6 +159,61 @@ class Shard:
         return out.reshape(-1)[start - first * BLOCK : end - first * BLOCK]
 
 
+_LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: The published byte-level pre-tokenization, its classes spelt out for Latin letters.
+_PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
+)
+#: Texts with other characters go through the library's own pre-tokenizer.
+_OTHER = re.compile("[^\t\n\r -~\u00a1-\u017f]")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte to character of byte-level vocabularies: printable ones stand for themselves."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class CachedEncoder:
+    """Byte-level BPE ids of whole texts as little-endian uint32 bytes.
+
+    BPE works on one pre-token at a time, and corpora repeat theirs, so a task keeps the ids of up
+    to ``CACHE`` pre-tokens. The library's model encodes each one that is new."""
+
+    CACHE = 400_000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
+        spec = json.loads(self.tokenizer.to_str())
+        kind = spec["pre_tokenizer"] or {}
+        self.plain = spec["normalizer"] is None and kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"]
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self.plain and not _OTHER.search(t)]
+        split = [_PIECES.findall(texts[i]) for i in plain]
+        known = self.known
+        if len(known) > self.CACHE:
+            known.clear()
+        for piece in set().union(*split).difference(known):
+            mapped = piece.encode().decode("latin-1").translate(self.alphabet)
+            known[piece] = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        for i, own in zip(plain, split, strict=True):
+            out[i] = b"".join(map(known.__getitem__, own))
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, one in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array.array("I", one.ids).tobytes()
+        return out
+
+
 def _put(folder: str, name: str, data: bytes) -> None:
     """Write beside, then move: a repeated attempt of the task leaves the same whole file."""
     target, path = fs.FileSystem.from_uri(folder)
@@ -188,11 +246,8 @@ def write_token_shards(
     ordered = ordered.repartitionByRange(shared.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
+        encode = CachedEncoder(tokenizer)
+        end = np.array([end_id], "<u4").tobytes()
         part, made = TaskContext.get().partitionId(), []
         parts: list[np.ndarray] = []
         names: list[int | None] = []
@@ -209,10 +264,9 @@ def write_token_shards(
         held = 0
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 64):
-                encoded = model.encode_batch_fast(texts[at : at + 64].to_pylist(), add_special_tokens=False)
-                for doc_id, one in zip(doc_ids[at : at + 64], encoded, strict=True):
-                    ids = np.array([*one.ids, end_id], np.uint32)
+            for at in range(0, len(doc_ids), 256):
+                for doc_id, raw in zip(doc_ids[at : at + 256], encode(texts[at : at + 256].to_pylist()), strict=False):
+                    ids = np.frombuffer(raw + end, "<u4")
                     parts.append(ids), names.append(doc_id), sizes.append(len(ids))
                     held += len(ids)
                     if held >= shard_ids:
