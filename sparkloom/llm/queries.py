@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontaminate, media, mixing, near_dup, sharding, shared, token_shards, toxicity
+from sparkloom.llm import chat, decontaminate, media, mixing, near_dup, quality, sharding, shared, token_shards, toxicity, wrapper
 
 END_ID = 2
 SHARDS = 40
@@ -42,10 +42,25 @@ def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(shared.read_table(spark, sf_dir, "documents"))
 
 
+def op7_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(shared.read_table(spark, sf_dir, "pages"))
+
+
+def op8_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = shared.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], turns.schema)
+    return chat.format_and_read_back(turns.union(extra))
+
+
 def op9_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(shared.read_table(spark, sf_dir, "documents"), shared.read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(shared.read_table(spark, sf_dir, "documents"), shared.read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op2_toxicity_neighbours": op2_toxicity_neighbours,
@@ -53,7 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_telephony_media": op4_telephony_media,
     "op5_karmarkar_karp_shards": op5_karmarkar_karp_shards,
     "op6_entropy_mix": op6_entropy_mix,
+    "op7_wrapper_extraction": op7_wrapper_extraction,
+    "op8_typed_chat": op8_typed_chat,
     "op9_edit_decontamination": op9_edit_decontamination,
+    "op10_co_trained_quality": op10_co_trained_quality,
 }
 
 ORACLES: dict[str, str] = {
