@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, queries, shared, token_shards
+from sparkloom.llm import decontaminate, mixing, near_dup, queries, shared, token_shards, toxicity
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that nearest labelled examples call toxic."""
+    return toxicity.without_toxic(docs, shared.read_table(spark, sf_dir, "labels"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: five-word shingles, similarity 0.8."""
+    return near_dup.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item within its edits."""
+    return decontaminate.decontaminated(docs, shared.read_table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +33,9 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", clean),
+    ("near_duplicates", deduplicated),
+    ("decontamination", decontaminated),
     ("mixing", mixed),
     ("token_ids", tokenized),
 ]

@@ -128,6 +128,16 @@ class Matcher:
         return out
 
 
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items, normalized, in blocks of about ``PASS_BYTES`` of texts, whatever their number."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = 1 + size // PASS_BYTES
+    for k in range(passes):
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
+        yield [(r["item_id"], normalized(r["text"])) for r in own.collect()]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, distance, end_char) for each item of ``benchmark(item_id, text)`` that is in a
     document within its edits. Offsets count characters of the normalized text.
@@ -135,14 +145,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     Null and empty texts match nothing; repeated rows of ``docs`` give repeated matches; items of
     equal text match alike; further columns are ignored. No items or documents give no rows.
     """
-    items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = 1 + size // PASS_BYTES
     schema, out = "doc_id long, item_id long, distance int, end_char int", None
-    for k in range(passes):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-        # about PASS_BYTES of texts, whatever the benchmark's size
-        block = [(r["item_id"], normalized(r["text"])) for r in own.collect()]
+    for block in _passes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
@@ -164,9 +168,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; all their columns.
+    """``docs`` without the rows that hold a benchmark item; all their columns."""
+    for block in _passes(benchmark):
+
+        def make(block=block):
+            matcher = Matcher(block, rate)
+            return lambda text: not matcher(text)
 
-    The leaks are written first, so the texts are matched once. Rows without doc_id are judged by
-    their own text: they carry no id to join on, so they are matched in place."""
-    leaks, _ = shared.staged(matches(docs.where("doc_id is not null"), benchmark, rate).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti")
+        docs = shared.rows_where(docs, make)
+    return docs

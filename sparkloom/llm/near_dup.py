@@ -292,3 +292,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
     out = named.select("doc_id", "n_shingles", "component_id").union(rest)
     shared.drop_paths(spark, buckets_path, best_path, links_path, joined_path, found_path, more_path)
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """``docs`` with one document of each component: the smallest doc_id, once; all its columns.
+
+    Rows without text are in no component and stay, as do rows without doc_id."""
+    found, _ = shared.staged(near_duplicates(docs, words, part, whole).where("not kept").select("doc_id"), "near-removed")
+    left = docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    repeated, _ = shared.staged(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "near-repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The white space of all word contracts: bytes 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,5 +69,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:
-    return T.StructType([*schema.fields, *fields])
+def rows_where(docs: DataFrame, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of ``docs`` whose whole text passes, with all columns as they are and no shuffle.
+
+    ``make`` runs once in each task and returns the test of one text."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(t.as_py()) for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -299,3 +299,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on ``labels(doc_id, toxic)`` and score every row of ``docs(doc_id, text)``."""
     return scored(docs, fit(docs, labels))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def make():
+        own = shipped.value
+        vectorize = Vectorizer(own.idf)
+        return lambda text: own.score(own.index.search(*vectorize(text), NEIGHBOURS)) < threshold
+
+    return shared.rows_where(docs, make)
