@@ -10,17 +10,21 @@ Steps, each over all documents:
    best such partner of each document is confirmed on the full sets, and alternating large-star
    and small-star turns the links into components.
 4. Buckets that still hold several components are compared in blocks of ``BLOCK`` members, pairs
-   of one component left out, until no pair of a bucket is left undecided. Pairs that pass by
-   signature are confirmed on the full sets, and the components are joined again.
+   of one component left out. First by signature, which leaves the members that have a partner at
+   all; then these on their full sets, where a task hands on only links that join components it
+   has not joined yet. A pair is compared in the first band that it shares. The components are
+   joined again with these links.
 
 A signature passes unless it is ``SIGMAS`` standard deviations below the threshold. No bucket is
-capped. In large groups of copies step 3 leaves one component, so step 4 has no work there.
+capped. In large groups of copies step 3 leaves one component, so step 4 has little work there.
+Full sets are made anew from the texts where they are needed, in one scan without a shuffle: a
+bitmap of fixed size keeps out most other documents before a join takes the exact ones.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 SIGMAS = 5.5
 BLOCK = 256
+#: Bits of the map that keeps other documents out of a scan for full sets.
+MAP_BITS = 1 << 26
 #: Distinct words whose hashes a task keeps at once.
 WORD_CACHE = 400_000
 
@@ -121,16 +127,29 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles int, set_id binary, bands array<long>, sig binary")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles): each whole set, as the bytes of its sorted hashes."""
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> tuple[DataFrame, str]:
+    """(doc_id, shingles) for the doc_ids of ``wanted``, and the table's path: each whole set, as the
+    bytes of its sorted hashes. Of rows with one doc_id, one counts."""
+    spark = docs.sparkSession
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    parts = wanted.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("place"))
+    bitmap = np.zeros(MAP_BITS // 64, np.int64)
+    # whatever the input, at most MAP_BITS / 64 rows
+    for row in parts.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits")).toLocalIterator():
+        bitmap[row["word"]] = row["bits"]
+    shipped = spark.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle, known = Shingler(words), shipped.value
         for batch in batches:
-            sets = [shingle(bytes(v.as_buffer())).tobytes() if v.is_valid else b"" for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            place = batch.column(2).to_numpy()
+            here = pa.array((known[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1) == 1)
+            rows = batch.filter(here)
+            sets = [shingle(bytes(v.as_buffer())).tobytes() if v.is_valid else b"" for v in rows.column(1)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    made = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, shingles binary")
+    return shared.staged(made.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-sets")
 
 
 def signature_matches(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -148,11 +167,17 @@ def signature_matches(pairs: DataFrame, sketches: DataFrame, least: int) -> Data
     return both.mapInArrow(run, "a long, b long, same int")
 
 
+def passes(left: np.ndarray, right: np.ndarray, part: int, whole: int) -> bool:
+    """Whether two sets, sorted, have whole * intersection >= part * union."""
+    joined = np.concatenate([left, right])
+    joined.sort(kind="stable")
+    common = int((joined[1:] == joined[:-1]).sum())
+    return whole * common >= part * (len(joined) - common) > 0
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, part: int, whole: int) -> tuple[DataFrame, str]:
     """``pairs(a, b)`` with whole * intersection >= part * union on their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets, path = shared.staged(full_sets(texts, words), "near-sets")
+    sets, path = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +185,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, part: int, whole: i
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 left, right = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(whole * common >= part * (len(left) + len(right) - common) > 0)
+                keep.append(passes(left, right, part, whole))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
@@ -195,60 +219,101 @@ def star_components(links: DataFrame) -> DataFrame:
     return edges.toDF("node", "component").union(edges.select("v", "v").distinct())
 
 
-def block_matches(members: DataFrame, least: int, part: int, whole: int) -> DataFrame:
-    """Pairs of different components within each bucket of ``members(key, rep, comp, n_shingles,
-    sig, n)`` that pass by size and signature. A large bucket is dealt out in pairs of blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n_shingles", "sig")
-    width = shared.partitions(members.sparkSession)
-    dealt = placed.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(own, other, reps, comps, sizes, sigs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        inner = own == other
-        for x in range(len(reps)):
-            rest = slice(x + 1, None)
-            # in a pair of two blocks, only members of different blocks meet; the rest meet in (i, i)
-            meet = comps[rest] != comps[x]
-            if not inner.all():
-                meet &= own[rest] != own[x]
-            low, high = np.minimum(sizes[rest], sizes[x]), np.maximum(sizes[rest], sizes[x])
-            near = x + 1 + np.flatnonzero(meet & (whole * low >= part * high))
-            if len(near):
-                near = near[(sigs[near] == sigs[x]).sum(axis=1) >= least]
-                if len(near):
-                    yield np.minimum(reps[near], reps[x]), np.maximum(reps[near], reps[x])
+def in_groups(rows: DataFrame, work: Callable[[pa.Table], list[pa.Array]], schema: str) -> DataFrame:
+    """``work`` on each group (key, i, j) of ``rows``, groups dealt out by hash and streamed in order.
+
+    A task holds one group, two blocks at most, and the batch that it came with."""
+    width = shared.partitions(rows.sparkSession)
+    dealt = rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-            i, j, own, rep, comp, size = (table.column(c).to_numpy() for c in ("i", "j", "own", "rep", "comp", "n_shingles"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-            left, right = [], []
+        def done(table: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
             for at, end in zip([0, *ends[:-1]], ends, strict=True):
-                span = slice(at, end)
-                other = np.where(own[span] == i[span], j[span], i[span])
-                for a, b in compare(own[span], other, rep[span], comp[span], size[span], sig[span]):
-                    left.append(a), right.append(b)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                if end - at > 1:
+                    out = pa.RecordBatch.from_arrays(work(table.slice(at, end - at)), names)
+                    if out.num_rows:
+                        yield out
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([*held, batch])
             key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
-            ends = 1 + np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-            if len(ends):
-                yield from done(table.slice(0, ends[-1]), ends)
-            held = table.slice(ends[-1] if len(ends) else 0).to_batches()
+            ends = (1 + np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))).tolist()
+            if ends:
+                yield from done(table, ends)
+            held = table.slice(ends[-1] if ends else 0).to_batches()
         if held:
             table = pa.Table.from_batches(held)
-            yield from done(table, np.array([table.num_rows]))
-
-    return dealt.mapInArrow(run, "a long, b long")
+            yield from done(table, [table.num_rows])
+
+    return dealt.mapInArrow(run, schema)
+
+
+class Group:
+    """The members of a group (key, i, j) and which of them may be linked."""
+
+    def __init__(self, table: pa.Table, least: int, part: int, whole: int):
+        self.key = table.column("key")[0].as_py()
+        self.own, self.rep, self.comp, self.size = (table.column(c).to_numpy() for c in ("own", "rep", "comp", "n_shingles"))
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        self.least, self.part, self.whole = least, part, whole
+
+    def partners(self, x: int, comp: np.ndarray) -> np.ndarray:
+        """Later members of another component that pass with ``x`` by size and signature, if this
+        key is the first band that both share. In a pair of two blocks, only members of different
+        blocks meet."""
+        meet = comp[x + 1 :] != comp[x]
+        if not self.inner:
+            meet &= self.own[x + 1 :] != self.own[x]
+        low, high = np.minimum(self.size[x + 1 :], self.size[x]), np.maximum(self.size[x + 1 :], self.size[x])
+        near = x + 1 + np.flatnonzero(meet & (self.whole * low.astype(np.int64) >= self.part * high))
+        near = near[(self.sig[near] == self.sig[x]).sum(axis=1) >= self.least]
+        same = self.bands[near] == self.bands[x]
+        return near[self.bands[x][same.argmax(axis=1)] == self.key] if len(near) else near
+
+
+def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int, least: int, part: int, whole: int) -> DataFrame:
+    """Links (a, b) that join all components within each bucket of ``members(key, rep, comp, n)``."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
+    light = reps.select("rep", "n_shingles", "sig", "bands")
+
+    def with_partner(table: pa.Table) -> list[pa.Array]:
+        group = Group(table, least, part, whole)
+        found = np.zeros(len(group.rep), bool)
+        for x in range(len(found)):
+            near = group.partners(x, group.comp)
+            if len(near):
+                found[near] = found[x] = True
+        keep = table.filter(pa.array(found)).combine_chunks()
+        return [keep.column(c).combine_chunks() for c in ("key", "i", "j", "own", "rep", "comp")]
+
+    schema = "key long, i int, j int, own int, rep long, comp long"
+    open_, open_path = shared.staged(in_groups(placed.join(light, "rep"), with_partner, schema), "near-open")
+    sets, sets_path = full_sets(docs, open_.select(F.col("rep").alias("doc_id")), words)
+
+    def joining(table: pa.Table) -> list[pa.Array]:
+        group = Group(table, least, part, whole)
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        comp, left, right = group.comp.copy(), [], []
+        for x in range(len(comp)):
+            for y in group.partners(x, comp):
+                if comp[x] != comp[y] and passes(shingles[x], shingles[y], part, whole):
+                    left.append(group.rep[x]), right.append(group.rep[y])
+                    comp[comp == comp[y]] = comp[x]
+        return [pa.array(left, pa.int64()), pa.array(right, pa.int64())]
+
+    full = open_.join(light, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    links, _ = shared.staged(in_groups(full, joining, "a long, b long"), "near-more")
+    shared.drop_paths(docs.sparkSession, open_path, sets_path)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -279,10 +344,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
 
     located = buckets.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     mixed = located.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    open_ = located.join(mixed, "key").select("key", "rep", "comp", "n").join(reps.select("rep", "n_shingles", "sig"), "rep")
-    found = block_matches(open_, least, part, whole).distinct()
-    found, found_path = shared.staged(found, "near-found")
-    more, more_path = confirmed(found, known, words, part, whole)
+    more = block_links(located.join(mixed, "key").select("key", "rep", "comp", "n"), reps, known, words, least, part, whole)
     stars = joined.where("node != component").toDF("a", "b").union(more)
     components, _ = shared.staged(star_components(stars), "near-components")
     named = usable.select("doc_id", "n_shingles", "set_id").join(reps.select("set_id", "rep"), "set_id")
@@ -290,7 +352,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
     named = named.join(components.toDF("rep", "component_id"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     rest = sketches.where("doc_id is null or set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = named.select("doc_id", "n_shingles", "component_id").union(rest)
-    shared.drop_paths(spark, buckets_path, best_path, links_path, joined_path, found_path, more_path)
+    shared.drop_paths(spark, buckets_path, best_path, links_path, joined_path)
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
