@@ -66,7 +66,7 @@ def entropy_rates(sources: DataFrame, steps: int = NEWTON_STEPS, tolerance: floa
 
     tilt = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda tilt, _: step(tilt))
     solved = sources.withColumn("tilt", F.when(live, tilt))
-    return solved.withColumn("rate", F.coalesce(F.least(F.exp("tilt"), F.lit(float(MOST_COPIES))), F.lit(0.0)))
+    return solved.withColumn("rate", F.when(live, F.least(F.exp("tilt"), F.lit(float(MOST_COPIES)))).otherwise(0.0))
 
 
 def source_table(sized: DataFrame) -> DataFrame:
@@ -78,15 +78,12 @@ def source_table(sized: DataFrame) -> DataFrame:
     return entropy_rates(water_level(totals.withColumn("rank", rank).withColumn("weight", weight)))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` with size, source_size, target, rate and copies added.
+def with_copies(sized: DataFrame) -> DataFrame:
+    """``sized(doc_id, source, size, row)`` with source_size, target, rate and copies.
 
-    Sizes are words. A null text has size 0, a null source is a source of its own. A document
-    without words adds nothing, so it gets the rounded rate. Columns of the added names are
-    replaced; rows of one doc_id are separate documents, ordered by size.
+    A document without words adds nothing, so it gets the rounded rate. Rows of one doc_id are
+    separate documents, ordered by size; null doc_ids come first by the hash of nothing.
     """
-    added = ("size", "source_size", "target", "rate", "copies")
-    sized = docs.drop(*added).withColumn("size", shared.word_count(F.col("text")))
     sized = sized.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     sized = sized.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     # one exchange serves the prefix sums and the join: both are keyed by these three
@@ -106,14 +103,20 @@ def copies(docs: DataFrame) -> DataFrame:
     return joined.withColumn("copies", (F.floor("rate") + (middle < missing).cast("long")).cast("long")).drop("_hash", *key, "_upto", "_first")
 
 
+def sized_rows(docs: DataFrame, row: Column) -> DataFrame:
+    """Sizes are words: a null text has 0, and a null source is a source of its own."""
+    return docs.select("doc_id", "source", shared.word_count(F.col("text")).alias("size"), row.alias("row"))
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document of ``docs`` as often as its copies say, the input's columns."""
-    names = docs.columns
-    taken = copies(docs).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    """The mix itself: each document of ``docs(doc_id, text, source, ...)`` as often as its copies say,
+    all its columns as they are."""
+    taken = with_copies(sized_rows(docs, F.struct("*"))).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
-    out = copies(docs.select("doc_id", "text", "source"))
+    """Per document of ``docs(doc_id, text, source)``: doc_id, size, source_size, target, taken (words,
+    repeats counted), copies."""
+    out = with_copies(sized_rows(docs, F.lit(None).cast("int")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
