@@ -258,23 +258,24 @@ def _main(root: Node) -> list[Node]:
 
 
 def blocks(root: Node, template: set[int]) -> list[str]:
-    """Texts of the main region in page order, without the nodes in ``template`` (by id)."""
+    """Texts of the main region in page order, without blocks that hold only nodes in ``template``
+    (by id). A constant part of a varying block is part of its text."""
     out: list[str] = []
-    held: list[str] = []
+    held: list[tuple[str, bool]] = []
 
     def flush() -> None:
-        value = " ".join("".join(held).split())
+        value = " ".join("".join(t for t, _ in held).split())
+        varies = any(not same and t.strip() for t, same in held)
         held.clear()
-        if value:
+        if value and varies:
             out.append(value)
 
     def walk(node: Node) -> None:
         for child in node.children:
             if child.tag == "#":
-                if id(child) not in template:
-                    held.append(child.text)
+                held.append((child.text, id(child) in template))
             elif child.tag == "br":
-                held.append(" ")
+                held.append((" ", True))
             elif not _boilerplate(child, True):
                 block = child.tag in BLOCKS
                 if block:
