@@ -37,11 +37,11 @@ from sparkloom.llm import shared
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 SIGMAS = 5.5
-BLOCK = 256
+BLOCK = 1024
 #: Bits of the map that keeps other documents out of a scan for full sets.
 MAP_BITS = 1 << 26
 #: Distinct words whose hashes a task keeps at once.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240229)
@@ -292,10 +292,11 @@ def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
             near = group.partners(x, group.comp)
             if len(near):
                 found[near] = found[x] = True
-        keep = table.filter(pa.array(found)).combine_chunks()
-        return [keep.column(c).combine_chunks() for c in ("key", "i", "j", "own", "rep", "comp")]
+        keep = table.filter(pa.array(found))
+        return [keep.column(c).combine_chunks() for c in names]
 
-    schema = "key long, i int, j int, own int, rep long, comp long"
+    schema = "key long, i int, j int, own int, rep long, comp long, n_shingles int, sig binary, bands array<long>"
+    names = [x.split()[0] for x in schema.split(", ")]
     open_, open_path = shared.staged(in_groups(placed.join(light, "rep"), with_partner, schema), "near-open")
     sets, sets_path = full_sets(docs, open_.select(F.col("rep").alias("doc_id")), words)
 
@@ -310,7 +311,7 @@ def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
                     comp[comp == comp[y]] = comp[x]
         return [pa.array(left, pa.int64()), pa.array(right, pa.int64())]
 
-    full = open_.join(light, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    full = open_.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     links, _ = shared.staged(in_groups(full, joining, "a long, b long"), "near-more")
     shared.drop_paths(docs.sparkSession, open_path, sets_path)
     return links
