@@ -21,12 +21,14 @@ row ``j`` of all blocks is shifted into its word at once.
 from __future__ import annotations
 
 import array
+import gc
 import json
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -176,13 +178,26 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class PieceIds(dict):
+    """Ids of pre-tokens as little-endian uint32 bytes; one that is new is encoded by the model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.encode, self.alphabet = model.tokenize, _byte_alphabet()
+
+    def __missing__(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = self[piece] = array.array("I", [t.id for t in self.encode(mapped)]).tobytes()
+        return ids
+
+
 class CachedEncoder:
     """Byte-level BPE ids of whole texts as little-endian uint32 bytes.
 
-    BPE works on one pre-token at a time, and corpora repeat theirs, so a task keeps the ids of up
-    to ``CACHE`` pre-tokens. The library's model encodes each one that is new."""
+    BPE works on one pre-token at a time, and corpora repeat theirs, so a task keeps the ids of
+    about ``CACHE`` pre-tokens."""
 
-    CACHE = 400_000
+    CACHE = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -190,30 +205,31 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
+        self.known = PieceIds(self.tokenizer.model)
         spec = json.loads(self.tokenizer.to_str())
         kind = spec["pre_tokenizer"] or {}
         self.plain = spec["normalizer"] is None and kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"]
-        self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if self.plain and not _OTHER.search(t)]
-        split = [_PIECES.findall(texts[i]) for i in plain]
-        known = self.known
-        if len(known) > self.CACHE:
-            known.clear()
-        for piece in set().union(*split).difference(known):
-            mapped = piece.encode().decode("latin-1").translate(self.alphabet)
-            known[piece] = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        for i, own in zip(plain, split, strict=True):
-            out[i] = b"".join(map(known.__getitem__, own))
+        ids_of = self.known.__getitem__
+        if len(self.known) > self.CACHE:
+            self.known.clear()
+        for i, text in enumerate(texts):
+            if self.plain and not _OTHER.search(text):
+                out[i] = b"".join(map(ids_of, _PIECES.findall(text)))
         rest = [i for i, x in enumerate(out) if x is None]
         for i, one in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = array.array("I", one.ids).tobytes()
         return out
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> CachedEncoder:
+    """The encoder that all tasks of a Python worker use in turn."""
+    return CachedEncoder(path)
+
+
 def _put(folder: str, name: str, data: bytes) -> None:
     """Write beside, then move: a repeated attempt of the task leaves the same whole file."""
     target, path = fs.FileSystem.from_uri(folder)
@@ -246,7 +262,8 @@ def write_token_shards(
     ordered = ordered.repartitionByRange(shared.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = CachedEncoder(tokenizer)
+        encode = shared_encoder(tokenizer)
+        gc.disable()  # the loop makes millions of lists and no cycles
         end = np.array([end_id], "<u4").tobytes()
         part, made = TaskContext.get().partitionId(), []
         parts: list[np.ndarray] = []
@@ -274,6 +291,7 @@ def write_token_shards(
                         held = 0
         if names:
             close()
+        gc.enable()
         if made:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)],

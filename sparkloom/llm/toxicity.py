@@ -36,7 +36,7 @@ NEIGHBOURS = 16
 SOFT = 0.05
 #: Terms that a counting task holds before it hands on partial counts.
 HELD_TERMS = 300_000
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
