@@ -10,7 +10,8 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import centrality, community, connect, fuse, graph, mapview, rank, refs
+from sparkloom.operators import centrality, community, fuse, graph, mapview, rank, refs
+from sparkloom.operators import connect as joining
 from sparkloom.operators.seeds import resolve_seeds
 from sparkloom.operators.store import Store, search_titles
 from sparkloom.schemas import TABLES, GraphConfig, LayoutConfig, RecommendConfig
@@ -116,28 +117,28 @@ class Engine:
         ]
         return {"seed_communities": touching, "seed_titles": [m.title for m in matches], "unresolved": unresolved, "bridges": rows}
 
-    def connect(self, seeds: Sequence[str], max_hops: int = connect.MAX_HOPS, objective: str = connect.PRODUCT, min_edge_weight: float = 0.0) -> tuple[connect.Connections, list[str]]:
+    def connect(self, seeds: Sequence[str], max_hops: int = joining.MAX_HOPS, objective: str = joining.PRODUCT, min_edge_weight: float = 0.0) -> tuple[joining.Connections, list[str]]:
         """The structure that joins the seeds, with titles, and the seeds that resolved to nothing."""
         matches, unresolved = resolve_seeds(list(seeds), self.books())
-        found = connect.connect(graph.adjacency(self._graph()), [m.work_id for m in matches], max_hops, objective, min_edge_weight)
+        found = joining.connect(graph.adjacency(self._graph()), [m.work_id for m in matches], max_hops, objective, min_edge_weight)
         ids = list(dict.fromkeys([*found.terminals, *found.missing, *found.nodes]))
         rows = self.books().where(F.col("work_id").isin(*ids or [""])).select("work_id", "title").collect()
         return replace(found, titles={i: i for i in ids} | {r["work_id"]: r["title"] for r in rows}), unresolved
 
-    def compare(self, seeds: Sequence[str], max_hops: int = connect.MAX_HOPS) -> dict[str, connect.Connections]:
+    def compare(self, seeds: Sequence[str], max_hops: int = joining.MAX_HOPS) -> dict[str, joining.Connections]:
         """The same seeds by product, by product above a floor, and by the widest route."""
         return {
             "product": self.connect(seeds, max_hops)[0],
             "product_floor": self.connect(seeds, max_hops, min_edge_weight=COMPARE_FLOOR)[0],
-            "widest": self.connect(seeds, max_hops, connect.WIDEST)[0],
+            "widest": self.connect(seeds, max_hops, joining.WIDEST)[0],
         }
 
-    def route_report(self, sets: Sequence[Sequence[str]], max_hops: int = connect.MAX_HOPS) -> str:
+    def route_report(self, sets: Sequence[Sequence[str]], max_hops: int = joining.MAX_HOPS) -> str:
         """Markdown of the three variants for each seed set, with times."""
         out = ["# Routes", ""]
         for seeds in sets:
             out += [f"## {', '.join(seeds)}", "", "| variant | route | hops | strength | weakest | seconds |", "|-|-|-|-|-|-|"]
-            for name, args in {"product": {}, "product_floor": {"min_edge_weight": COMPARE_FLOOR}, "widest": {"objective": connect.WIDEST}}.items():
+            for name, args in {"product": {}, "product_floor": {"min_edge_weight": COMPARE_FLOOR}, "widest": {"objective": joining.WIDEST}}.items():
                 started = time.time()
                 found, _ = self.connect(seeds, max_hops, **args)
                 took = time.time() - started

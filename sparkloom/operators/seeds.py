@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +74,6 @@ def candidates_of(query: str, books: DataFrame) -> list[tuple[str, str, list[str
         out = list({row[0]: row for word in reversed(words) for row in reversed(found(word))}.values())[::-1] if words else []
     if not out:
         key = title_key(query)
-        import pandas as pd
-
         @F.pandas_udf("double")
         def score(titles: pd.Series, authors: pd.Series) -> pd.Series:
             return pd.Series([seed_score(key, t, a) for t, a in zip(titles, authors, strict=True)], dtype="float64")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import clean
-from sparkloom.schemas import KEYS, TABLES
+from sparkloom.schemas import KEYS, TABLES, columns
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
@@ -91,8 +91,8 @@ class Store:
     def replace(self, name: str, df: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
         old = self._current(name)
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]]
-        df.select(columns).write.parquet(f"{self.root}/{name}/{version}")
+        named = [F.col(c).cast(kind).alias(c) for c, kind in columns(TABLES[name])]
+        df.select(named).write.parquet(f"{self.root}/{name}/{version}")
         pointer, files = self._hadoop(f"{self.root}/{name}/CURRENT")
         stream = files.create(pointer, True)
         stream.write(bytearray(version.encode()))

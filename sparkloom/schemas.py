@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
 #: Edge kinds with the trust of each.
 KIND_ALPHA = {"gr_similar": 0.6, "az_also_bought": 0.3, "az_also_viewed": 0.1, "ol_subject": 0.05}
 #: Sources with the alias type that their references resolve through.
@@ -17,16 +15,16 @@ REF_ID_TYPE = {
     "demo": "demo_id",
 }
 
-BOOKS = T.StructType.fromDDL(
+BOOKS = (
     "work_id string, title string, title_norm string, authors array<string>, year int, isbn13 string, asin string, goodreads_id string, "
     "openlibrary_id string, series string, avg_rating double, ratings_count long, subjects array<string>"
 )
-EDGES_RAW = T.StructType.fromDDL("src string, dst string, kind string, rank int, source string")
-EDGES_FUSED = T.StructType.fromDDL("src string, dst string, weight double, dir_asym double, kinds array<string>")
-ALIASES = T.StructType.fromDDL("id_type string, id_value string, work_id string")
-NODE_METRICS = T.StructType.fromDDL("work_id string, degree int, weighted_degree double, community int, betweenness double")
-COMMUNITIES = T.StructType.fromDDL("community int, label string, size int")
-INGEST_STATE = T.StructType.fromDDL("source string, artifact string, rows_done long, books_added long, edges_added long, completed boolean, updated_at timestamp")
+EDGES_RAW = "src string, dst string, kind string, rank int, source string"
+EDGES_FUSED = "src string, dst string, weight double, dir_asym double, kinds array<string>"
+ALIASES = "id_type string, id_value string, work_id string"
+NODE_METRICS = "work_id string, degree int, weighted_degree double, community int, betweenness double"
+COMMUNITIES = "community int, label string, size int"
+INGEST_STATE = "source string, artifact string, rows_done long, books_added long, edges_added long, completed boolean, updated_at timestamp"
 
 #: Keys of the stored tables.
 KEYS = {
@@ -44,6 +42,11 @@ TABLES = {
 }
 
 
+def columns(ddl: str) -> list[tuple[str, str]]:
+    """Names and types of one of the tables above."""
+    return [tuple(c.split(" ", 1)) for c in ddl.split(", ")]
+
+
 @dataclass(frozen=True)
 class GraphConfig:
     """How raw lists become the fused graph. A falsy ``min_ratings`` means no filter."""

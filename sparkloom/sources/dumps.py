@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import clean
-from sparkloom.schemas import BOOKS
+from sparkloom.schemas import BOOKS, KIND_ALPHA, columns
 
 #: Id prefixes of works, by source.
 WORK_PREFIX = {"goodreads_ucsd": "gr-", "amazon": "az-", "openlibrary": "ol-"}
@@ -39,10 +39,9 @@ def checked(path: str) -> str:
 def as_books(df: DataFrame) -> DataFrame:
     """``df`` in the columns of the book table; those it lacks are null, arrays empty."""
     out = []
-    for f in BOOKS:
-        c = F.col(f.name) if f.name in df.columns else F.lit(None)
-        c = c.cast(f.dataType)
-        out.append((F.coalesce(c, F.array().cast(f.dataType)) if f.name in ("authors", "subjects") else c).alias(f.name))
+    for name, kind in columns(BOOKS):
+        c = (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+        out.append((F.coalesce(c, F.array().cast(kind)) if name in ("authors", "subjects") else c).alias(name))
     return df.select(out)
 
 
@@ -239,8 +238,6 @@ class CorpusFile:
         return as_books(rows.where("work_id is not null and title is not null"))
 
     def edges(self, spark: SparkSession) -> DataFrame:
-        from sparkloom.schemas import KIND_ALPHA
-
         kind = F.coalesce("kind", F.lit("gr_similar"))
         known = F.when(kind.isin(*KIND_ALPHA), kind).otherwise(F.raise_error(F.concat(F.lit("unknown edge kind: "), kind)))
         rows = self._read(spark, "edges").select(clean.text_or_null(F.col("src")).alias("src_id"), "similar", known.alias("edge_kind")).where("src_id is not null")
