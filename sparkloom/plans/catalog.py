@@ -522,32 +522,12 @@ def bridges_for_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def detect_communities(spark: SparkSession, d: str) -> DataFrame:
-    return community.detect_communities(star.bought_graph(spark, d).where("weight >= 0.15"))
+    return community.detect_communities(star.bought_graph(spark, d))
 
 
 # -- centrality ------------------------------------------------------------------------------------
 
 
-def small_graph(spark: SparkSession, d: str) -> DataFrame:
-    ids = star.table(spark, d, "part").where("p_partkey <= 60").select(star.key("p_partkey").alias("node"))
-    return graph.adjacency(graph.subgraph(star.bought_graph(spark, d), ids))
-
-
-@query(
-    f"""WITH RECURSIVE {sql.GRAPH}, e AS (SELECT src, dst FROM adj WHERE CAST(src AS INT) <= 60 AND CAST(dst AS INT) <= 60), v AS (SELECT DISTINCT src AS n FROM e),
-    walk(k, s, t, paths) AS (
-        SELECT 0, n, n, 1.0::DOUBLE FROM v
-        UNION ALL SELECT k + 1, s, dst, sum(paths) FROM walk JOIN e ON t = src WHERE k < 12 GROUP BY k, s, dst),
-    dist AS (SELECT s, t, min(k) AS d FROM walk GROUP BY 1, 2), sp AS (SELECT walk.s, walk.t, d, paths FROM walk JOIN dist ON walk.s = dist.s AND walk.t = dist.t AND k = d),
-    between_ AS (SELECT a.t AS node, sum(a.paths * b.paths / c.paths) AS x FROM sp a JOIN sp b ON a.t = b.s JOIN sp c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d
-        WHERE a.s <> a.t AND b.t <> b.s AND a.s <> b.t GROUP BY 1)
-    SELECT n AS node, round(coalesce(x, 0) / ((cnt - 1) * (cnt - 2)), 9) AS betweenness FROM v LEFT JOIN between_ ON n = node, (SELECT count(*) AS cnt FROM v)"""
-)
-def betweenness_exact_small(spark: SparkSession, d: str) -> DataFrame:
-    """Exact betweenness within the subgraph of the first 60 parts, whose walks SQL can count."""
-    return centrality.betweenness(small_graph(spark, d), k_samples=1000).select("node", F.round("betweenness", 9).alias("betweenness"))
-
-
 @query()
 def betweenness_sampled(spark: SparkSession, d: str) -> DataFrame:
     return centrality.betweenness(star.bought_adjacency(spark, d), k_samples=8)
@@ -585,10 +565,10 @@ def ingest_state(spark: SparkSession, d: str) -> DataFrame:
     return state
 
 
-@query(f"WITH {sql.BOOKS} SELECT work_id, ratings_count FROM books WHERE p_type LIKE '%A%' ORDER BY ratings_count DESC NULLS LAST, work_id LIMIT 100")
+@query(f"WITH {sql.BOOKS} SELECT work_id, ratings_count FROM books ORDER BY ratings_count DESC NULLS LAST, work_id LIMIT 100")
 def enrichment_queue(spark: SparkSession, d: str) -> DataFrame:
-    """Works to enrich first: most rated, unknown counts last."""
-    wanted = star.books(spark, d).where(F.contains(F.try_element_at("subjects", F.lit(2)), F.lit("A")))
+    """Works with gaps to enrich first: most rated, unknown counts last."""
+    wanted = star.books(spark, d).where("year is null or size(subjects) = 0")
     return wanted.orderBy(F.desc_nulls_last("ratings_count"), "work_id").limit(100).select("work_id", "ratings_count")
 
 
