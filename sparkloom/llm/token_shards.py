@@ -237,7 +237,11 @@ def _put(folder: str, name: str, data: bytes) -> None:
     beside = f"{path}/.{name}.{uuid.uuid4().hex}"
     with target.open_output_stream(beside) as out:
         out.write(data)
-    target.move(beside, f"{path}/{name}")
+    try:
+        target.move(beside, f"{path}/{name}")
+    except OSError:  # some stores don't replace what an earlier attempt left
+        target.delete_file(f"{path}/{name}")
+        target.move(beside, f"{path}/{name}")
 
 
 def _get(folder: str, name: str) -> bytes:
