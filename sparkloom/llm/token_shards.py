@@ -296,6 +296,7 @@ def write_token_shards(
         if names:
             close()
         gc.enable()
+        encode.known.clear()  # the worker's next task may need its memory for something else
         if made:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)],
