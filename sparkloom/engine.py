@@ -14,7 +14,7 @@ from sparkloom.operators import centrality, community, fuse, graph, mapview, ran
 from sparkloom.operators import connect as joining
 from sparkloom.operators.seeds import resolve_seeds
 from sparkloom.operators.store import Store, search_titles
-from sparkloom.schemas import TABLES, GraphConfig, LayoutConfig, RecommendConfig
+from sparkloom.schemas import GraphConfig, LayoutConfig, RecommendConfig
 from sparkloom.sources.enrich import EnrichmentSource, subject_edges
 
 #: Weight floor of the comparison's second variant.
@@ -177,7 +177,3 @@ class Engine:
 def as_json(value: object) -> str:
     """Results as JSON text."""
     return json.dumps(asdict(value) if hasattr(value, "__dataclass_fields__") else value, ensure_ascii=False, default=str)
-
-
-def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}

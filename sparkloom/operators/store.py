@@ -21,11 +21,6 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequenc
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_new")
 
 
-def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key, the first by ``order``."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def aliases_of(books: DataFrame) -> DataFrame:
     """(id_type, id_value, work_id) for each identifier that a book has; the smallest work wins."""
     kinds = ["goodreads_id", "isbn13", "asin", "openlibrary_id"]

@@ -7,13 +7,14 @@ references.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import clean, identity
-from sparkloom.lineage import cut
+from sparkloom.lineage import cut, shared_dir
 from sparkloom.operators import centrality, community, connect, fuse, graph, layout, paths, rank, refs, seeds, store, walk
 from sparkloom.plans import oracles as sql
 from sparkloom.schemas import GraphConfig, RecommendConfig
@@ -580,10 +581,6 @@ def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling windows over the events as a stream, run until the input is used up.
 
     The watermark spans the data, as its rows are in no order of time."""
-    import uuid
-
-    from sparkloom.lineage import shared_dir
-
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     counted = ingest.windowed_counts(ingest.read_events(spark, f"{d}/events.parquet*"), lateness="3650 days")
     out = f"{root}/out"
