@@ -134,9 +134,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> tuple[DataFrame
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
     parts = wanted.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("place"))
     bitmap = np.zeros(MAP_BITS // 64, np.int64)
-    # whatever the input, at most MAP_BITS / 64 rows
-    for row in parts.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits")).toLocalIterator():
-        bitmap[row["word"]] = row["bits"]
+    # whatever the input, at most MAP_BITS / 64 rows of two numbers
+    filled = parts.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits")).toArrow()
+    bitmap[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
     shipped = spark.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
