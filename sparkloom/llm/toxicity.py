@@ -1,24 +1,29 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and boundary-marked character 5-grams. Labels choose the terms that speak for
-toxicity (G test over the labelled rows, held against the number of terms tried); texts are TF-IDF vectors over these. Examples of
-equal vectors are one row of the index with a count per label. Rows are cut into blocks, and the
-index has, beside its postings, each term's largest weight in each block. A search visits blocks
-in the order of their bound and stops when the next bound can't reach the k-th similarity, so its
-result is exact. Votes weigh with 1 / (distance + SOFT), and a logistic curve fitted on the
-examples, each left out of its own vote, turns them into probabilities.
+Texts are TF-IDF vectors over all their words; document frequencies come from all documents. Label
+evidence is a weight: a word weighs the more, the further its G statistic over the labelled rows is
+beyond chance on the toxic side. Boundary-marked character 5-grams with strong evidence are terms
+too, so that inflected forms meet. Examples of equal vectors are one row of the index with a count
+per label. Rows are cut into blocks. Terms of few rows are summed over their postings; for common
+terms the index has the largest weight in each block. A search visits blocks in the order of their
+bound and stops when the next bound can't reach the k-th similarity, so its result is exact. Votes
+weigh with 1 / (distance + SOFT), and a logistic curve fitted on the examples, each left out of its
+own vote, turns them into probabilities.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +31,19 @@ from sparkloom.llm import shared
 
 #: Labelled rows that are learnt from, at most; those of the smallest hash of doc_id.
 MAX_EXAMPLES = 20_000
-#: Terms kept, at most: those of the largest G statistic.
-MAX_TERMS = 2048
-#: Terms expected to pass by chance, and the share of toxic documents that a term needs.
+#: 5-grams expected to pass by chance, and the share of toxic documents that a 5-gram needs.
 BY_CHANCE, LEAST_SHARE = 0.05, 0.5
+#: G that a word reaches by chance (one in a hundred), and the most that evidence adds to a weight of 1.
+CHANCE_G, MOST_EVIDENCE = 6.63, 100.0
 GRAM = 5
 BLOCK = 32
+#: A term in more than one of so many rows is common.
+COMMON = 8
 NEIGHBOURS = 16
 SOFT = 0.05
 #: Terms that a counting task holds before it hands on partial counts.
 HELD_TERMS = 300_000
-WORD_CACHE = 100_000
+WORD_CACHE = 300_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -95,8 +102,30 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose_terms(counts: DataFrame, most: int) -> tuple[dict[str, float], int, int]:
-    """IDF of the chosen terms, and the toxic and clean documents."""
+def word_key(word: str) -> int:
+    """64-bit hash of a word, the same in every process."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class Terms:
+    """All words of the examples, by sorted hash, then the 5-grams with evidence; their weights by place."""
+
+    def __init__(self, keys: np.ndarray, grams: list[str], evidence: np.ndarray):
+        self.keys, self.grams = keys, {g: len(keys) + i for i, g in enumerate(grams)}
+        self.weights = evidence
+        self.unseen = 1.0  # weight of a word of no example
+
+    def __len__(self) -> int:
+        return len(self.weights)
+
+    def weigh(self, seen: np.ndarray, n: int) -> None:
+        """Take document frequencies over ``n`` documents into the weights."""
+        self.weights = (np.log((n + 1) / (seen + 1)) + 1) * self.weights
+        self.unseen = math.log((n + 1) / 2) + 1
+
+
+def all_terms(counts: DataFrame) -> tuple[Terms, int, int]:
+    """The terms with their label evidence, and the toxic and clean examples."""
     total = counts.where("term is null").agg(F.sum("toxic"), F.sum("clean")).first()
     toxic, clean = int(total[0] or 0), int(total[1] or 0)
     n = max(1, toxic + clean)
@@ -110,95 +139,180 @@ def choose_terms(counts: DataFrame, most: int) -> tuple[dict[str, float], int, i
     tried = counts.where("term is not null")
     g = 2 * (part(a, toxic) + part(b, clean) + part(toxic - a, toxic, True) + part(clean - b, clean, True))
     least = 2 * math.log(max(1, tried.count()) / BY_CHANCE)
-    scored = tried.withColumn("g", g)
-    good = scored.where((F.col("g") >= least) & (a * clean > b * toxic) & (a >= LEAST_SHARE * (a + b)))
-    rows = good.orderBy(F.desc("g"), "term").limit(most).collect()
-    return {r["term"]: math.log((n + 1) / (r["toxic"] + r["clean"] + 1)) + 1 for r in rows}, toxic, clean
+    scored = tried.withColumn("g", F.when(a * clean > b * toxic, g).otherwise(0.0))
+    is_word = F.col("term").startswith("=")
+    words = scored.where(is_word).select(F.expr("substring(term, 2)").alias("word"), "g").toArrow()
+    keys = np.fromiter((word_key(w.as_py()) for w in words.column(0)), np.uint64, len(words))
+    order = np.argsort(keys)
+    strong = scored.where(~is_word & (F.col("g") >= least) & (a >= LEAST_SHARE * (a + b)))
+    grams = sorted(tuple(r) for r in strong.select("term", "g").collect())
+    evidence = 1 + np.clip(words.column(1).to_numpy()[order] - CHANCE_G, 0, MOST_EVIDENCE)
+    evidence = np.concatenate([evidence, np.clip([x for _, x in grams], 0, MOST_EVIDENCE)])
+    return Terms(keys[order], [t for t, _ in grams], evidence), toxic, clean
 
 
 class Vectorizer:
-    """Unit TF-IDF vectors over chosen terms; keeps the terms of words between texts."""
-
-    def __init__(self, idf: dict[str, float]):
-        self.place = {t: i for i, t in enumerate(idf)}
-        self.idf = np.array(list(idf.values()), np.float64)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str | None) -> Counter:
+    """Unit TF-IDF vectors over all words of a text; keeps the places of words between texts."""
+
+    def __init__(self, terms: Terms):
+        self.terms = terms
+        self.known: dict[str, int] = {}
+        self.marked: dict[str, list[int]] = {}  # 5-grams of the words that have any
+
+    def _learn(self, words: list[str]) -> None:
+        keys, grams = self.terms.keys, self.terms.grams
+        own = np.fromiter(map(word_key, words), np.uint64, len(words))
+        at = np.searchsorted(keys, own)
+        here = keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else np.zeros(len(words), bool)
+        self.known.update(zip(words, np.where(here, at, -1).tolist(), strict=True))
+        for word in words if grams else ():
+            marked = f"^{word}$"
+            if found := {grams[g] for i in range(max(1, len(marked) - GRAM + 1)) if (g := marked[i : i + GRAM]) in grams}:
+                self.marked[word] = sorted(found)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted places and their counts, and the counts of words of no example."""
+        words = Counter(_WORDS.findall((text or "").lower()))
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            if len(known) + len(new) > WORD_CACHE:
+                known.clear(), self.marked.clear()
+                new = list(words)
+            self._learn(new)
         found: Counter = Counter()
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        known, place = self.known, self.place
-        for word in _WORDS.findall((text or "").lower()):
-            own = known.get(word)
-            if own is None:
-                own = known[word] = tuple(sorted(place[t] for t in word_terms(word) if t in place))
-            if own:
-                found.update(own)
-        return found
+        for word in self.marked.keys() & words.keys() if len(self.marked) < len(words) else [w for w in words if w in self.marked]:
+            for place in self.marked[word]:
+                found[place] += words[word]
+        places = np.array([*map(known.__getitem__, words), *found], np.int64)
+        counts = np.array([*words.values(), *found.values()], np.int64)
+        order = np.argsort(places, kind="stable")
+        places, counts = places[order], counts[order]
+        cut = int(np.searchsorted(places, 0))
+        return places[cut:], counts[cut:], counts[:cut]
+
+    def weights(self, places: np.ndarray, counts: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+        """Words of no example only lengthen the vector."""
+        weights = (1 + np.log(counts)) * self.terms.weights[places]
+        rest = (1 + np.log(unseen)) * self.terms.unseen
+        return weights / np.sqrt((weights**2).sum() + (rest**2).sum()) if len(places) else weights
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted places and weights; both empty without chosen terms."""
-        found = self.counts(text)
-        places = np.array(sorted(found), np.int64)
-        weights = (1 + np.log(np.array([found[p] for p in places], np.float64))) * self.idf[places]
-        return places, weights / np.sqrt((weights**2).sum()) if len(places) else weights
+        """Sorted places and weights; both empty without words of an example."""
+        places, counts, unseen = self.counts(text)
+        return places, self.weights(places, counts, unseen)
+
+
+def document_counts(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
+    """Documents of ``docs`` with each term, and all documents."""
+    shipped = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples' words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectorize = Vectorizer(shipped.value)
+        seen = np.zeros(len(shipped.value) + 1, np.int64)
+        for batch in batches:
+            seen[-1] += batch.num_rows
+            for text in batch.column(0):
+                seen[vectorize.counts(text.as_py())[0]] += 1
+        places = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(seen[places], pa.int64())], ["place", "n"])
+
+    parts = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(terms) + 1, np.int64)
+    seen[parts.column(0).to_numpy()] = parts.column(1).to_numpy()
+    return seen[:-1], int(seen[-1])
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of example vectors."""
+    """Inverted index of example vectors, with block maxima of its common terms."""
 
-    starts: np.ndarray  # postings of term t in block b: starts[t, b] to starts[t, b + 1]
+    starts: np.ndarray  # (terms, 2): postings of term t are starts[t, 0] to starts[t, 1]
     rows: np.ndarray
     weights: np.ndarray
-    most: np.ndarray  # (terms, blocks): each term's largest weight in the block
+    common: np.ndarray  # a term's place among the common ones, or -1
+    dense: np.ndarray  # (blocks, BLOCK, common terms): weights
+    most: np.ndarray  # (common terms, blocks): each term's largest weight in the block
     votes: np.ndarray  # (rows, 2): clean and toxic examples of the row
     doc_ids: np.ndarray  # a row's smallest doc_id
 
+    def __getstate__(self) -> tuple:
+        """Small for shipping: the dense blocks are made again, rows and weights are compressed."""
+        small = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.starts)[:, 0].astype(np.int32), self.rows, self.weights)]
+        return small, self.votes, self.doc_ids
+
+    def __setstate__(self, state: tuple) -> None:
+        (sizes, rows, weights), votes, doc_ids = state
+        sizes, rows, weights = (np.frombuffer(zlib.decompress(x), t) for x, t in ((sizes, np.int32), (rows, np.int32), (weights, np.float32)))
+        self.__dict__.update(Index._filled(np.concatenate([[0], np.cumsum(sizes)]), rows, weights, votes, doc_ids).__dict__)
+
+    @classmethod
+    def _filled(cls, cuts: np.ndarray, rows: np.ndarray, weights: np.ndarray, votes: np.ndarray, doc_ids: np.ndarray) -> Index:
+        often = np.flatnonzero(np.diff(cuts) > len(votes) // COMMON)
+        common = np.full(len(cuts) - 1, -1, np.int32)
+        common[often] = np.arange(len(often))
+        dense = np.zeros((-(-len(votes) // BLOCK), BLOCK, len(often)), np.float32)
+        for i, t in enumerate(often):
+            own = rows[cuts[t] : cuts[t + 1]]
+            dense[own // BLOCK, own % BLOCK, i] = weights[cuts[t] : cuts[t + 1]]
+        return cls(np.stack([cuts[:-1], cuts[1:]], 1), rows, weights, common, dense, dense.max(axis=1).T.copy(), votes, doc_ids)
+
     @classmethod
     def build(cls, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray]], votes: np.ndarray, doc_ids: np.ndarray) -> Index:
         # rows of the same leading terms side by side make tight block bounds
-        order = sorted(range(len(vectors)), key=lambda i: [int(vectors[i][0][j]) for j in np.argsort(-vectors[i][1], kind="stable")[:8]])
-        n_blocks = -(-len(order) // BLOCK)
-        triples = [(int(t), new, w) for new, old in enumerate(order) for t, w in zip(*vectors[old], strict=True)]
-        triples.sort()
-        term = np.array([x[0] for x in triples], np.int64)
-        rows = np.array([x[1] for x in triples], np.int64)
-        weights = np.array([x[2] for x in triples], np.float64)
-        most = np.zeros((n_terms, max(1, n_blocks)))
-        np.maximum.at(most, (term, rows // BLOCK), weights)
-        key = term * (n_blocks + 1) + rows // BLOCK
-        grid = np.arange(n_terms)[:, None] * (n_blocks + 1) + np.arange(n_blocks + 1)
-        return cls(np.searchsorted(key, grid.reshape(-1)).reshape(grid.shape), rows, weights, most, votes[order], doc_ids[order])
+        order = sorted(range(len(vectors)), key=lambda i: vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist())
+        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)]).astype(np.int32)
+        rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
+        weights = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)]).astype(np.float32)
+        by_term = np.argsort(term, kind="stable")
+        cuts = np.searchsorted(term[by_term], np.arange(n_terms + 1))
+        return cls._filled(cuts, rows[by_term], weights[by_term], votes[order], doc_ids[order])
 
     def search(self, places: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` rows of largest cosine (above 0), ties by row: (cosine, row)."""
         if not len(self.votes) or not len(places):
             return []
-        bounds = weights @ self.most[places]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            # a hair above, as sums in another order round differently
-            if bounds[block] <= 0 or len(best) == k and bounds[block] + 1e-9 < -best[-1][0]:
-                break
-            sums = np.zeros(BLOCK)
-            for place, weight in zip(places, weights, strict=True):
-                span = slice(self.starts[place, block], self.starts[place, block + 1])
-                sums[self.rows[span] - block * BLOCK] += weight * self.weights[span]
-            hits = np.flatnonzero(sums)
-            best = sorted([*best, *zip((-sums[hits]).tolist(), (hits + block * BLOCK).tolist(), strict=True)])[:k]
-        return [(-s, r) for s, r in best]
+        common = self.common[places]
+        often, rare = common >= 0, places[common < 0]
+        n_blocks = len(self.dense)
+        spans = [slice(a, b) for a, b in self.starts[rare].tolist()]
+        if spans:
+            rows = np.concatenate([self.rows[x] for x in spans])
+            gains = np.concatenate([self.weights[x] for x in spans]) * np.repeat(weights[~often].astype(np.float32), np.diff(self.starts[rare])[:, 0])
+            sums = np.bincount(rows, gains, minlength=n_blocks * BLOCK).reshape(n_blocks, BLOCK)
+        else:
+            sums = np.zeros((n_blocks, BLOCK))
+        query = np.zeros(self.dense.shape[2], np.float32)
+        query[common[often]] = weights[often]
+        bounds = sums.max(axis=1) + weights[often] @ self.most[common[often]]
+        order = np.argsort(-bounds, kind="stable")
+        best_sums, best_rows = np.zeros(0), np.zeros(0, np.int64)
+        done, step = 0, 4
+        # a hair above, as sums in another order and precision round differently
+        while done < n_blocks and bounds[order[done]] > 0 and (len(best_sums) < k or bounds[order[done]] + 1e-6 >= best_sums[-1]):
+            own = order[done : done + step]
+            found = (sums[own] + self.dense[own] @ query).reshape(-1)
+            hits = np.flatnonzero(found >= best_sums[-1] if len(best_sums) == k else found > 0)
+            best_sums = np.concatenate([best_sums, found[hits]])
+            best_rows = np.concatenate([best_rows, own[hits // BLOCK] * BLOCK + hits % BLOCK])
+            kept = np.lexsort((best_rows, -best_sums))[:k]
+            best_sums, best_rows = best_sums[kept], best_rows[kept]
+            done, step = done + step, min(2 * step, 64)
+        return list(zip(best_sums.tolist(), best_rows.tolist(), strict=True))
 
 
 @dataclass
 class Model:
-    idf: dict[str, float]
+    idf: Terms
     index: Index
     prior: float
-    unknown: float  # probability without any chosen term
+    unknown: float  # probability without any word of an example
     slope: float
     offset: float
+    shipped: Broadcast | None = None  # the model itself before its calibration
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "shipped": None}
 
     def vote(self, near: list[tuple[float, int]], without: tuple[int, int] | None = None) -> float:
         """Log-odds of the distance-weighted votes; ``without`` takes one example (row, label) out."""
@@ -219,54 +333,77 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.vote(near) + self.offset))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES, most_terms: int = MAX_TERMS) -> Model:
-    """Learn from at most ``most`` labelled rows. Without any, every score is 0.5; without terms
-    that tell the labels apart, every score is the share of toxic rows."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
+    """Learn from at most ``most`` labelled rows. Without any, every score is 0.5."""
     rows, _ = shared.staged(training_rows(docs, labels, most), "toxic-train")
     counts, _ = shared.staged(term_counts(rows), "toxic-terms")
-    idf, toxic, clean = choose_terms(counts, most_terms)
+    terms, toxic, clean = all_terms(counts)
+    terms.weigh(*document_counts(docs, terms))
     prior = (toxic + 1) / (toxic + clean + 2)
+    shipped = docs.sparkSession.sparkContext.broadcast(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectorize = Vectorizer(idf)
+        vectorize = Vectorizer(shipped.value)
         for batch in batches:
-            keys = [" ".join(f"{p}:{n}" for p, n in sorted(vectorize.counts(t.as_py()).items())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), batch.column(2)], ["doc_id", "vector", "toxic"])
-
-    made = rows.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, vector string, toxic int")
-    grouped = made.groupBy("vector").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    found = sorted(grouped.collect(), key=lambda r: r["vector"])  # no more rows than examples
-    empty = next(((r["bad"], r["n"]) for r in found if not r["vector"]), (0, 0))
-    known = [r for r in found if r["vector"]]
-    weigh, sparse = Vectorizer(idf), []
-    for r in known:
-        pairs = [tuple(map(int, x.split(":"))) for x in r["vector"].split(" ")]
-        places = np.array([p for p, _ in pairs], np.int64)
-        weights = (1 + np.log(np.array([n for _, n in pairs], np.float64))) * weigh.idf[places]
-        sparse.append((places, weights / np.sqrt((weights**2).sum())))
-    votes = np.array([(r["n"] - r["bad"], r["bad"]) for r in known], np.float64).reshape(-1, 2)
-    index = Index.build(len(idf), sparse, votes, np.array([r["doc_id"] for r in known], np.int64))
-    model = Model(idf, index, prior, (empty[0] + prior) / (empty[1] + 1), 1.0, 0.0)
-    model.slope, model.offset = _calibrate(model, sparse, votes, [r["doc_id"] for r in known])
+            keys = [np.stack(vectorize.counts(t.as_py())[:2]).astype(np.int32).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(2)], ["doc_id", "vector", "toxic"])
+
+    made, _ = shared.staged(rows.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, vector binary, toxic int"), "toxic-vectors")
+    grouped: dict[bytes, list[int]] = {}
+    for r in made.toLocalIterator():  # no more rows than examples
+        own = grouped.setdefault(bytes(r["vector"]), [0, 0, r["doc_id"]])
+        own[r["toxic"]] += 1
+        own[2] = min(own[2], r["doc_id"])
+    empty = grouped.pop(b"", [0, 0, 0])
+    known = sorted(grouped)
+    weigh = Vectorizer(terms)
+    sparse = [(p, weigh.weights(p, n, n[:0])) for p, n in map(_unpacked, known)]
+    votes = np.array([grouped[v][:2] for v in known], np.float64).reshape(-1, 2)
+    # the place in ``known`` stands for the doc_id until the rows are in order
+    index = Index.build(len(terms), sparse, votes, np.arange(len(known)))
+    row_of = {_digest(known[i]): row for row, i in enumerate(index.doc_ids.tolist())}
+    index.doc_ids = np.array([grouped[known[i]][2] for i in index.doc_ids], np.int64)
+    model = Model(terms, index, prior, (empty[1] + prior) / (sum(empty[:2]) + 1), 1.0, 0.0)
+    model.slope, model.offset = _calibrate(model, made, row_of)
     return model
 
 
-def _calibrate(model: Model, vectors: list, votes: np.ndarray, doc_ids: list[int]) -> tuple[float, float]:
-    """Slope and offset of a logistic curve on left-out votes, by Newton's method with a ridge
-    towards the votes as they are."""
-    xs, ys, ns = [], [], []
-    row_of = {int(d): i for i, d in enumerate(model.index.doc_ids)}
-    for doc_id, (places, weights), row in zip(doc_ids, vectors, votes, strict=True):
-        near = model.index.search(places, weights, NEIGHBOURS)
-        for label in (0, 1):
-            if row[label]:
-                xs.append(model.vote(near, (row_of[doc_id], label))), ys.append(label), ns.append(row[label])
+def _unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    places, counts = np.frombuffer(vector, np.int32).reshape(2, -1).astype(np.int64)
+    return places, counts
+
+
+def _digest(vector: bytes) -> bytes:
+    return hashlib.blake2b(vector, digest_size=16).digest()
+
+
+def _calibrate(model: Model, made: DataFrame, row_of: dict[bytes, int]) -> tuple[float, float]:
+    """Slope and offset of a logistic curve on the left-out votes of ``made(doc_id, vector, toxic)``,
+    by Newton's method with a ridge towards the votes as they are."""
+    shipped = model.shipped = made.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = shipped.value, row_of
+        weigh = Vectorizer(own.idf)
+        for batch in batches:
+            xs, ys = [], []
+            for vector, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                places, counts = _unpacked(vector)
+                near = own.index.search(places, weigh.weights(places, counts, counts[:0]), NEIGHBOURS)
+                xs.append(own.vote(near, (rows[_digest(vector)], toxic))), ys.append(float(toxic))
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], ["x", "y"])
+
+    # no more rows than examples; the shuffle deals them to all tasks
+    spread = made.where(F.length("vector") > 0).select("vector", "toxic").repartition(shared.partitions(made.sparkSession))
+    left_out = spread.mapInArrow(run, "x double, y double").toArrow()
+    x, y = (left_out.column(i).to_numpy() for i in (0, 1))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
     slope, offset = 1.0, 0.0
-    x, y, n = np.array(xs), np.array(ys, np.float64), np.array(ns, np.float64)
-    for _ in range(25 if len(xs) else 0):
+    for _ in range(25 if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
-        g = np.array([(n * (p - y) * x).sum() + 2 * (slope - 1), (n * (p - y)).sum() + 2 * offset])
-        v = n * p * (1 - p)
+        g = np.array([((p - y) * x).sum() + 2 * (slope - 1), (p - y).sum() + 2 * offset])
+        v = p * (1 - p)
         h = np.array([[(v * x * x).sum() + 2, (v * x).sum()], [(v * x).sum(), v.sum() + 2]])
         step = np.linalg.solve(h, g)
         slope, offset = max(0.05, slope - float(np.clip(step[0], -1, 1))), offset - float(np.clip(step[1], -2, 2))
@@ -276,10 +413,10 @@ def _calibrate(model: Model, vectors: list, votes: np.ndarray, doc_ids: list[int
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted, evidence (up to three nearest
     examples: doc_id, cosine, toxic_share). Null and empty texts have no terms: the score of such."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_TERMS
+    shipped, curve = model.shipped, (model.slope, model.offset)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        own = replace(shipped.value, slope=curve[0], offset=curve[1])
         vectorize = Vectorizer(own.idf)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
         for batch in batches:
@@ -303,10 +440,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = fit(docs, labels)
+    shipped, curve = model.shipped, (model.slope, model.offset)
 
     def make():
-        own = shipped.value
+        own = replace(shipped.value, slope=curve[0], offset=curve[1])
         vectorize = Vectorizer(own.idf)
         return lambda text: own.score(own.index.search(*vectorize(text), NEIGHBOURS)) < threshold
 

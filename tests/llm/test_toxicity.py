@@ -82,3 +82,27 @@ def test_edges(spark):
     assert toxicity.toxicity(helpers.empty(spark), odd).count() == 0
     kept = toxicity.without_toxic(*table(spark))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 440 < kept.count() < 500
+
+
+def test_copy_of_an_example_is_found_by_any_of_its_words(spark):
+    """Too few labels for any single term to tell them apart."""
+    random.seed(1)
+    texts = [" ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(40)) for _ in range(40)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    bad = set(known[::6])
+    rows += [(1000 + i, texts[i].upper(), "en", "s", 0) for i in known]
+    docs = spark.createDataFrame(rows, helpers.SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in known], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    for i in known:
+        near = got[1000 + i]["evidence"][0]
+        assert near["doc_id"] == i and near["cosine"] > 0.999 and near["toxic_share"] == (i in bad)
+    assert min(got[1000 + i]["score"] for i in bad) > max(got[1000 + i]["score"] for i in known if i not in bad)
+
+
+def test_frequencies_come_from_all_documents(spark):
+    docs = spark.createDataFrame([(i, "rare usual" if i == 1 else "usual", "en", "s", 0) for i in range(50)], helpers.SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    (_, _), weights = toxicity.Vectorizer(toxicity.fit(docs, labels).idf)("rare usual")
+    assert sorted(weights / min(weights)) == pytest.approx([1, np.log(51 / 2) + 1])
