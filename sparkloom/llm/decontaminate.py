@@ -2,7 +2,8 @@
 
 An item of n characters may occur in a document with up to k = floor(n * RATE) edits. Cut in k + 1
 pieces, it leaves at least one piece untouched, so an automaton over all pieces finds every place
-where the item can be. Each place is verified with Myers' bit-parallel distance.
+where the item can be. Each place is verified with Myers' bit-parallel distance. A short item that may have no edit is found
+where it stands between characters that are no letters or digits.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from sparkloom.llm import shared
 RATE = 0.05
 #: Bytes of item texts that go to the tasks at once; more items take more passes.
 PASS_BYTES = 8_000_000
-#: Shorter items (normalized) match only as whole texts of a document.
+#: Shorter items (normalized) without an edit match only where no letter or digit adjoins.
 SHORTEST = 24
 
 
@@ -81,12 +82,9 @@ class Matcher:
         import ahocorasick
 
         self.patterns: list[tuple[int, Pattern]] = []
-        self.whole: dict[str, list[int]] = defaultdict(list)
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
-            if len(text) < SHORTEST:
-                if text:
-                    self.whole[text].append(item_id)
+            if not text:
                 continue
             own = len(self.patterns)
             self.patterns.append((item_id, Pattern(text, int(len(text) * rate))))
@@ -100,7 +98,7 @@ class Matcher:
     def __call__(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end) of the best match of each item in ``text``."""
         text = normalized(text)
-        out = [(item_id, 0, len(text)) for item_id in self.whole.get(text, ())]
+        out: list[tuple[int, int, int]] = []
         if not self.patterns or not text:
             return out
         starts: dict[int, set[int]] = defaultdict(set)
@@ -109,6 +107,12 @@ class Matcher:
                 starts[own].add(end + 1 - size - offset)
         for own, found in starts.items():
             item_id, pattern = self.patterns[own]
+            if not pattern.edits and len(pattern.text) < SHORTEST:
+                ends = (start + len(pattern.text) for start in sorted(found) if not text[max(0, start - 1) : start].isalnum())
+                end = next((e for e in ends if not text[e : e + 1].isalnum()), None)
+                if end is not None:
+                    out.append((item_id, 0, end))
+                continue
             best, covered = None, None
             for start in sorted(found):
                 low, high = start - pattern.edits, start + len(pattern.text) + pattern.edits

@@ -73,3 +73,12 @@ def test_query_and_filter(spark, monkeypatch):
     assert decontaminate.decontaminated(many, bench).count() == many.count()
     assert decontaminate.matches(helpers.empty(spark), bench).count() == 0
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_short_items_are_found_inside_documents(spark):
+    bench = spark.createDataFrame([(1, "Short one"), (2, "twenty-two characters!"), (3, "7"), (4, "")], "item_id long, text string")
+    texts = ["before short  ONE, after", "a short ones", "xshort one", "so: twenty-two charactors! and", "route 7", "route 17", "shortone short one"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], helpers.SCHEMA)
+    got = sorted((r["doc_id"], r["item_id"], r["distance"], r["end_char"]) for r in decontaminate.matches(docs, bench).collect())
+    assert got == [(0, 1, 0, 16), (3, 2, 1, 26), (4, 3, 0, 7), (6, 1, 0, 18)]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()) == [1, 2, 5]
