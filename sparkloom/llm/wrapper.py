@@ -60,12 +60,14 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 class Node:
     """An element or, with key ``#``, a text."""
 
-    __slots__ = ("children", "full", "hidden", "key", "names", "shape", "size", "tag", "text")
+    __slots__ = ("children", "full", "hidden", "key", "leads", "names", "shape", "size", "tag", "text")
 
     def __init__(self, tag: str, attributes: str = "", text: str = ""):
         self.tag, self.text, self.children = tag, text, []
         found = [(a.lower(), (b or c or d).lower()) for a, b, c, d in _NAMES.findall(attributes)] if attributes else []
         self.names = {n for _, value in found for n in _SPLIT.split(value) if n}
+        # main by element, role, or a whole class or id
+        self.leads = tag == "main" or any("main" in value.split() for _, value in found)
         self.key = tag + "".join(sorted(f".{v}" for a, v in found if a == "class"))
         self.hidden = bool(attributes and _HIDDEN.search(attributes))
 
@@ -240,21 +242,23 @@ def _boilerplate(node: Node, inside: bool) -> bool:
 
 
 def _main(root: Node) -> list[Node]:
-    """The articles; without any, the main element; without that, the whole page."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
+    """The articles; without any, the outermost main regions; without that, the whole page. A block
+    with main in a compound name only ("main-visual") counts if nothing else is main."""
+    found: dict[str, list[Node]] = {"article": [], "main": [], "compound": []}
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, above: frozenset[str]) -> None:
         for child in node.children:
             if _boilerplate(child, False):
                 continue
-            role = "article" if child.tag == "article" or "article" in child.names and child.tag in BLOCKS else "main" if child.tag == "main" or "main" in child.names and child.tag in BLOCKS else ""
-            if role:
+            block = child.tag in BLOCKS
+            role = "article" if child.tag == "article" or "article" in child.names and block else "main" if child.leads and block else "compound" if "main" in child.names and block else ""
+            if role and role not in above:
                 found[role].append(child)
             if role != "article":
-                walk(child)
+                walk(child, above | {role} if role else above)
 
-    walk(root)
-    return found["article"] or found["main"][:1] or [root]
+    walk(root, frozenset())
+    return found["article"] or found["main"] or found["compound"] or [root]
 
 
 def blocks(root: Node, template: set[int]) -> list[str]:

@@ -58,3 +58,18 @@ def test_query(spark):
     assert got[100, None] == ("no url", 6) and got[101, "http://b.example/x"] == ("", 0)
     assert "By the staff" not in got[None, "//A.example:80/z"][0]
     assert wrapper.extract(df.limit(0)).count() == 0 and len(wrapper.extract(df).collect()) == len(rows)
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ('<div class="main-visual">Picture</div><main><p>the article</p></main>', "the article"),
+        ('<div class="main-visual">Picture</div><div role="main"><p>the article</p></div>', "the article"),
+        ("<main><p>one</p></main><p>out</p><main><p>two</p></main>", "one\n\ntwo"),
+        ('<div id="main"><p>a</p><main><p>b</p></main></div><div class="x main"><p>c</p></div>', "a\n\nb\n\nc"),
+        ('<div class="main-left"><p>a</p><div class="main-in"><p>b</p></div></div><p>out</p><div class="main-right"><p>c</p></div>', "a\n\nb\n\nc"),
+        ('<main><p>lead</p><div class="main-article"><p>in</p></div></main>', "in"),
+    ],
+)
+def test_main_regions(html, want):
+    assert wrapper.Extractor()(html, None) == want
