@@ -1,8 +1,9 @@
 """Main text of HTML pages by wrapper induction.
 
-Pages of one host come from few templates. For each host, the trees of up to ``SAMPLE`` pages are
-aligned with the first of them by simple tree matching. A text that stays the same in all aligned
-pages is template; a slot whose text varies is content. Every page of the host is then aligned
+Pages of one host come from few templates. A page's outline is the set of its block elements' paths;
+outlines that are alike are one layout of the host. All different pages of a layout are aligned with
+one of them by simple tree matching, and each text of each slot is counted. A text that stands in its
+slot in at least ``SHARE`` of the layout's pages is template. Every page is then aligned
 with the wrapper, its template texts are dropped, and the rest of its main region is written as
 blocks. Regions that are no article by their tag, class, id or role (menus, forms, adverts, reader
 comments and so on) are left out, as their texts vary too.
@@ -10,22 +11,26 @@ comments and so on) are left out, as their texts vary too.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import shared
 
-#: Pages of a host that its wrapper is induced from, at most.
-SAMPLE = 8
 #: Pages in which a text must stand before it can be template.
 LEAST_PAGES = 3
+#: Share of a layout's pages from which a text is template, and of paths in common from which outlines are one layout.
+SHARE, ALIKE = 0.5, 0.6
+#: Counts that a task holds before it hands them on.
+HELD = 50_000
 #: Bytes of wrappers up to which they are sent to all executors; more are joined by host.
 BROADCAST_BYTES = 32_000_000
 #: Elements nested deeper become siblings, as in browsers.
@@ -199,31 +204,83 @@ class Matcher:
                     todo.append((left[i], right[j]))
 
 
+def outline(root: Node) -> list[str]:
+    """Sorted paths of the block elements that may be seen, each once, whatever its number."""
+    found, todo = set(), [(root, "")]
+    while todo:
+        node, path = todo.pop()
+        for child in node.children:
+            if child.tag in BLOCKS and path.count(">") < 6:
+                found.add(own := f"{path}>{child.key}")
+                todo.append((child, own))
+    return sorted(found)
+
+
+def signature(paths: list[str]) -> str:
+    return hashlib.blake2b("\n".join(paths).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def text_key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def layouts(outlines: list[tuple[str, list[str], int]]) -> dict[str, str]:
+    """The leading signature of each (signature, paths, pages): the most frequent one that is alike."""
+    leaders: list[tuple[str, set[str]]] = []
+    out = {}
+    for sign, paths, _ in sorted(outlines, key=lambda x: (-x[2], x[0])):
+        own = set(paths)
+        shares = [(len(own & other) / max(1, len(own | other)) if own or other else 1.0, -i) for i, (_, other) in enumerate(leaders)]
+        share, at = max(shares, default=(0.0, 0))
+        if share < ALIKE:
+            leaders.append((sign, own))
+            at = 1 - len(leaders)
+        out[sign] = leaders[-at][0]
+    return out
+
+
+def written(node: Node, texts: Iterator[str | None]) -> list:
+    """[key, text or null, children]; a text node takes the next of ``texts``."""
+    return [node.key, next(texts) if node.tag == "#" else None, [written(c, texts) for c in node.children]]
+
+
+def slots(node: Node) -> Iterator[Node]:
+    """Text nodes in page order."""
+    if node.tag == "#":
+        yield node
+    for child in node.children:
+        yield from slots(child)
+
+
+def pivot_spec(tree: Node) -> list:
+    return written(tree, (t.text.strip() for t in slots(tree)))
+
+
+def template_spec(pivot: Node, counts: list[tuple[int, str, int]], pages: int) -> list:
+    """The pivot with its template texts, from (slot, text, pages with it)."""
+    best: dict[int, tuple[int, str]] = {}
+    for slot, text, n in counts:
+        if n >= max(LEAST_PAGES, SHARE * pages):
+            best[slot] = max(best.get(slot, (0, "")), (n, text))
+    return written(pivot, (best[i][1] if i in best else None for i, _ in enumerate(slots(pivot))))
+
+
 def induce(pages: list[str]) -> str:
-    """The wrapper of same-host pages as JSON: nested [key, constant text or null, children].
+    """The wrapper of same-layout pages as JSON: nested [key, template text or null, children].
 
     Equal pages count once. With fewer than ``LEAST_PAGES`` different ones no text is template."""
-    matcher, trees, seen = Matcher(), [], set()
+    matcher, trees = Matcher(), {}
     for page in pages:
         tree = parse(page)
         matcher.intern(tree)
-        if tree.full not in seen:
-            seen.add(tree.full)
-            trees.append(tree)
+        trees.setdefault(tree.full, tree)
     if len(trees) < LEAST_PAGES:
         return "[]"
-    first, found = trees[0], {}
-    for tree in trees[1:]:
-        for a, b in matcher.align(first, tree):
-            if a.tag == "#":
-                found.setdefault(id(a), []).append(a.text.strip() == b.text.strip())
-
-    def written(node: Node) -> list:
-        same = found.get(id(node), [])
-        constant = node.tag == "#" and node.text.strip() and len(same) >= LEAST_PAGES - 1 and all(same)
-        return [node.key, node.text.strip() if constant else None, [written(c) for c in node.children]]
-
-    return json.dumps(written(first), ensure_ascii=False)
+    pivot, counts = next(iter(trees.values())), Counter()
+    place = {id(t): i for i, t in enumerate(slots(pivot))}
+    for tree in trees.values():
+        counts.update((place[id(a)], b.text.strip()) for a, b in matcher.align(pivot, tree) if a.tag == "#" and b.text.strip())
+    return json.dumps(template_spec(pivot, [(*k, n) for k, n in counts.items()], len(trees)), ensure_ascii=False)
 
 
 def _tree(spec: list) -> Node:
@@ -296,48 +353,132 @@ def blocks(root: Node, template: set[int]) -> list[str]:
 
 class Extractor:
     def __init__(self) -> None:
-        self.matcher, self.wrappers = Matcher(), {}
-
-    def wrapper(self, spec: str) -> Node | None:
-        if spec not in self.wrappers:
-            if len(self.wrappers) > 256 or len(self.matcher.memo) + len(self.matcher.parts) > MEMO:
-                self.matcher.clear(), self.wrappers.clear()
-            tree = _tree(json.loads(spec)) if spec and spec != "[]" else None
+        self.matcher, self.wrappers, self.hosts = Matcher(), {}, {}
+
+    def _bounded(self) -> None:
+        if len(self.wrappers) > 256 or len(self.matcher.memo) + len(self.matcher.parts) > MEMO:
+            self.matcher.clear(), self.wrappers.clear(), self.hosts.clear()
+
+    def layout(self, root: Node, host: str | None) -> tuple[str, Node | None]:
+        """The layout of a page among those of its host, as JSON, and its wrapper. One wrapper
+        alone is of layout ``""``."""
+        self._bounded()
+        host = host or "[]"
+        if host not in self.hosts:
+            self.hosts[host] = json.loads(host)
+        spec, name = self.hosts[host], ""
+        if isinstance(spec, dict):
+            name = spec["signatures"].get(signature(outline(root)), "")
+            spec = spec["layouts"].get(name)
+        if (host, name) not in self.wrappers:
+            tree = _tree(spec) if spec else None
             if tree:
                 self.matcher.intern(tree)
-            self.wrappers[spec] = tree
-        return self.wrappers[spec]
-
-    def __call__(self, page: str | None, spec: str | None) -> str:
-        if len(self.matcher.memo) + len(self.matcher.parts) > MEMO:
-            self.matcher.clear(), self.wrappers.clear()
-        wrapper, root = self.wrapper(spec or ""), parse(page or "")
-        template: set[int] = set()
-        if wrapper:
-            self.matcher.intern(root)
-            for a, b in self.matcher.align(wrapper, root):
-                if b.tag == "#" and a.text and a.text == b.text.strip():
-                    template.add(id(b))
-        return "\n\n".join(blocks(root, template))
-
-
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+            self.wrappers[host, name] = tree
+        return name, self.wrappers[host, name]
+
+    def aligned(self, page: str | None, host: str | None) -> tuple[str, Node, Node | None, list[tuple[Node, Node]]]:
+        """A page's layout, its tree, the wrapper and the matched text nodes of both."""
+        root = parse(page or "")
+        name, wrapper = self.layout(root, host)
+        if not wrapper:
+            return name, root, None, []
+        self.matcher.intern(root)
+        return name, root, wrapper, [(a, b) for a, b in self.matcher.align(wrapper, root) if b.tag == "#"]
+
+    def __call__(self, page: str | None, host: str | None) -> str:
+        _, root, _, pairs = self.aligned(page, host)
+        return "\n\n".join(blocks(root, {id(b) for a, b in pairs if a.text and a.text == b.text.strip()}))
+
+
+def _by_host(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """``pages`` with the ``wrapper`` of their host."""
+    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0
+    return pages.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+
+
+def induced(hosted: DataFrame) -> DataFrame:
+    """(host, wrapper) from all different pages of ``hosted(host, html)``: JSON of the layout of each
+    signature and the wrapper of each layout."""
+    different = hosted.where("html is not null").select("host", "html", F.xxhash64("html").alias("page")).dropDuplicates(["host", "page"])
+    pages, _ = shared.staged(different, "wrapper-pages")
+
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [outline(parse(h.as_py())) for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(signature, paths), pa.string()), pa.array(paths, pa.list_(pa.string())), batch.column(2)], ["host", "signature", "paths", "page"])
+
+    seen = pages.select("host", "html", "page").mapInArrow(outlines, "host string, signature string, paths array<string>, page long")
+    kinds, _ = shared.staged(seen.groupBy("host", "signature").agg(F.count("*").alias("n"), F.min("page").alias("page"), F.first("paths").alias("paths")), "wrapper-outlines")
+
+    def led(rows: pd.DataFrame) -> pd.DataFrame:
+        leader = layouts([(r.signature, list(r.paths), r.n) for r in rows.itertuples()])
+        return pd.DataFrame({"host": rows["host"], "signature": rows["signature"], "layout": rows["signature"].map(leader), "page": rows["page"]})
+
+    leaders, _ = shared.staged(kinds.groupBy("host").applyInPandas(led, "host string, signature string, layout string, page long"), "wrapper-layouts")
+    pivots = leaders.where("signature = layout").join(pages, ["host", "page"]).select("host", "layout", "html")
+    signatures = leaders.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("signature", "layout"))).alias("signatures"))
+
+    def pivot_wrapper(rows: pd.DataFrame) -> pd.DataFrame:
+        specs = {r.layout: pivot_spec(parse(r.html)) for r in rows.itertuples()}
+        own = {"signatures": dict(rows["signatures"].iloc[0]), "layouts": specs}
+        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(own, ensure_ascii=False)]})
+
+    start, _ = shared.staged(pivots.join(signatures, "host").groupBy("host").applyInPandas(pivot_wrapper, "host string, wrapper string"), "wrapper-pivots")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractor, counts = Extractor(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            # a text of a whole share is of that share in one flush at least, so the others go without it
+            rows = [(h, name, slot, text_key(t), t if n >= SHARE * counts[h, name, -1, ""] else None, n) for (h, name, slot, t), n in counts.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            counts.clear()
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "layout", "slot", "hash", "text", "n"])
+
+        for batch in batches:
+            for host, page, spec in zip(*(batch.column(i) for i in range(3)), strict=True):
+                own = host.as_py()
+                name, _, wrapper, pairs = extractor.aligned(page.as_py(), spec.as_py())
+                if wrapper:
+                    place = {id(t): i for i, t in enumerate(slots(wrapper))}
+                    counts[own, name, -1, ""] += 1
+                    counts.update((own, name, place[id(a)], b.text.strip()) for a, b in pairs if b.text.strip())
+                if len(counts) > HELD:
+                    yield flush()
+        yield flush()
+
+    parts = _by_host(pages, start).select("host", "html", "wrapper").mapInArrow(count, "host string, layout string, slot int, hash long, text string, n long")
+    counted, _ = shared.staged(parts.groupBy("host", "layout", "slot", "hash").agg(F.sum("n").alias("n"), F.max("text").alias("text")).where(F.col("n") >= LEAST_PAGES), "wrapper-counts")
+    total = counted.where("slot = -1").select("host", "layout", F.col("n").alias("pages"))
+    # at most 1 / SHARE texts of a slot
+    often = counted.where("slot >= 0").join(total, ["host", "layout"]).where(F.col("n") >= F.col("pages") * SHARE)
+    chosen = often.groupBy("host").agg(F.collect_list(F.struct("layout", "slot", "text", "n", "pages")).alias("texts"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spec, texts in zip(batch.column(1), batch.column(2), strict=True):
+                own, found = json.loads(spec.as_py()), texts.as_py() or []
+                for name, tree in own["layouts"].items():
+                    here = [r for r in found if r["layout"] == name]
+                    own["layouts"][name] = template_spec(_tree(tree), [(r["slot"], r["text"], r["n"]) for r in here], here[0]["pages"] if here else 0)
+                out.append(json.dumps(own, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "wrapper"])
+
+    return start.join(chosen, "host", "left").select("host", "wrapper", "texts").mapInArrow(finish, "host string, wrapper string")
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of ``pages(page_id, url, html)``.
 
-    Null or empty html gives the empty text. Pages without a host in their url share one wrapper.
+    Null or empty html gives the empty text. Pages without a host in their url share their wrappers.
     Repeated rows are extracted alike; further columns are ignored."""
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
-    # the limit is applied before the shuffle too, so a hot host sends few pages
-    first = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    chosen = hosted.where("html is not null").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).select("host", "_n", "html")
-
-    def host_wrapper(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [induce(rows.sort_values("_n")["html"].tolist())]})
-
-    wrappers, _ = shared.staged(chosen.groupBy("host").applyInPandas(host_wrapper, "host string, wrapper string"), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0
-    joined = hosted.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    wrappers, _ = shared.staged(induced(hosted), "wrappers")
+    joined = _by_host(hosted, wrappers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor = Extractor()

@@ -73,3 +73,21 @@ def test_query(spark):
 )
 def test_main_regions(html, want):
     assert wrapper.Extractor()(html, None) == want
+
+
+def test_all_pages_of_each_layout_are_counted(spark):
+    one = '<article><h1>T{n}</h1><p>Brand</p><p>body {n}</p></article>'
+    two = '<div class="page"><section><h2>U{n}</h2><div class="by"><p>House</p></div><ul><li>item {n}</li></ul></section></div>'
+    rows = [(n, f"http://h.example/{n}", (one if n % 3 else two).format(n=n)) for n in range(60)]
+    # one story in a few pages of many is no template, whatever pages a sample would take
+    story = '<nav>menu {n}</nav><article><h1>T</h1><p>Brand</p><p>the same story</p></article>'
+    rows += [(100 + n, f"http://h.example/{n}", story.format(n=n)) for n in range(12)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(60):
+        assert got[n] == (f"T{n}\n\nbody {n}" if n % 3 else f"U{n}\n\nitem {n}")
+    assert {got[100 + n] for n in range(12)} == {"T\n\nthe same story"}
+
+
+def test_few_equal_texts_stay():
+    pages = [f"<nav>menu {n}</nav><article><p>{'shared' if n < 3 else f'own {n}'}</p><p>Brand</p></article>" for n in range(8)]
+    assert wrapper.Extractor()(pages[0], wrapper.induce(pages)) == "shared"
