@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import shared
+from sparkloom.llm import decontaminate, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +24,18 @@ def test_toxic_documents_go(spark, stages):
     before, after = ({r["doc_id"] for r in s} for s in stages[:2])
     assert len(toxic & (before - after)) >= 0.8 * len(toxic & before)
     assert len(clean & (before - after)) <= 0.05 * len(clean & before)
+
+
+def test_no_kept_document_holds_an_item(spark, stages):
+    """A search apart from the automaton, over all documents that decontamination keeps."""
+    items = {decontaminate.normalized(r["text"]) for r in shared.read_table(spark, SF, "benchmark").collect()} - {""}
+    patterns = [decontaminate.Pattern(t, int(len(t) * decontaminate.RATE)) for t in items]
+
+    def leaks(r):
+        text = decontaminate.normalized(r["text"])
+        return any(p.best(text) for p in patterns)
+
+    kept = {r["doc_id"] for r in stages[3]}
+    gone = [r for r in stages[2] if r["doc_id"] not in kept]
+    assert gone and all(map(leaks, gone)) and len(stages[3]) + len(gone) == len(stages[2])
+    assert not any(map(leaks, stages[3]))
