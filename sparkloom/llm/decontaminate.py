@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ from sparkloom.llm import shared
 
 #: Edits allowed per character of an item.
 RATE = 0.05
-#: Bytes of item texts that go to the tasks at once; more items take more passes.
-PASS_BYTES = 8_000_000
+#: Bytes of item texts that go to the workers at once; more items take more passes. Their automaton
+#: takes about 64 times as much memory.
+PASS_BYTES = 2_000_000
 #: Shorter items (normalized) without an edit match only where no letter or digit adjoins.
 SHORTEST = 24
 
@@ -132,28 +135,42 @@ class Matcher:
         return out
 
 
-def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, normalized, in blocks of about ``PASS_BYTES`` of texts, whatever their number."""
+class Pass:
+    """The items of one pass; a worker builds their matcher once and keeps it while the broadcast lives."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float):
+        self.items, self.rate = items, rate
+
+    @cached_property
+    def matcher(self) -> Matcher:
+        return Matcher(self.items, self.rate)
+
+
+def _passes(benchmark: DataFrame, rate: float) -> Iterator[tuple[Broadcast, bool]]:
+    """The items, normalized, in broadcasts of about ``PASS_BYTES`` of texts, whatever their number,
+    and whether there are several."""
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = 1 + size // PASS_BYTES
-    for k in range(passes):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-        yield [(r["item_id"], normalized(r["text"])) for r in own.collect()]
+    n = 1 + size // PASS_BYTES
+    for k in range(n):
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        yield benchmark.sparkSession.sparkContext.broadcast(Pass([(r["item_id"], normalized(r["text"])) for r in own.collect()], rate)), n > 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, distance, end_char) for each item of ``benchmark(item_id, text)`` that is in a
     document within its edits. Offsets count characters of the normalized text.
 
-    Null and empty texts match nothing; repeated rows of ``docs`` give repeated matches; items of
-    equal text match alike; further columns are ignored. No items or documents give no rows.
+    Null and empty texts match nothing; a document of any length is searched whole; of several places
+    of least distance, that of the first one found counts; repeated rows of ``docs`` give repeated
+    matches; items of equal text match alike; further columns are ignored. No items or documents give
+    no rows. Several passes are written one after another, so that a worker holds one automaton.
     """
     schema, out = "doc_id long, item_id long, distance int, end_char int", None
-    for block in _passes(benchmark):
+    for shipped, several in _passes(benchmark, rate):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            matcher = shipped.value.matcher
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -167,17 +184,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "distance", "end_char"])
 
         found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        if several:
+            found, _ = shared.staged(found, "edit-matches")
+            shipped.destroy()
         out = found if out is None else out.union(found)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; all their columns."""
-    for block in _passes(benchmark):
+    """``docs`` without the rows that hold a benchmark item; all their columns, whatever their names.
+
+    Rows with a null or empty text hold none and stay; repeated rows share their fate."""
+    before = None
+    for shipped, several in _passes(benchmark, rate):
 
-        def make(block=block):
-            matcher = Matcher(block, rate)
-            return lambda text: not matcher(text)
+        def make(shipped=shipped):
+            matcher = shipped.value.matcher
+            return lambda texts: [not matcher(t.as_py()) for t in texts]
 
         docs = shared.rows_where(docs, make)
+        if several:
+            docs, path = shared.staged(docs, "edit-free")
+            shipped.destroy()
+            if before:
+                shared.drop_paths(docs.sparkSession, before)
+            before = path
     return docs

@@ -57,15 +57,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rows_where(docs: DataFrame, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+def rows_where(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[bool]]]) -> DataFrame:
     """The rows of ``docs`` whose whole text passes, with all columns as they are and no shuffle.
 
-    ``make`` runs once in each task and returns the test of one text."""
+    ``make`` runs once in each task and returns the test of an array of texts."""
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = make()
         for batch in batches:
-            yield batch.filter(pa.array([passes(t.as_py()) for t in batch.column(place)], pa.bool_()))
+            yield batch.filter(pa.array(passes(batch.column(place)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,11 +18,13 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +40,27 @@ CHANCE_G, MOST_EVIDENCE = 6.63, 100.0
 GRAM = 5
 BLOCK = 32
 #: A term in more than one of so many rows is common.
-COMMON = 8
+COMMON = 16
+#: Queries searched together, blocks that set a query's first limit, and blocks summed together.
+QUERIES, FIRST, TOGETHER = 64, 8, 4
+#: Single-precision sums of one pair differ by less.
+ROUNDING = 1e-5
 NEIGHBOURS = 16
 SOFT = 0.05
 #: Terms that a counting task holds before it hands on partial counts.
 HELD_TERMS = 300_000
 WORD_CACHE = 300_000
 
-_WORDS = re.compile(r"[^\W_]+")
+_ODD = re.compile(r"[^\w\x00-\x7f]")
+_SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The lower-case words, runs of letters and digits, as UTF-8."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _ODD.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
 
 def word_terms(word: str) -> list[str]:
@@ -56,8 +71,8 @@ def word_terms(word: str) -> list[str]:
 
 def terms_of(text: str | None) -> set[str]:
     found: set[str] = set()
-    for word in set(_WORDS.findall((text or "").lower())):
-        found.update(word_terms(word))
+    for word in set(words_of(text)):
+        found.update(word_terms(word.decode("utf-8", "surrogatepass")))
     return found
 
 
@@ -68,8 +83,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     once = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # at most ``most`` rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # at most ``most`` rows of two numbers; of rows with one doc_id, that of the smallest text counts
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,9 +118,9 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def word_key(word: str) -> int:
-    """64-bit hash of a word, the same in every process."""
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def word_key(word: bytes) -> int:
+    """64-bit hash of a word, as the SQL function xxhash64 gives it (unsigned)."""
+    return xxhash.xxh64_intdigest(word, 42)
 
 
 class Terms:
@@ -141,8 +157,8 @@ def all_terms(counts: DataFrame) -> tuple[Terms, int, int]:
     least = 2 * math.log(max(1, tried.count()) / BY_CHANCE)
     scored = tried.withColumn("g", F.when(a * clean > b * toxic, g).otherwise(0.0))
     is_word = F.col("term").startswith("=")
-    words = scored.where(is_word).select(F.expr("substring(term, 2)").alias("word"), "g").toArrow()
-    keys = np.fromiter((word_key(w.as_py()) for w in words.column(0)), np.uint64, len(words))
+    words = scored.where(is_word).select(F.xxhash64(F.expr("substring(term, 2)")).alias("key"), "g").toArrow()
+    keys = words.column(0).to_numpy().view(np.uint64)
     order = np.argsort(keys)
     strong = scored.where(~is_word & (F.col("g") >= least) & (a >= LEAST_SHARE * (a + b)))
     grams = sorted(tuple(r) for r in strong.select("term", "g").collect())
@@ -156,36 +172,51 @@ class Vectorizer:
 
     def __init__(self, terms: Terms):
         self.terms = terms
-        self.known: dict[str, int] = {}
-        self.marked: dict[str, list[int]] = {}  # 5-grams of the words that have any
+        self.known: dict[bytes, int] = {}
+        self.marked: dict[bytes, list[int]] = {}  # 5-grams of the words that have any
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         keys, grams = self.terms.keys, self.terms.grams
         own = np.fromiter(map(word_key, words), np.uint64, len(words))
         at = np.searchsorted(keys, own)
         here = keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else np.zeros(len(words), bool)
         self.known.update(zip(words, np.where(here, at, -1).tolist(), strict=True))
         for word in words if grams else ():
-            marked = f"^{word}$"
+            marked = f"^{word.decode('utf-8', 'surrogatepass')}$"
             if found := {grams[g] for i in range(max(1, len(marked) - GRAM + 1)) if (g := marked[i : i + GRAM]) in grams}:
                 self.marked[word] = sorted(found)
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted places and their counts, and the counts of words of no example."""
-        words = Counter(_WORDS.findall((text or "").lower()))
-        known = self.known
-        new = [w for w in words if w not in known]
+    def _meet(self, words: Collection[bytes]) -> None:
+        """Learn those of ``words`` that are new."""
+        new = [*filterfalse(self.known.__contains__, words)]
         if new:
-            if len(known) + len(new) > WORD_CACHE:
-                known.clear(), self.marked.clear()
+            if len(self.known) + len(new) > WORD_CACHE:
+                self.known.clear(), self.marked.clear()
                 new = list(words)
             self._learn(new)
+
+    def _with_grams(self, words: Collection[bytes]) -> Collection[bytes]:
+        return self.marked.keys() & words if len(self.marked) < len(words) else [w for w in words if w in self.marked]
+
+    def seen(self, text: str | None) -> np.ndarray:
+        """The distinct places of a text."""
+        words = set(words_of(text))
+        self._meet(words)
+        places = {*map(self.known.__getitem__, words), *(p for w in self._with_grams(words) for p in self.marked[w])}
+        places.discard(-1)
+        return np.fromiter(places, np.int64, len(places))
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted places and their counts, and the counts of words of no example."""
+        words = Counter(words_of(text))
+        self._meet(words)
         found: Counter = Counter()
-        for word in self.marked.keys() & words.keys() if len(self.marked) < len(words) else [w for w in words if w in self.marked]:
+        for word in self._with_grams(words):
             for place in self.marked[word]:
                 found[place] += words[word]
-        places = np.array([*map(known.__getitem__, words), *found], np.int64)
-        counts = np.array([*words.values(), *found.values()], np.int64)
+        n = len(words) + len(found)
+        places = np.fromiter(chain(map(self.known.__getitem__, words), found), np.int64, n)
+        counts = np.fromiter(chain(words.values(), found.values()), np.int64, n)
         order = np.argsort(places, kind="stable")
         places, counts = places[order], counts[order]
         cut = int(np.searchsorted(places, 0))
@@ -203,9 +234,8 @@ class Vectorizer:
         return places, self.weights(places, counts, unseen)
 
 
-def document_counts(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
+def document_counts(docs: DataFrame, terms: Terms, shipped: Broadcast) -> tuple[np.ndarray, int]:
     """Documents of ``docs`` with each term, and all documents."""
-    shipped = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples' words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectorize = Vectorizer(shipped.value)
@@ -213,7 +243,7 @@ def document_counts(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
         for batch in batches:
             seen[-1] += batch.num_rows
             for text in batch.column(0):
-                seen[vectorize.counts(text.as_py())[0]] += 1
+                seen[vectorize.seen(text.as_py())] += 1
         places = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(seen[places], pa.int64())], ["place", "n"])
 
@@ -227,78 +257,99 @@ def document_counts(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
 class Index:
     """Inverted index of example vectors, with block maxima of its common terms."""
 
-    starts: np.ndarray  # (terms, 2): postings of term t are starts[t, 0] to starts[t, 1]
-    rows: np.ndarray
-    weights: np.ndarray
+    cuts: np.ndarray  # postings of term t are cuts[t] to cuts[t + 1]
+    postings: np.ndarray  # (postings, 2) int32: row, and the bits of its float32 weight
     common: np.ndarray  # a term's place among the common ones, or -1
-    dense: np.ndarray  # (blocks, BLOCK, common terms): weights
+    dense: np.ndarray  # (rows, common terms): weights, rows filled up to whole blocks
     most: np.ndarray  # (common terms, blocks): each term's largest weight in the block
     votes: np.ndarray  # (rows, 2): clean and toxic examples of the row
     doc_ids: np.ndarray  # a row's smallest doc_id
 
     def __getstate__(self) -> tuple:
-        """Small for shipping: the dense blocks are made again, rows and weights are compressed."""
-        small = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.starts)[:, 0].astype(np.int32), self.rows, self.weights)]
+        """Small for shipping: the dense blocks are made again, postings are compressed."""
+        small = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.cuts).astype(np.int32), *np.ascontiguousarray(self.postings.T))]
         return small, self.votes, self.doc_ids
 
     def __setstate__(self, state: tuple) -> None:
-        (sizes, rows, weights), votes, doc_ids = state
-        sizes, rows, weights = (np.frombuffer(zlib.decompress(x), t) for x, t in ((sizes, np.int32), (rows, np.int32), (weights, np.float32)))
-        self.__dict__.update(Index._filled(np.concatenate([[0], np.cumsum(sizes)]), rows, weights, votes, doc_ids).__dict__)
+        small, votes, doc_ids = state
+        sizes, rows, weights = (np.frombuffer(zlib.decompress(x), np.int32) for x in small)
+        self.__dict__.update(Index._filled(np.concatenate([[0], np.cumsum(sizes)]), np.stack([rows, weights], 1), votes, doc_ids).__dict__)
 
     @classmethod
-    def _filled(cls, cuts: np.ndarray, rows: np.ndarray, weights: np.ndarray, votes: np.ndarray, doc_ids: np.ndarray) -> Index:
+    def _filled(cls, cuts: np.ndarray, postings: np.ndarray, votes: np.ndarray, doc_ids: np.ndarray) -> Index:
         often = np.flatnonzero(np.diff(cuts) > len(votes) // COMMON)
         common = np.full(len(cuts) - 1, -1, np.int32)
         common[often] = np.arange(len(often))
-        dense = np.zeros((-(-len(votes) // BLOCK), BLOCK, len(often)), np.float32)
+        n_blocks = -(-len(votes) // BLOCK)
+        dense = np.zeros((n_blocks * BLOCK, len(often)), np.float32)
         for i, t in enumerate(often):
-            own = rows[cuts[t] : cuts[t + 1]]
-            dense[own // BLOCK, own % BLOCK, i] = weights[cuts[t] : cuts[t + 1]]
-        return cls(np.stack([cuts[:-1], cuts[1:]], 1), rows, weights, common, dense, dense.max(axis=1).T.copy(), votes, doc_ids)
+            own = postings[cuts[t] : cuts[t + 1]]
+            dense[own[:, 0], i] = np.ascontiguousarray(own[:, 1]).view(np.float32)
+        return cls(cuts, postings, common, dense, dense.reshape(n_blocks, BLOCK, len(often)).max(axis=1).T.copy(), votes, doc_ids)
 
     @classmethod
     def build(cls, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray]], votes: np.ndarray, doc_ids: np.ndarray) -> Index:
         # rows of the same leading terms side by side make tight block bounds
         order = sorted(range(len(vectors)), key=lambda i: vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist())
-        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)]).astype(np.int32)
-        rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
-        weights = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)]).astype(np.float32)
+        term = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0].astype(np.int32) for i in order)])
         by_term = np.argsort(term, kind="stable")
         cuts = np.searchsorted(term[by_term], np.arange(n_terms + 1))
-        return cls._filled(cuts, rows[by_term], weights[by_term], votes[order], doc_ids[order])
-
-    def search(self, places: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The ``k`` rows of largest cosine (above 0), ties by row: (cosine, row)."""
-        if not len(self.votes) or not len(places):
-            return []
-        common = self.common[places]
-        often, rare = common >= 0, places[common < 0]
-        n_blocks = len(self.dense)
-        spans = [slice(a, b) for a, b in self.starts[rare].tolist()]
-        if spans:
-            rows = np.concatenate([self.rows[x] for x in spans])
-            gains = np.concatenate([self.weights[x] for x in spans]) * np.repeat(weights[~often].astype(np.float32), np.diff(self.starts[rare])[:, 0])
-            sums = np.bincount(rows, gains, minlength=n_blocks * BLOCK).reshape(n_blocks, BLOCK)
-        else:
-            sums = np.zeros((n_blocks, BLOCK))
-        query = np.zeros(self.dense.shape[2], np.float32)
-        query[common[often]] = weights[often]
-        bounds = sums.max(axis=1) + weights[often] @ self.most[common[often]]
-        order = np.argsort(-bounds, kind="stable")
-        best_sums, best_rows = np.zeros(0), np.zeros(0, np.int64)
-        done, step = 0, 4
-        # a hair above, as sums in another order and precision round differently
-        while done < n_blocks and bounds[order[done]] > 0 and (len(best_sums) < k or bounds[order[done]] + 1e-6 >= best_sums[-1]):
-            own = order[done : done + step]
-            found = (sums[own] + self.dense[own] @ query).reshape(-1)
-            hits = np.flatnonzero(found >= best_sums[-1] if len(best_sums) == k else found > 0)
-            best_sums = np.concatenate([best_sums, found[hits]])
-            best_rows = np.concatenate([best_rows, own[hits // BLOCK] * BLOCK + hits % BLOCK])
-            kept = np.lexsort((best_rows, -best_sums))[:k]
-            best_sums, best_rows = best_sums[kept], best_rows[kept]
-            done, step = done + step, min(2 * step, 64)
-        return list(zip(best_sums.tolist(), best_rows.tolist(), strict=True))
+        rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
+        weights = np.concatenate([np.zeros(0, np.float32), *(vectors[i][1].astype(np.float32) for i in order)])
+        return cls._filled(cuts, np.stack([rows[by_term], weights[by_term].view(np.int32)], 1), votes[order], doc_ids[order])
+
+    def _rare(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Each row's sum over the postings of terms that are not common."""
+        spans = [slice(a, b) for a, b in zip(self.cuts[places].tolist(), self.cuts[places + 1].tolist(), strict=True)]
+        if not spans:
+            return np.zeros(len(self.dense), np.float32)
+        own = np.concatenate([self.postings[x] for x in spans])
+        gains = np.ascontiguousarray(own[:, 1]).view(np.float32)
+        gains *= np.repeat(weights.astype(np.float32), self.cuts[places + 1] - self.cuts[places])
+        return np.bincount(own[:, 0], gains, minlength=len(self.dense))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query (places, weights), the ``k`` rows of largest cosine (above 0), ties by row:
+        (cosine, row). Exact: of all blocks, only those whose bound is below the k-th largest of the
+        rows in the most promising blocks are left out."""
+        out: list[list[tuple[float, int]]] = []
+        n_blocks = self.most.shape[1]
+        for at in range(0, len(queries), QUERIES):
+            some = queries[at : at + QUERIES]
+            if not n_blocks:
+                out += [[] for _ in some]
+                continue
+            sums, often = np.empty((len(some), len(self.dense)), np.float32), np.zeros((len(some), len(self.most)), np.float32)
+            for i, (places, weights) in enumerate(some):
+                common = self.common[places]
+                often[i, common[common >= 0]] = weights[common >= 0]
+                sums[i] = self._rare(places[common < 0], weights[common < 0])
+            bounds = sums.reshape(len(some), n_blocks, BLOCK).max(axis=2) + often @ self.most
+            first = np.argpartition(-bounds, FIRST, axis=1)[:, :FIRST] if n_blocks > FIRST else np.tile(np.arange(n_blocks), (len(some), 1))
+            kth = np.zeros(len(some), np.float32)
+            for i, blocks in enumerate(first):
+                rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+                if len(rows) >= k:
+                    kth[i] = np.partition(sums[i, rows] + self.dense[rows] @ often[i], -k)[-k]
+            # a hair lower, as sums in another order and precision round differently
+            kth = np.maximum(kth - ROUNDING, 0)
+            needed = bounds >= kth[:, None]
+            for low in range(0, n_blocks, TOGETHER):
+                who = np.flatnonzero(needed[:, low : low + TOGETHER].any(axis=1))
+                rows = slice(low * BLOCK, (low + TOGETHER) * BLOCK)
+                part = sums[:, rows]
+                if len(who) == len(some):
+                    part += often @ self.dense[rows].T
+                else:
+                    found = part[who] + often[who] @ self.dense[rows].T
+                    part[:] = 0
+                    part[who] = found
+            for i in range(len(some)):
+                hits = np.flatnonzero((sums[i] >= kth[i]) & (sums[i] > 0))
+                cosines = np.round(sums[i, hits].astype(np.float64), 7)
+                best = np.lexsort((hits, -cosines))[:k]
+                out.append(list(zip(cosines[best].tolist(), hits[best].tolist(), strict=True)))
+        return out
 
 
 @dataclass
@@ -314,6 +365,11 @@ class Model:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "shipped": None}
 
+    def nearest(self, texts: pa.Array, vectorize: Vectorizer) -> Iterator[list[tuple[float, int]]]:
+        """The neighbours of each text; few texts are held as vectors at once."""
+        for at in range(0, len(texts), QUERIES):
+            yield from self.index.search([vectorize(t.as_py()) for t in texts[at : at + QUERIES]], NEIGHBOURS)
+
     def vote(self, near: list[tuple[float, int]], without: tuple[int, int] | None = None) -> float:
         """Log-odds of the distance-weighted votes; ``without`` takes one example (row, label) out."""
         toxic, total = self.prior, 1.0
@@ -335,12 +391,12 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     """Learn from at most ``most`` labelled rows. Without any, every score is 0.5."""
-    rows, _ = shared.staged(training_rows(docs, labels, most), "toxic-train")
-    counts, _ = shared.staged(term_counts(rows), "toxic-terms")
+    rows, rows_path = shared.staged(training_rows(docs, labels, most), "toxic-train")
+    counts, counts_path = shared.staged(term_counts(rows), "toxic-terms")
     terms, toxic, clean = all_terms(counts)
-    terms.weigh(*document_counts(docs, terms))
+    shipped = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples' words
+    terms.weigh(*document_counts(docs, terms, shipped))
     prior = (toxic + 1) / (toxic + clean + 2)
-    shipped = docs.sparkSession.sparkContext.broadcast(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectorize = Vectorizer(shipped.value)
@@ -348,7 +404,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
             keys = [np.stack(vectorize.counts(t.as_py())[:2]).astype(np.int32).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(2)], ["doc_id", "vector", "toxic"])
 
-    made, _ = shared.staged(rows.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, vector binary, toxic int"), "toxic-vectors")
+    made, made_path = shared.staged(rows.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, vector binary, toxic int"), "toxic-vectors")
+    shipped.destroy()
     grouped: dict[bytes, list[int]] = {}
     for r in made.toLocalIterator():  # no more rows than examples
         own = grouped.setdefault(bytes(r["vector"]), [0, 0, r["doc_id"]])
@@ -357,14 +414,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     empty = grouped.pop(b"", [0, 0, 0])
     known = sorted(grouped)
     weigh = Vectorizer(terms)
-    sparse = [(p, weigh.weights(p, n, n[:0])) for p, n in map(_unpacked, known)]
+    sparse = [(p.astype(np.int32), weigh.weights(p, n, n[:0]).astype(np.float32)) for p, n in map(_unpacked, known)]
     votes = np.array([grouped[v][:2] for v in known], np.float64).reshape(-1, 2)
     # the place in ``known`` stands for the doc_id until the rows are in order
     index = Index.build(len(terms), sparse, votes, np.arange(len(known)))
     row_of = {_digest(known[i]): row for row, i in enumerate(index.doc_ids.tolist())}
     index.doc_ids = np.array([grouped[known[i]][2] for i in index.doc_ids], np.int64)
+    del grouped, known, sparse
     model = Model(terms, index, prior, (empty[1] + prior) / (sum(empty[:2]) + 1), 1.0, 0.0)
     model.slope, model.offset = _calibrate(model, made, row_of)
+    shared.drop_paths(docs.sparkSession, rows_path, counts_path, made_path)
     return model
 
 
@@ -380,22 +439,24 @@ def _digest(vector: bytes) -> bytes:
 def _calibrate(model: Model, made: DataFrame, row_of: dict[bytes, int]) -> tuple[float, float]:
     """Slope and offset of a logistic curve on the left-out votes of ``made(doc_id, vector, toxic)``,
     by Newton's method with a ridge towards the votes as they are."""
-    shipped = model.shipped = made.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
+    context = made.sparkSession.sparkContext
+    shipped = model.shipped = context.broadcast(model)  # bounded by the examples
+    places_of = context.broadcast(row_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows = shipped.value, row_of
+        own, rows = shipped.value, places_of.value
         weigh = Vectorizer(own.idf)
         for batch in batches:
-            xs, ys = [], []
-            for vector, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places, counts = _unpacked(vector)
-                near = own.index.search(places, weigh.weights(places, counts, counts[:0]), NEIGHBOURS)
-                xs.append(own.vote(near, (rows[_digest(vector)], toxic))), ys.append(float(toxic))
+            vectors, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            near = own.index.search([(p, weigh.weights(p, n, n[:0])) for p, n in map(_unpacked, vectors)], NEIGHBOURS)
+            xs = [own.vote(x, (rows[_digest(v)], t)) for x, v, t in zip(near, vectors, toxic, strict=True)]
+            ys = [float(t) for t in toxic]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], ["x", "y"])
 
     # no more rows than examples; the shuffle deals them to all tasks
     spread = made.where(F.length("vector") > 0).select("vector", "toxic").repartition(shared.partitions(made.sparkSession))
     left_out = spread.mapInArrow(run, "x double, y double").toArrow()
+    places_of.destroy()
     x, y = (left_out.column(i).to_numpy() for i in (0, 1))
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
@@ -419,12 +480,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         own = replace(shipped.value, slope=curve[0], offset=curve[1])
         vectorize = Vectorizer(own.idf)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
+        votes = own.index.votes
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column(1):
-                near = own.index.search(*vectorize(text.as_py()), NEIGHBOURS)
+            for near in own.nearest(batch.column(1), vectorize):
                 scores.append(own.score(near))
-                votes = own.index.votes
                 evidence.append([{"doc_id": int(own.index.doc_ids[r]), "cosine": s, "toxic_share": float(votes[r][1] / votes[r].sum())} for s, r in near[:3]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "evidence"])
 
@@ -446,6 +506,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     def make():
         own = replace(shipped.value, slope=curve[0], offset=curve[1])
         vectorize = Vectorizer(own.idf)
-        return lambda text: own.score(own.index.search(*vectorize(text), NEIGHBOURS)) < threshold
+        return lambda texts: [own.score(near) < threshold for near in own.nearest(texts, vectorize)]
 
     return shared.rows_where(docs, make)

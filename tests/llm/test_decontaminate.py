@@ -82,3 +82,11 @@ def test_short_items_are_found_inside_documents(spark):
     got = sorted((r["doc_id"], r["item_id"], r["distance"], r["end_char"]) for r in decontaminate.matches(docs, bench).collect())
     assert got == [(0, 1, 0, 16), (3, 2, 1, 26), (4, 3, 0, 7), (6, 1, 0, 18)]
     assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()) == [1, 2, 5]
+
+
+def test_a_pass_builds_its_automaton_once_and_ships_without_it():
+    import pickle
+
+    own = decontaminate.Pass([(1, "some benchmark item")], 0.05)
+    assert own.matcher is own.matcher and own.matcher("so: some benchmark item.")
+    assert "matcher" not in pickle.loads(pickle.dumps(decontaminate.Pass([(1, "x y")], 0.0))).__dict__

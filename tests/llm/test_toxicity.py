@@ -40,14 +40,14 @@ def test_block_max_search_is_exact(seed):
         if not query.any():
             continue
         query /= np.linalg.norm(query)
-        got = index.search(np.flatnonzero(query), query[query > 0], 10)
+        got = index.search([(np.flatnonzero(query), query[query > 0])], 10)[0]
         want = np.sort(stored @ query)[::-1]
         assert np.allclose([s for s, _ in got], want[want > 0][:10])
         assert np.allclose([stored[r] @ query for _, r in got], [s for s, _ in got])
 
 
 def test_empty_index():
-    assert Index.build(3, [], np.zeros((0, 2)), np.zeros(0)).search(np.array([1]), np.array([1.0]), 5) == []
+    assert Index.build(3, [], np.zeros((0, 2)), np.zeros(0)).search([(np.array([1]), np.array([1.0]))], 5) == [[]]
 
 
 def test_held_out_accuracy_and_fold(spark):
