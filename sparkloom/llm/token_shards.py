@@ -204,9 +204,11 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known = PieceIds(self.tokenizer.model)
         spec = json.loads(self.tokenizer.to_str())
+        # the library takes the strings of added tokens out of a text first, so such texts go there whole
+        added = [re.escape(t["content"]) for t in spec["added_tokens"] or () if t["content"]]
+        self.added = re.compile("|".join(added) or r"(?!)")
         kind = spec["pre_tokenizer"] or {}
         self.plain = spec["normalizer"] is None and kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"]
 
@@ -216,7 +218,7 @@ class CachedEncoder:
         if len(self.known) > self.CACHE:
             self.known.clear()
         for i, text in enumerate(texts):
-            if self.plain and not _OTHER.search(text):
+            if self.plain and not _OTHER.search(text) and not self.added.search(text):
                 out[i] = b"".join(map(ids_of, _PIECES.findall(text)))
         rest = [i for i, x in enumerate(out) if x is None]
         for i, one in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
@@ -255,19 +257,19 @@ def write_token_shards(
 ) -> DataFrame:
     """Tokenize ``docs(doc_id, text)`` into shard files below ``folder`` (a URI all executors see).
 
-    Documents are range-partitioned by doc_id (nulls first, rows of one doc_id by text), so the
+    Documents are range-partitioned by doc_id (nulls first, rows of one doc_id by a hash of the text), so the
     files' names in order give the corpus in ascending doc_id order. A null or empty text has the
     end id alone. Repeated rows are separate documents; further columns are ignored.
 
     Returns the manifest, one row per shard: shard, n_docs, n_ids, start (ids in earlier shards).
     """
     spark = docs.sparkSession
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(shared.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # the hash parts the rows of one doc_id, or of none
+    ordered = ordered.repartitionByRange(shared.partitions(spark), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = shared_encoder(tokenizer)
-        gc.disable()  # the loop makes millions of lists and no cycles
         end = np.array([end_id], "<u4").tobytes()
         part, made = TaskContext.get().partitionId(), []
         parts: list[np.ndarray] = []
@@ -283,20 +285,23 @@ def write_token_shards(
             parts.clear(), names.clear(), sizes.clear()
 
         held = 0
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 256):
-                for doc_id, raw in zip(doc_ids[at : at + 256], encode(texts[at : at + 256].to_pylist()), strict=False):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    parts.append(ids), names.append(doc_id), sizes.append(len(ids))
-                    held += len(ids)
-                    if held >= shard_ids:
-                        close()
-                        held = 0
-        if names:
-            close()
-        gc.enable()
-        encode.known.clear()  # the worker's next task may need its memory for something else
+        gc.disable()  # the loop makes millions of lists and no cycles
+        try:
+            for batch in batches:
+                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                for at in range(0, len(doc_ids), 256):
+                    for doc_id, raw in zip(doc_ids[at : at + 256], encode(texts[at : at + 256].to_pylist()), strict=False):
+                        ids = np.frombuffer(raw + end, "<u4")
+                        parts.append(ids), names.append(doc_id), sizes.append(len(ids))
+                        held += len(ids)
+                        if held >= shard_ids:
+                            close()
+                            held = 0
+            if names:
+                close()
+        finally:
+            gc.enable()
+            encode.known.clear()  # the worker's next task may need its memory for something else
         if made:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)],

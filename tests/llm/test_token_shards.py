@@ -36,19 +36,17 @@ def test_not_a_shard():
 def test_encoder_equals_the_library():
     path = queries.tokenizer_path()
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     random.seed(1)
     letters = [*map(chr, [*range(9, 14), *range(32, 127), *range(160, 400)]), "日", "😀", " ", " ", "\n", "'s", "\x1c"]
-    texts = ["", "it's we'll I'D", "a  b\n\n c", "<|endoftext|> x", helpers.LONG] + ["".join(random.choices(letters, k=random.randint(0, 50))) for _ in range(3000)]
+    texts = ["", "it's we'll I'D", "a  b\n\n c", "<|endoftext|> x", "plain<|endoftext|>", "<|endoftext|", "<|endoftext|><|endoftext|>", helpers.LONG] + ["".join(random.choices(letters, k=random.randint(0, 50))) for _ in range(3000)]
     for one, own in zip(model.encode_batch(texts, add_special_tokens=False), CachedEncoder(path)(texts), strict=True):
         assert np.array(one.ids, "<u4").tobytes() == own
 
 
 def brute(rows):
     model = Tokenizer.from_file(queries.tokenizer_path())
-    model.encode_special_tokens = True
     out, start = [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):  # no doc_id has two texts
         ids = model.encode(text or "", add_special_tokens=False).ids + [2]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -65,6 +63,16 @@ def test_against_brute_force(spark, tmp_path, shard_ids):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_strings_of_special_tokens_are_the_librarys():
+    assert np.frombuffer(CachedEncoder(queries.tokenizer_path())(["<|endoftext|>"])[0], "<u4").tolist() == [50256]
+
+
+def test_rows_without_doc_id_are_dealt_out(spark, tmp_path):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")
+    manifest = token_shards.write_token_shards(docs, str(tmp_path / "none"), queries.tokenizer_path(), 2)
+    assert manifest.where("n_docs < 250").count() == manifest.count() > 1
+
+
 def test_empty_table(spark, tmp_path):
     assert token_shards.token_shards(helpers.empty(spark), queries.tokenizer_path(), 2, str(tmp_path / "none")).count() == 0
 
