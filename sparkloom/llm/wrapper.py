@@ -1,37 +1,53 @@
 """Main text of HTML pages by wrapper induction.
 
-Pages of one host come from few templates. A page's outline is the set of its block elements' paths;
-outlines that are alike are one layout of the host. All different pages of a layout are aligned with
-one of them by simple tree matching, and each text of each slot is counted. A text that stands in its
-slot in at least ``SHARE`` of the layout's pages is template. Every page is then aligned
-with the wrapper, its template texts are dropped, and the rest of its main region is written as
-blocks. Regions that are no article by their tag, class, id or role (menus, forms, adverts, reader
-comments and so on) are left out, as their texts vary too.
+Pages of one host that are built from the same containers are one layout; pages of layouts that a
+host has fewer than ``LEAST_PAGES`` of are pooled with pages of other hosts built alike. One page of
+each layout is its pivot. Every page is aligned with its pivot by simple tree matching over block
+elements, which gives each block a slot: the pivot's node that it matches, or else its key below
+the nearest node that matches. Slots are counted over all pages of the layout, equal pages once.
+
+Slots whose text is the same on most pages are template. The main region is found from the pivot's
+root downwards: as long as one child holds most of the different text that all pages have in a node
+(each different text counts once, so constant menus weigh nothing and long articles much), the rest
+of the node is left out. A heading that varies before that child, and what stands between both,
+stay. Within the region, siblings of one key are template only if all of them are constant.
+
+Names of elements and classes are a last resort only: where a layout has too few pages to compare,
+``article`` and ``main`` name the region, and within a region, blocks that name themselves menu,
+form, comments and the like are left out, since they vary as the article does.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import json
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import shared
 
-#: Pages in which a text must stand before it can be template.
+#: Pages that must be compared before a text can be template.
 LEAST_PAGES = 3
-#: Share of a layout's pages from which a text is template, and of paths in common from which outlines are one layout.
-SHARE, ALIKE = 0.5, 0.6
+#: Share of the pages with a slot from which its most frequent text is template.
+SHARE = 0.5
+#: Share of a node's text that its main child holds, and of that child's key that may stand beside it.
+DOMINANT, BESIDE = 0.5, 0.1
+#: Share of a region's text that must be left for constant texts to be template.
+LEAST_TEXT = 0.02
+#: Children of one key that a pivot keeps below one node; further ones have the slot of their key.
+FOLD = 4
+#: Pairs of children up to which they are matched by the full table.
+WIDE = 1 << 18
 #: Counts that a task holds before it hands them on.
 HELD = 50_000
-#: Bytes of wrappers up to which they are sent to all executors; more are joined by host.
+#: Bytes of wrappers up to which they are sent to all executors; more are joined.
 BROADCAST_BYTES = 32_000_000
 #: Elements nested deeper become siblings, as in browsers.
 DEPTH = 256
@@ -41,89 +57,119 @@ MEMO = 200_000
 #: Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe title svg xmp noembed".split())
+CONTROLS = frozenset("button select datalist audio video canvas object".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "body", "html"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-BOILERPLATE_TAGS = frozenset("nav footer aside form button select dialog head menu label input object audio video canvas".split())
-BOILERPLATE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu "
-    "modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related respond share sharing sidebar signup skip social "
-    "sponsor sponsored subscribe toolbar topbar widget widgets complementary contentinfo search alert".split()
+#: The last resort: elements and names of what is beside an article, and of the article.
+ASIDE_TAGS = frozenset("nav footer aside form dialog".split())
+ASIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus masthead menu modal nav navbar navigation "
+    "newsletter notice notices pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_NAMES = frozenset("article main content post entry story".split())
 
-_TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|>|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: Numbers in names that differ by page.
+_DIGITS = re.compile(r"\d{3,}")
+_CONTAINERS = r"<(?:div|section|article|main|aside|nav|header|footer|form)\b[^>]*>"
 
 
 class Node:
-    """An element or, with key ``#``, a text."""
-
-    __slots__ = ("children", "full", "hidden", "key", "leads", "names", "shape", "size", "tag", "text")
-
-    def __init__(self, tag: str, attributes: str = "", text: str = ""):
-        self.tag, self.text, self.children = tag, text, []
-        found = [(a.lower(), (b or c or d).lower()) for a, b, c, d in _NAMES.findall(attributes)] if attributes else []
-        self.names = {n for _, value in found for n in _SPLIT.split(value) if n}
-        # main by element, role, or a whole class or id
-        self.leads = tag == "main" or any("main" in value.split() for _, value in found)
-        self.key = tag + "".join(sorted(f".{v}" for a, v in found if a == "class"))
-        self.hidden = bool(attributes and _HIDDEN.search(attributes))
+    """A block element: its texts and blocks in page order."""
+
+    __slots__ = ("aside", "buffer", "chars", "digest", "items", "key", "kids", "leads", "shape", "size", "tag")
+
+    def __init__(self, tag: str, attributes: str = ""):
+        self.tag, self.key = tag, tag
+        self.items: list[str | Node] = []
+        self.kids: list[Node] = []
+        self.buffer: list[str] = []
+        self.aside, self.leads = tag in ASIDE_TAGS, tag if tag in ("article", "main") else ""
+        if attributes and (found := [(a.lower(), (b or c or d).lower()) for a, b, c, d in _NAMES.findall(attributes)]):
+            names = [{*_SPLIT.split(name)} - {""} for _, value in found for name in value.split()]
+            lead = any(n & MAIN_NAMES for n in names)
+            self.aside = self.aside or not lead and any(n & ASIDE_NAMES for n in names)
+            self.leads = self.leads or next((name for _, value in found for name in value.split() if name in ("article", "main")), "")
+            self.key += "".join(f"{'#' if a == 'id' else '.'}{_DIGITS.sub('0', v)}" for a, v in sorted(found) if a != "role")
+
+    def flush(self) -> None:
+        """The text so far is one run, its white space single spaces."""
+        if self.buffer:
+            if value := " ".join("".join(self.buffer).split()):
+                self.items.append(value)
+            self.buffer.clear()
 
 
 def parse(text: str) -> Node:
-    """Tree of a page; tags that HTML lets one omit are implied, what is left open ends with the page."""
+    """Tree of a page's blocks. Tags that HTML lets one omit are implied, what is left open ends with
+    the page. Controls and hidden elements are left out; other inline elements only have their text."""
     root = Node("html")
-    stack = [root]
-
-    def add_text(raw: str) -> None:
-        value = " ".join(entities.unescape(raw).split())
-        if value or raw:
-            # white space alone still parts two inline texts
-            stack[-1].children.append(Node("#", text=(" " if raw[:1].isspace() or not value else "") + value + (" " if value and raw[-1:].isspace() else "")))
+    stack, opened = [root], Counter()
 
     def close(tags: set[str], until: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                for node in stack[i:]:
+                    node.flush()
+                    opened[node.tag] -= 1
                 del stack[i:]
                 return
             if stack[i].tag in until:
                 return
 
-    at, lower = 0, None
-    while at < len(text):
+    at, end = 0, len(text)
+    while at < end:
         found = _TAGS.search(text, at)
+        start = found.start() if found else end
+        if start > at:
+            raw = text[at:start]
+            stack[-1].buffer.append(entities.unescape(raw) if "&" in raw else raw)
         if not found:
-            add_text(text[at:])
             break
-        if found.start() > at:
-            add_text(text[at : found.start()])
         at = found.end()
         name = (found[2] or "").lower()
         if not name or name in ("html", "body"):
             continue
         if found[1]:
-            if any(n.tag == name for n in stack[1:]):
+            if opened[name] > 0:
                 close({name}, set())
             continue
-        if name in CLOSES_P:
-            close({"p"}, {"table", "td", "th", "button"})
-        if name in SIBLINGS:
-            close(SIBLINGS[name], SCOPES[name])
-        node = Node(name, found[3])
-        stack[-1].children.append(node)
-        if name in RAW:
-            lower = lower or text.lower()
-            end = lower.find(f"</{name}", at)
-            at = len(text) if end < 0 else (text.find(">", end) + 1 or len(text))
-        elif name not in VOID and len(stack) < DEPTH and not found[3].rstrip().endswith("/"):
-            stack.append(node)
+        attributes = found[3]
+        if name == "br":
+            stack[-1].buffer.append(" ")
+        elif name in RAW:
+            found = _RAW_END[name].search(text, at)
+            at = (text.find(">", found.end()) + 1 or end) if found else end
+        elif name in BLOCKS:
+            if name in CLOSES_P and opened["p"] > 0:
+                close({"p"}, {"table", "td", "th", "button"})
+            if name in SIBLINGS:
+                close(SIBLINGS[name], SCOPES[name])
+            hidden = _HIDDEN.search(attributes) if len(attributes) > 1 else None
+            node = Node(name, attributes)
+            stack[-1].flush()
+            if not hidden:
+                stack[-1].items.append(node)
+                stack[-1].kids.append(node)
+            if name not in VOID and len(stack) < DEPTH and not attributes.endswith("/>"):
+                stack.append(node)
+                opened[name] += 1
+        elif name not in VOID and (name in CONTROLS or len(attributes) > 1 and _HIDDEN.search(attributes)) and len(stack) < DEPTH and not attributes.endswith("/>"):
+            # its text goes to a node outside the tree
+            stack.append(Node(name))
+            opened[name] += 1
+    for node in stack:
+        node.flush()
     return root
 
 
@@ -138,17 +184,27 @@ class Matcher:
         self.parts: list[tuple] = []
         self.memo: dict[tuple[int, int], int] = {}
 
+    @property
+    def held(self) -> int:
+        return len(self.memo) + len(self.parts)
+
     def intern(self, node: Node) -> None:
-        """Give every node of the tree its shape, size and a value that equal subtrees share."""
-        for child in node.children:
-            self.intern(child)
-        own = (node.key, *(c.shape for c in node.children))
+        """Give every node its shape, size, characters and a digest of its text."""
+        digest, chars = xxhash.xxh3_64(), 0
+        for item in node.items:
+            if isinstance(item, str):
+                digest.update(item.encode("utf-8", "surrogatepass"))
+                chars += len(item)
+            else:
+                self.intern(item)
+                digest.update(item.digest.to_bytes(8, "little"))
+                chars += item.chars
+        own = (node.key, *(c.shape for c in node.kids))
         if own not in self.shapes:
             self.shapes[own] = len(self.parts)
             self.parts.append(own)
-        node.shape = self.shapes[own]
-        node.size = 1 + sum(c.size for c in node.children)
-        node.full = hash((node.key, node.text.strip(), *(c.full for c in node.children)))
+        node.shape, node.digest, node.chars = self.shapes[own], digest.intdigest(), chars
+        node.size = 1 + sum(c.size for c in node.kids)
 
     def weight(self, a: int, b: int) -> int:
         """Nodes in the largest match of two shapes with their roots matched; 0 if these differ."""
@@ -169,321 +225,452 @@ class Matcher:
             self.memo[a, b] = known
         return known
 
-    def pair_weight(self, a: Node, b: Node) -> int:
-        """As ``weight``, but equal subtrees count twice, so that they are aligned first."""
-        return 2 * a.size if a.full == b.full else self.weight(a.shape, b.shape)
-
-    def align(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
-        """Matched pairs below two matched nodes, these included."""
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            yield a, b
-            left, right = a.children, b.children
-            # equal ends need no table
-            low = 0
-            while low < min(len(left), len(right)) and left[low].full == right[low].full:
-                todo.append((left[low], right[low]))
-                low += 1
-            left, right = left[low:], right[low:]
-            table = [[0] * (len(right) + 1)]
-            for x in left:
-                above, row = table[-1], [0]
-                for j, y in enumerate(right):
-                    w = self.pair_weight(x, y)
-                    row.append(max(above[j + 1], row[j], above[j] + w if w else 0))
-                table.append(row)
-            i, j = len(left), len(right)
-            while i and j:
-                if table[i][j] == table[i - 1][j]:
-                    i -= 1
-                elif table[i][j] == table[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    todo.append((left[i], right[j]))
-
-
-def outline(root: Node) -> list[str]:
-    """Sorted paths of the block elements that may be seen, each once, whatever its number."""
-    found, todo = set(), [(root, "")]
-    while todo:
-        node, path = todo.pop()
-        for child in node.children:
-            if child.tag in BLOCKS and path.count(">") < 6:
-                found.add(own := f"{path}>{child.key}")
-                todo.append((child, own))
-    return sorted(found)
-
-
-def signature(paths: list[str]) -> str:
-    return hashlib.blake2b("\n".join(paths).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-
-
-def text_key(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def layouts(outlines: list[tuple[str, list[str], int]]) -> dict[str, str]:
-    """The leading signature of each (signature, paths, pages): the most frequent one that is alike."""
-    leaders: list[tuple[str, set[str]]] = []
-    out = {}
-    for sign, paths, _ in sorted(outlines, key=lambda x: (-x[2], x[0])):
-        own = set(paths)
-        shares = [(len(own & other) / max(1, len(own | other)) if own or other else 1.0, -i) for i, (_, other) in enumerate(leaders)]
-        share, at = max(shares, default=(0.0, 0))
-        if share < ALIKE:
-            leaders.append((sign, own))
-            at = 1 - len(leaders)
-        out[sign] = leaders[-at][0]
-    return out
+    def _wide(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+        """In linear time: each left child with the next right one of its key."""
+        places: dict[str, list[int]] = defaultdict(list)
+        for j in range(len(right) - 1, -1, -1):
+            places[right[j].key].append(j)
+        out, last = [], -1
+        for x in left:
+            own = places.get(x.key, [])
+            while own and own[-1] <= last:
+                own.pop()
+            if own:
+                last = own.pop()
+                out.append((x, right[last]))
+        return out
+
+    def children(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+        """Matched pairs of two lists of children, in order, of the largest weight. Equal ends need no
+        table. Lists of more than ``WIDE`` pairs are matched by key."""
+
+        def same(x: Node, y: Node) -> bool:
+            return x.shape == y.shape and x.digest == y.digest
+
+        low, out = 0, []
+        while low < min(len(left), len(right)) and same(left[low], right[low]):
+            out.append((left[low], right[low]))
+            low += 1
+        high = 0
+        while high < min(len(left), len(right)) - low and same(left[-1 - high], right[-1 - high]):
+            out.append((left[-1 - high], right[-1 - high]))
+            high += 1
+        left, right = left[low : len(left) - high], right[low : len(right) - high]
+        if not left or not right:
+            return out
+        if len(left) * len(right) > WIDE:
+            return out + self._wide(left, right)
+        table = [[0] * (len(right) + 1)]
+        for x in left:
+            above, row = table[-1], [0]
+            for j, y in enumerate(right):
+                w = self.weight(x.shape, y.shape)
+                row.append(max(above[j + 1], row[j], above[j] + w if w else 0))
+            table.append(row)
+        i, j = len(left), len(right)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((left[i], right[j]))
+        return out
 
 
-def written(node: Node, texts: Iterator[str | None]) -> list:
-    """[key, text or null, children]; a text node takes the next of ``texts``."""
-    return [node.key, next(texts) if node.tag == "#" else None, [written(c, texts) for c in node.children]]
+@dataclass
+class Pivot:
+    """A layout's tree: its nodes by their place in page order, the root at 0."""
 
+    root: Node
+    nodes: list[Node]
+    above: list[int]  # the parent's place
+    ends: list[int]  # the place after the node's last descendant
 
-def slots(node: Node) -> Iterator[Node]:
-    """Text nodes in page order."""
-    if node.tag == "#":
-        yield node
-    for child in node.children:
-        yield from slots(child)
+    @classmethod
+    def of(cls, root: Node) -> Pivot:
+        nodes, above, ends = [], [], []
 
+        def walk(node: Node, parent: int) -> None:
+            at = len(nodes)
+            nodes.append(node), above.append(parent), ends.append(0)
+            for kid in node.kids:
+                walk(kid, at)
+            ends[at] = len(nodes)
 
-def pivot_spec(tree: Node) -> list:
-    return written(tree, (t.text.strip() for t in slots(tree)))
+        walk(root, 0)
+        return cls(root, nodes, above, ends)
 
+    @classmethod
+    def folded(cls, page: str) -> Pivot:
+        """From a page, with at most ``FOLD`` children of one key below a node."""
 
-def template_spec(pivot: Node, counts: list[tuple[int, str, int]], pages: int) -> list:
-    """The pivot with its template texts, from (slot, text, pages with it)."""
-    best: dict[int, tuple[int, str]] = {}
-    for slot, text, n in counts:
-        if n >= max(LEAST_PAGES, SHARE * pages):
-            best[slot] = max(best.get(slot, (0, "")), (n, text))
-    return written(pivot, (best[i][1] if i in best else None for i, _ in enumerate(slots(pivot))))
+        def fold(node: Node) -> None:
+            seen: Counter = Counter()
+            kept = []
+            for kid in node.kids:
+                seen[kid.key] += 1
+                if seen[kid.key] <= FOLD:
+                    fold(kid)
+                    kept.append(kid)
+            node.kids = node.items = kept
 
+        root = parse(page)
+        fold(root)
+        return cls.of(root)
 
-def induce(pages: list[str]) -> str:
-    """The wrapper of same-layout pages as JSON: nested [key, template text or null, children].
+    def to_json(self) -> str:
+        def spec(node: Node) -> list:
+            return [node.key, node.tag, int(node.aside), node.leads, [spec(c) for c in node.kids]]
 
-    Equal pages count once. With fewer than ``LEAST_PAGES`` different ones no text is template."""
-    matcher, trees = Matcher(), {}
-    for page in pages:
-        tree = parse(page)
-        matcher.intern(tree)
-        trees.setdefault(tree.full, tree)
-    if len(trees) < LEAST_PAGES:
-        return "[]"
-    pivot, counts = next(iter(trees.values())), Counter()
-    place = {id(t): i for i, t in enumerate(slots(pivot))}
-    for tree in trees.values():
-        counts.update((place[id(a)], b.text.strip()) for a, b in matcher.align(pivot, tree) if a.tag == "#" and b.text.strip())
-    return json.dumps(template_spec(pivot, [(*k, n) for k, n in counts.items()], len(trees)), ensure_ascii=False)
+        return json.dumps(spec(self.root), ensure_ascii=False)
 
+    @classmethod
+    def from_json(cls, text: str) -> Pivot:
+        def node(spec: list) -> Node:
+            own = Node(spec[1])
+            own.key, own.aside, own.leads = spec[0], bool(spec[2]), spec[3]
+            own.kids = [node(c) for c in spec[4]]
+            own.items = own.kids
+            return own
 
-def _tree(spec: list) -> Node:
-    node = Node("#" if spec[0] == "#" else spec[0].split(".")[0])
-    node.key, node.text = spec[0], spec[1] or ""
-    node.children = [_tree(c) for c in spec[2]]
-    return node
+        return cls.of(node(json.loads(text)))
 
 
-def _boilerplate(node: Node, inside: bool) -> bool:
-    if node.tag in BOILERPLATE_TAGS or node.tag in RAW or node.hidden:
-        return True
-    if node.tag == "header" and not inside:
-        return True
-    return bool(node.names & BOILERPLATE_NAMES) and not (node.names & MAIN_NAMES and node.tag in ("article", "main"))
+def key_slot(parent: int, key: str) -> int:
+    """The slot of children of ``key`` that match no node, below the node at ``parent``."""
+    return -((parent + 1) << 32) - xxhash.xxh32_intdigest(key.encode("utf-8", "surrogatepass"))
 
 
-def _main(root: Node) -> list[Node]:
-    """The articles; without any, the outermost main regions; without that, the whole page. A block
-    with main in a compound name only ("main-visual") counts if nothing else is main."""
-    found: dict[str, list[Node]] = {"article": [], "main": [], "compound": []}
+@dataclass
+class Observed:
+    """One page aligned with its pivot: counted slots, and its text as runs in page order."""
 
-    def walk(node: Node, above: frozenset[str]) -> None:
-        for child in node.children:
-            if _boilerplate(child, False):
-                continue
-            block = child.tag in BLOCKS
-            role = "article" if child.tag == "article" or "article" in child.names and block else "main" if child.leads and block else "compound" if "main" in child.names and block else ""
-            if role and role not in above:
-                found[role].append(child)
-            if role != "article":
-                walk(child, above | {role} if role else above)
-
-    walk(root, frozenset())
-    return found["article"] or found["main"] or found["compound"] or [root]
-
-
-def blocks(root: Node, template: set[int]) -> list[str]:
-    """Texts of the main region in page order, without blocks that hold only nodes in ``template``
-    (by id). A constant part of a varying block is part of its text."""
-    out: list[str] = []
-    held: list[tuple[str, bool]] = []
-
-    def flush() -> None:
-        value = " ".join("".join(t for t, _ in held).split())
-        varies = any(not same and t.strip() for t, same in held)
-        held.clear()
-        if value and varies:
-            out.append(value)
-
-    def walk(node: Node) -> None:
-        for child in node.children:
-            if child.tag == "#":
-                held.append((child.text, id(child) in template))
-            elif child.tag == "br":
-                held.append((" ", True))
-            elif not _boilerplate(child, True):
-                block = child.tag in BLOCKS
-                if block:
-                    flush()
-                walk(child)
-                if block:
-                    flush()
-
-    for part in _main(root):
-        walk(part)
-        flush()
-    return out
+    slots: list[tuple[int, int, str | None, int, int]] = field(default_factory=list)  # slot, parent, key, digest, chars
+    runs: list[tuple[int, bool, str]] = field(default_factory=list)  # slot, within a block that names itself aside, text
 
 
-class Extractor:
-    def __init__(self) -> None:
-        self.matcher, self.wrappers, self.hosts = Matcher(), {}, {}
-
-    def _bounded(self) -> None:
-        if len(self.wrappers) > 256 or len(self.matcher.memo) + len(self.matcher.parts) > MEMO:
-            self.matcher.clear(), self.wrappers.clear(), self.hosts.clear()
-
-    def layout(self, root: Node, host: str | None) -> tuple[str, Node | None]:
-        """The layout of a page among those of its host, as JSON, and its wrapper. One wrapper
-        alone is of layout ``""``."""
-        self._bounded()
-        host = host or "[]"
-        if host not in self.hosts:
-            self.hosts[host] = json.loads(host)
-        spec, name = self.hosts[host], ""
-        if isinstance(spec, dict):
-            name = spec["signatures"].get(signature(outline(root)), "")
-            spec = spec["layouts"].get(name)
-        if (host, name) not in self.wrappers:
-            tree = _tree(spec) if spec else None
-            if tree:
-                self.matcher.intern(tree)
-            self.wrappers[host, name] = tree
-        return name, self.wrappers[host, name]
-
-    def aligned(self, page: str | None, host: str | None) -> tuple[str, Node, Node | None, list[tuple[Node, Node]]]:
-        """A page's layout, its tree, the wrapper and the matched text nodes of both."""
-        root = parse(page or "")
-        name, wrapper = self.layout(root, host)
-        if not wrapper:
-            return name, root, None, []
-        self.matcher.intern(root)
-        return name, root, wrapper, [(a, b) for a, b in self.matcher.align(wrapper, root) if b.tag == "#"]
+def observe(matcher: Matcher, pivot: Pivot, root: Node) -> Observed:
+    """Align ``root`` with the pivot (both interned)."""
+    out = Observed()
+    place = {id(n): i for i, n in enumerate(pivot.nodes)}
+    matched: dict[int, int] = {id(root): 0}
+    todo = [(pivot.root, root)]
+    while todo:
+        a, b = todo.pop()
+        at = place[id(a)]
+        out.slots.append((at, pivot.above[at], None, b.digest, b.chars))
+        for x, y in matcher.children(a.kids, b.kids):
+            matched[id(y)] = place[id(x)]
+            todo.append((x, y))
+        rest: dict[str, list[int]] = {}
+        for kid in b.kids:
+            if id(kid) not in matched:
+                own = rest.setdefault(kid.key, [0, 0])
+                own[0], own[1] = (own[0] * 1_000_003 + kid.digest) & (1 << 64) - 1, own[1] + kid.chars
+        out.slots += [(key_slot(at, key), at, key, *own) for key, own in rest.items()]
+
+    def walk(node: Node, slot: int, inside: bool, aside: bool) -> None:
+        for item in node.items:
+            if isinstance(item, str):
+                out.runs.append((slot, aside, item))
+            elif (own := matched.get(id(item))) is not None:
+                walk(item, own, False, False)
+            else:
+                walk(item, slot if inside else key_slot(slot, item.key), True, aside or item.aside)
 
-    def __call__(self, page: str | None, host: str | None) -> str:
-        _, root, _, pairs = self.aligned(page, host)
-        return "\n\n".join(blocks(root, {id(b) for a, b in pairs if a.text and a.text == b.text.strip()}))
+    walk(root, 0, False, False)
+    return out
 
 
-def _by_host(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``pages`` with the ``wrapper`` of their host."""
-    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0
-    return pages.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+@dataclass
+class Slot:
+    """A slot over all pages of its layout: pages with it, with its most frequent text, the characters
+    of its different texts, and those of all its texts."""
+
+    parent: int
+    key: str | None
+    pages: float = 0.0
+    top: float = 0.0
+    mass: int = 0
+    total: float = 0.0
+
+
+@dataclass
+class Wrapper:
+    """What is content: nodes whose own runs are, key slots that aren't although their parent is, and
+    key slots that are although their parent isn't. ``wider`` and ``never`` serve pages without any run there."""
+
+    kept: list[int]
+    gone: list[int]
+    also: list[int]
+    wider: list[int]
+    never: list[int]
+
+    def text(self, runs: Iterable[tuple[int, bool, str]]) -> str:
+        def chosen(kept: set[int], gone: set[int], also: set[int]) -> list[str]:
+            return [t for s, aside, t in runs if not aside and (s in kept if s >= 0 else s in also or (-s >> 32) - 1 in kept and s not in gone)]
+
+        runs = list(runs)
+        return "\n\n".join(chosen({*self.kept}, {*self.gone}, {*self.also}) or chosen({*self.wider}, {*self.never}, set()))
+
+
+def induce(pivot: Pivot, slots: dict[int, Slot], pages: float) -> Wrapper:
+    """The wrapper of a layout of ``pages`` different pages from its pivot and counted slots."""
+    n, ends = len(pivot.nodes), pivot.ends
+    mass = [slots[i].mass if i in slots else 0 for i in range(n)]
+    beside: dict[int, dict[str, int]] = defaultdict(dict)  # key slots by parent
+    for s, own in slots.items():
+        if s < 0:
+            beside[own.parent][own.key] = s
+    place = {id(x): i for i, x in enumerate(pivot.nodes)}
+    kids = [[place[id(c)] for c in x.kids] for x in pivot.nodes]
+
+    def under(places: Iterable[int]) -> set[int]:
+        return {i for p in places for i in range(p, ends[p])}
+
+    def constant(s: int, copies: float = 0.0) -> bool:
+        own = slots.get(s)
+        rest = own.pages - copies if own else 0
+        return own is not None and rest >= LEAST_PAGES - 1e-6 and own.top - copies >= SHARE * rest
+
+    # what names itself aside is in the region only if it holds the whole of it
+    nested = {0}
+    for i in range(1, n):
+        if pivot.above[i] in nested and mass[i] >= DOMINANT * mass[0]:
+            nested.add(i)
+    asides = {i for i in range(1, n) if pivot.nodes[i].aside and i not in nested}
+    region, core, also, copies = [0], [0], [], 0.0
+    named: list[int] = []
+    if pages < LEAST_PAGES:
+        for lead in ("article", "main"):
+            within = under(asides)
+            named = [i for i in range(1, n) if pivot.nodes[i].leads == lead and i not in within and not any(j < i < ends[j] and pivot.nodes[j].leads == lead for j in range(i))]
+            if named:
+                same = {(pivot.above[i], pivot.nodes[i].key) for i in named}
+                region, core, also = named, named, [s for p, key in same if (s := beside[p].get(key)) is not None]
+                break
+    at = 0
+    while not named:
+        groups: dict[str, list[int]] = defaultdict(list)
+        for i in kids[at]:
+            if i not in asides:
+                groups[pivot.nodes[i].key].append(i)
+        sizes = {key: sum(mass[i] for i in own) + (slots[beside[at][key]].mass if key in beside[at] else 0) for key, own in groups.items()}
+        key = max(sizes, key=lambda k: (sizes[k], k), default=None)
+        if key is None or pivot.nodes[at].leads == "article" or sizes[key] < DOMINANT * mass[at] or not any(kids[i] for i in groups[key]):
+            core, copies = [at], slots[at].top if at and at in slots else 0.0
+            break
+        own, more = groups[key], beside[at].get(key)
+        best = max(own, key=lambda i: (mass[i], -i))
+        single = mass[best] >= DOMINANT * mass[at] and (more is None or slots[more].mass <= BESIDE * sizes[key])
+        first = best if single else own[0]
+        titles = [i for i in kids[at] if i < first and pivot.nodes[i].tag in HEADINGS and not constant(i)]
+        region = [*region[:-1], *(i for i in kids[at] if titles and titles[0] <= i < first)]
+        if not single:
+            region, core, also = region + own, own, [] if more is None else [more]
+            break
+        region.append(best)
+        at = best
+    inside = under(region)
+    dropped, gone = under(i for i in asides if i in inside and i not in core), set()
+    template: list[int] = []  # slots
+    for p in {pivot.above[i] for i in region} | inside:
+        for key in {pivot.nodes[i].key for i in kids[p]} | {*beside[p]}:
+            own, more = [i for i in kids[p] if pivot.nodes[i].key == key], beside[p].get(key)
+            if {*own} & {*core} or more in also or not (p in inside or {*own} & inside):
+                continue
+            alike = [i for i in own if i in slots] + ([] if more is None else [more])
+            if alike and all(constant(s, copies) for s in alike):
+                template += alike
+    whole = sum(slots[s].total for s in (*region, *also) if s in slots)
+    tops = [s for s in template if s < 0 or not any(j < s < ends[j] for j in template if j >= 0)]
+    out = [*tops, *(i for i in asides if i in inside and i in slots and i not in core and not any(0 <= j < i < ends[j] for j in tops))]
+    if whole - sum(slots[s].total for s in out) > LEAST_TEXT * whole:
+        # else all pages have one article
+        dropped |= under(s for s in template if s >= 0)
+        gone = {s for s in template if s < 0}
+    never = {s for s in slots if s < 0 and constant(s)}
+    wider = set(range(n)) - under(asides) - under(i for i in range(1, n) if constant(i))
+    return Wrapper(sorted(inside - dropped), sorted(gone), sorted(also), sorted(wider), sorted(never))
+
+
+def induced(pages: list[str]) -> tuple[Pivot, Wrapper]:
+    """The wrapper of a few pages of one layout, in one process; equal pages count once."""
+    different = list(dict.fromkeys(pages))
+    matcher, pivot = Matcher(), Pivot.folded(different[0])
+    matcher.intern(pivot.root)
+    counts: dict[int, Counter] = defaultdict(Counter)
+    slots: dict[int, Slot] = {}
+    for page in different:
+        root = parse(page)
+        matcher.intern(root)
+        for s, parent, key, digest, chars in observe(matcher, pivot, root).slots:
+            own = slots.setdefault(s, Slot(parent, key))
+            own.mass += chars if digest not in counts[s] else 0
+            own.total += chars
+            counts[s][digest] += 1
+    for s, own in slots.items():
+        own.pages, own.top = float(sum(counts[s].values())), float(max(counts[s].values()))
+    return pivot, induce(pivot, slots, len(different))
+
+
+def extracted(page: str, pivot: Pivot, wrapper: Wrapper) -> str:
+    """The text of one page by a wrapper, in one process."""
+    matcher, root = Matcher(), parse(page)
+    matcher.intern(pivot.root), matcher.intern(root)
+    return wrapper.text(observe(matcher, pivot, root).runs)
+
+
+def layout_sign(html: Column) -> Column:
+    """Hash of the different containers (element, class, id; long numbers alike) that a page has."""
+    bare = F.regexp_replace(F.lower(html), r"(?s)<!--.*?-->|<(script|style|svg|noscript|template|textarea)\b.*?</\1", " ")
+
+    def name(tag: Column) -> Column:
+        parts = (F.regexp_extract(tag, p, 1) for p in (r"^<([a-z]+)", r"\bclass\s*=\s*[\"']?([^\"'>]*)", r"\bid\s*=\s*[\"']?([^\"'>]*)"))
+        return F.regexp_replace(F.concat_ws("|", *parts), _DIGITS.pattern, "0")
+
+    return F.md5(F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(_CONTAINERS), F.lit(0)), name))), "\n").cast("binary"))
+
+
+def _few(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` marked for broadcast if its measured size allows it."""
+    measured = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if measured <= BROADCAST_BYTES else df
+
+
+class Aligner:
+    """Aligns pages with the pivots of their layouts, which it keeps between pages."""
 
+    def __init__(self) -> None:
+        self.matcher, self.pivots = Matcher(), {}
+
+    def __call__(self, page: str, layout: int, spec: str) -> Observed:
+        if self.matcher.held > MEMO or len(self.pivots) > 256:
+            self.matcher.clear(), self.pivots.clear()
+        if layout not in self.pivots:
+            self.pivots[layout] = Pivot.from_json(spec)
+            self.matcher.intern(self.pivots[layout].root)
+        root = parse(page)
+        self.matcher.intern(root)
+        return observe(self.matcher, self.pivots[layout], root)
 
-def induced(hosted: DataFrame) -> DataFrame:
-    """(host, wrapper) from all different pages of ``hosted(host, html)``: JSON of the layout of each
-    signature and the wrapper of each layout."""
-    different = hosted.where("html is not null").select("host", "html", F.xxhash64("html").alias("page")).dropDuplicates(["host", "page"])
-    pages, _ = shared.staged(different, "wrapper-pages")
 
-    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths = [outline(parse(h.as_py())) for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(signature, paths), pa.string()), pa.array(paths, pa.list_(pa.string())), batch.column(2)], ["host", "signature", "paths", "page"])
+PARTS = "page_id long, url string, layout long, slots array<long>, asides array<boolean>, texts array<string>, slot long, parent int, key string, digest long, chars long, weight double"
+_PART_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+_PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
 
-    seen = pages.select("host", "html", "page").mapInArrow(outlines, "host string, signature string, paths array<string>, page long")
-    kinds, _ = shared.staged(seen.groupBy("host", "signature").agg(F.count("*").alias("n"), F.min("page").alias("page"), F.first("paths").alias("paths")), "wrapper-outlines")
 
-    def led(rows: pd.DataFrame) -> pd.DataFrame:
-        leader = layouts([(r.signature, list(r.paths), r.n) for r in rows.itertuples()])
-        return pd.DataFrame({"host": rows["host"], "signature": rows["signature"], "layout": rows["signature"].map(leader), "page": rows["page"]})
+def _batch(columns: dict[str, list], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(_PART_NAMES, _PART_KINDS, strict=True)], _PART_NAMES)
 
-    leaders, _ = shared.staged(kinds.groupBy("host").applyInPandas(led, "host string, signature string, layout string, page long"), "wrapper-layouts")
-    pivots = leaders.where("signature = layout").join(pages, ["host", "page"]).select("host", "layout", "html")
-    signatures = leaders.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("signature", "layout"))).alias("signatures"))
 
-    def pivot_wrapper(rows: pd.DataFrame) -> pd.DataFrame:
-        specs = {r.layout: pivot_spec(parse(r.html)) for r in rows.itertuples()}
-        own = {"signatures": dict(rows["signatures"].iloc[0]), "layouts": specs}
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(own, ensure_ascii=False)]})
+def aligned(hosted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows of ``hosted(page_id, url, host, html)`` as runs, beside the counts of their slots (rows
+    with ``slot``), and (layout, spec, pages) of each layout."""
+    own = hosted.withColumn("sign", layout_sign(F.col("html"))).withColumn("page", F.xxhash64("html"))
+    light, _ = shared.staged(own.where("html is not null").groupBy("host", "sign", "page").agg(F.count("*").alias("copies")), "wrapper-pages")
+    by_host = light.groupBy("host", "sign").agg(F.count("*").alias("pages"), F.min("page").alias("page"))
+    pooled = by_host.where(F.col("pages") < LEAST_PAGES).groupBy("sign").agg(F.sum("pages").alias("pool_pages"), F.min("page").alias("pool_page"))
+    is_pooled = F.col("pages") < LEAST_PAGES
+    homes = by_host.join(pooled, "sign", "left").select(
+        "host", "sign",
+        F.when(is_pooled, F.xxhash64("sign")).otherwise(F.xxhash64("host", "sign")).alias("layout"),
+        F.when(is_pooled, F.col("pool_pages")).otherwise(F.col("pages")).alias("pages"),
+        F.when(is_pooled, F.col("pool_page")).otherwise(F.col("page")).alias("page"),
+    )
+    homes, _ = shared.staged(homes, "wrapper-homes")
+    wanted = homes.select("layout", "page", "pages").dropDuplicates(["layout"])
 
-    start, _ = shared.staged(pivots.join(signatures, "host").groupBy("host").applyInPandas(pivot_wrapper, "host string, wrapper string"), "wrapper-pivots")
+    def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            specs = [Pivot.folded(h.as_py()).to_json() for h in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(specs, pa.string())], ["layout", "pages", "spec"])
+
+    found = hosted.where("html is not null").select("html", F.xxhash64("html").alias("page")).join(_few(wanted, F.lit(32)), "page")
+    specs, _ = shared.staged(found.select("layout", "pages", "html").mapInArrow(pivots, "layout long, pages long, spec string").dropDuplicates(["layout"]), "wrapper-pivots")
+    of_page = homes.select("host", "sign", "layout").join(specs.select("layout", "spec"), "layout")
+    repeated = light.where("copies > 1").select("host", "page", "copies")
+    rows = own.join(_few(of_page, F.octet_length("spec") + F.octet_length("host") + 40), ["host", "sign"], "left").join(_few(repeated, F.octet_length("host") + 24), ["host", "page"], "left")
+    rows = rows.select("page_id", "url", "html", "layout", "spec", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extractor, counts = Extractor(), Counter()
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner, counts = Aligner(), defaultdict(float)
 
         def flush() -> pa.RecordBatch:
-            # a text of a whole share is of that share in one flush at least, so the others go without it
-            rows = [(h, name, slot, text_key(t), t if n >= SHARE * counts[h, name, -1, ""] else None, n) for (h, name, slot, t), n in counts.items()]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
+            columns = zip(*((*key, w) for key, w in counts.items()), strict=True) if counts else [()] * 7
+            out = _batch(dict(zip(("layout", "slot", "parent", "key", "digest", "chars", "weight"), columns, strict=True)), len(counts))
             counts.clear()
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "layout", "slot", "hash", "text", "n"])
+            return out
 
         for batch in batches:
-            for host, page, spec in zip(*(batch.column(i) for i in range(3)), strict=True):
-                own = host.as_py()
-                name, _, wrapper, pairs = extractor.aligned(page.as_py(), spec.as_py())
-                if wrapper:
-                    place = {id(t): i for i, t in enumerate(slots(wrapper))}
-                    counts[own, name, -1, ""] += 1
-                    counts.update((own, name, place[id(a)], b.text.strip()) for a, b in pairs if b.text.strip())
+            for low in range(0, batch.num_rows, 512):
+                some = batch.slice(low, 512)
+                slots, asides, texts = [], [], []
+                for page, layout, spec, weight in zip(*(some.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                    seen = aligner(page, layout, spec) if page is not None else Observed()
+                    for s, parent, key, digest, chars in seen.slots:
+                        counts[layout, s, parent, key, digest - (1 << 64) if digest >= 1 << 63 else digest, chars] += weight
+                    for out, part in zip((slots, asides, texts), zip(*seen.runs, strict=True) if seen.runs else ((), (), ()), strict=True):
+                        out.append(part)
+                yield _batch({"page_id": some.column(0), "url": some.column(1), "layout": some.column(3), "slots": slots, "asides": asides, "texts": texts}, some.num_rows)
                 if len(counts) > HELD:
                     yield flush()
         yield flush()
 
-    parts = _by_host(pages, start).select("host", "html", "wrapper").mapInArrow(count, "host string, layout string, slot int, hash long, text string, n long")
-    counted, _ = shared.staged(parts.groupBy("host", "layout", "slot", "hash").agg(F.sum("n").alias("n"), F.max("text").alias("text")).where(F.col("n") >= LEAST_PAGES), "wrapper-counts")
-    total = counted.where("slot = -1").select("host", "layout", F.col("n").alias("pages"))
-    # at most 1 / SHARE texts of a slot
-    often = counted.where("slot >= 0").join(total, ["host", "layout"]).where(F.col("n") >= F.col("pages") * SHARE)
-    chosen = often.groupBy("host").agg(F.collect_list(F.struct("layout", "slot", "text", "n", "pages")).alias("texts"))
+    parts, _ = shared.staged(rows.mapInArrow(align, PARTS), "wrapper-parts", codec="zstd")
+    return parts, specs
+
+
+def wrappers(counts: DataFrame, specs: DataFrame) -> DataFrame:
+    """(layout, kept, gone, also, wider, never) of each layout from its slots' counts."""
+    texts = counts.groupBy("layout", "slot", "digest").agg(F.sum("weight").alias("n"), F.max("chars").alias("chars"), F.first("parent").alias("parent"), F.first("key").alias("key"))
+    slots = texts.groupBy("layout", "slot").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("chars").alias("mass"), F.sum(F.col("n") * F.col("chars")).alias("total"), F.first("parent").alias("parent"), F.first("key").alias("key"))
+    # the slots of few pages are never template, and their text hardly weighs; nodes of the pivot are few
+    frequent = slots.where((F.col("slot") >= 0) | (F.col("n") > LEAST_PAGES - 1e-6))
+    listed = specs.join(frequent.groupBy("layout").agg(F.collect_list(F.struct("slot", "parent", "key", "n", "top", "mass", "total")).alias("found")), "layout", "left")
+    names = ("kept", "gone", "also", "wider", "never")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for spec, texts in zip(batch.column(1), batch.column(2), strict=True):
-                own, found = json.loads(spec.as_py()), texts.as_py() or []
-                for name, tree in own["layouts"].items():
-                    here = [r for r in found if r["layout"] == name]
-                    own["layouts"][name] = template_spec(_tree(tree), [(r["slot"], r["text"], r["n"]) for r in here], here[0]["pages"] if here else 0)
-                out.append(json.dumps(own, ensure_ascii=False))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "wrapper"])
+            done = []
+            for pages, spec, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                slots = {r["slot"]: Slot(r["parent"], r["key"], r["n"], r["top"], r["mass"], r["total"]) for r in found or ()}
+                done.append(induce(Pivot.from_json(spec), slots, pages))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([getattr(w, c) for w in done], pa.list_(pa.int64())) for c in names)], ["layout", *names])
 
-    return start.join(chosen, "host", "left").select("host", "wrapper", "texts").mapInArrow(finish, "host string, wrapper string")
+    return listed.select("layout", "pages", "spec", "found").mapInArrow(decide, "layout long, " + ", ".join(f"{c} array<long>" for c in names))
+
+
+def assembled(runs: DataFrame, decided: DataFrame) -> DataFrame:
+    """``runs(page_id, url, layout, slots, asides, texts)`` with the text that the wrappers keep."""
+    size = sum((F.size(c) * 8 for c in ("kept", "gone", "also", "wider", "never")), F.lit(64))
+    joined = runs.join(_few(decided, size), "layout", "left")
+    places = F.sequence(F.lit(0), F.size("slots") - 1)
+
+    def chosen(kept: str, gone: str, also: str | None) -> Column:
+        def is_kept(i: Column) -> Column:
+            slot = F.get("slots", i)
+            below = F.array_contains(kept, F.shiftright(F.negative(slot), 32) - 1) & ~F.array_contains(gone, slot)
+            return ~F.get("asides", i) & F.when(slot >= 0, F.array_contains(kept, slot)).otherwise(below | F.array_contains(also, slot) if also else below)
+
+        return F.transform(F.filter(places, is_kept), lambda i: F.get("texts", i))
+
+    some = F.size("slots") > 0
+    first = joined.withColumn("main", F.when(some, chosen("kept", "gone", "also")))
+    best = F.when(F.size("main") > 0, F.col("main")).when(some, chosen("wider", "never", None))
+    text = F.coalesce(F.array_join(best, "\n\n"), F.lit(""))
+    return first.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of ``pages(page_id, url, html)``.
 
-    Null or empty html gives the empty text. Pages without a host in their url share their wrappers.
-    Repeated rows are extracted alike; further columns are ignored."""
+    Null or empty html, and pages without any visible text, give the empty text. Pages without a host
+    in their url are pages of one host. Pages of any length and width are read whole. Repeated rows are
+    extracted alike and count once; further columns are ignored; an empty table gives an empty one."""
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
-    hosted = pages.select("page_id", "url", "html", host.alias("host"))
-    wrappers, _ = shared.staged(induced(hosted), "wrappers")
-    joined = _by_host(hosted, wrappers)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extractor = Extractor()
-        for batch in batches:
-            texts = [extractor(h.as_py(), w.as_py()) for h, w in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    parts, specs = aligned(pages.select("page_id", "url", "html", host.alias("host")))
+    decided, _ = shared.staged(wrappers(parts.where("slot is not null"), specs), "wrappers")
+    return assembled(parts.where("slot is null").select("page_id", "url", "layout", "slots", "asides", "texts"), decided)
