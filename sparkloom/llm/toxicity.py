@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -42,7 +43,7 @@ BLOCK = 32
 #: A term in more than one of so many rows is common.
 COMMON = 16
 #: Queries searched together, blocks that set a query's first limit, and blocks summed together.
-QUERIES, FIRST, TOGETHER = 64, 8, 4
+QUERIES, FIRST, TOGETHER = 128, 8, 4
 #: Single-precision sums of one pair differ by less.
 ROUNDING = 1e-5
 NEIGHBOURS = 16
@@ -134,6 +135,14 @@ class Terms:
     def __len__(self) -> int:
         return len(self.weights)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "vectorizer"}
+
+    @cached_property
+    def vectorizer(self) -> Vectorizer:
+        """One for all tasks of a worker, as words recur."""
+        return Vectorizer(self)
+
     def weigh(self, seen: np.ndarray, n: int) -> None:
         """Take document frequencies over ``n`` documents into the weights."""
         self.weights = (np.log((n + 1) / (seen + 1)) + 1) * self.weights
@@ -238,7 +247,7 @@ def document_counts(docs: DataFrame, terms: Terms, shipped: Broadcast) -> tuple[
     """Documents of ``docs`` with each term, and all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectorize = Vectorizer(shipped.value)
+        vectorize = shipped.value.vectorizer
         seen = np.zeros(len(shipped.value) + 1, np.int64)
         for batch in batches:
             seen[-1] += batch.num_rows
@@ -298,6 +307,10 @@ class Index:
         weights = np.concatenate([np.zeros(0, np.float32), *(vectors[i][1].astype(np.float32) for i in order)])
         return cls._filled(cuts, np.stack([rows[by_term], weights[by_term].view(np.int32)], 1), votes[order], doc_ids[order])
 
+    @cached_property
+    def listed(self) -> list[list[float]]:
+        return self.votes.tolist()
+
     def _rare(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Each row's sum over the postings of terms that are not common."""
         spans = [slice(a, b) for a, b in zip(self.cuts[places].tolist(), self.cuts[places + 1].tolist(), strict=True)]
@@ -327,12 +340,12 @@ class Index:
             bounds = sums.reshape(len(some), n_blocks, BLOCK).max(axis=2) + often @ self.most
             first = np.argpartition(-bounds, FIRST, axis=1)[:, :FIRST] if n_blocks > FIRST else np.tile(np.arange(n_blocks), (len(some), 1))
             kth = np.zeros(len(some), np.float32)
-            for i, blocks in enumerate(first):
-                rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-                if len(rows) >= k:
-                    kth[i] = np.partition(sums[i, rows] + self.dense[rows] @ often[i], -k)[-k]
+            for i, blocks in enumerate(first.tolist()):
+                if len(blocks) * BLOCK >= k:
+                    found = np.concatenate([sums[i, b * BLOCK : (b + 1) * BLOCK] + self.dense[b * BLOCK : (b + 1) * BLOCK] @ often[i] for b in blocks])
+                    kth[i] = np.partition(found, -k)[-k]
             # a hair lower, as sums in another order and precision round differently
-            kth = np.maximum(kth - ROUNDING, 0)
+            kth = np.maximum(kth - ROUNDING, np.finfo(np.float32).tiny)
             needed = bounds >= kth[:, None]
             for low in range(0, n_blocks, TOGETHER):
                 who = np.flatnonzero(needed[:, low : low + TOGETHER].any(axis=1))
@@ -345,7 +358,7 @@ class Index:
                     part[:] = 0
                     part[who] = found
             for i in range(len(some)):
-                hits = np.flatnonzero((sums[i] >= kth[i]) & (sums[i] > 0))
+                hits = np.flatnonzero(sums[i] >= kth[i])
                 cosines = np.round(sums[i, hits].astype(np.float64), 7)
                 best = np.lexsort((hits, -cosines))[:k]
                 out.append(list(zip(cosines[best].tolist(), hits[best].tolist(), strict=True)))
@@ -372,10 +385,10 @@ class Model:
 
     def vote(self, near: list[tuple[float, int]], without: tuple[int, int] | None = None) -> float:
         """Log-odds of the distance-weighted votes; ``without`` takes one example (row, label) out."""
-        toxic, total = self.prior, 1.0
+        toxic, total, votes = self.prior, 1.0, self.index.listed
         for cosine, row in near:
             weight = 1 / (max(0.0, 1 - cosine) + SOFT)
-            clean, bad = self.index.votes[row]
+            clean, bad = votes[row]
             if without and without[0] == row:
                 clean, bad = clean - (not without[1]), bad - without[1]
             toxic += weight * bad
@@ -399,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     prior = (toxic + 1) / (toxic + clean + 2)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectorize = Vectorizer(shipped.value)
+        vectorize = shipped.value.vectorizer
         for batch in batches:
             keys = [np.stack(vectorize.counts(t.as_py())[:2]).astype(np.int32).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(2)], ["doc_id", "vector", "toxic"])
@@ -413,7 +426,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
         own[2] = min(own[2], r["doc_id"])
     empty = grouped.pop(b"", [0, 0, 0])
     known = sorted(grouped)
-    weigh = Vectorizer(terms)
+    weigh = terms.vectorizer
     sparse = [(p.astype(np.int32), weigh.weights(p, n, n[:0]).astype(np.float32)) for p, n in map(_unpacked, known)]
     votes = np.array([grouped[v][:2] for v in known], np.float64).reshape(-1, 2)
     # the place in ``known`` stands for the doc_id until the rows are in order
@@ -445,7 +458,7 @@ def _calibrate(model: Model, made: DataFrame, row_of: dict[bytes, int]) -> tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = shipped.value, places_of.value
-        weigh = Vectorizer(own.idf)
+        weigh = own.idf.vectorizer
         for batch in batches:
             vectors, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             near = own.index.search([(p, weigh.weights(p, n, n[:0])) for p, n in map(_unpacked, vectors)], NEIGHBOURS)
@@ -478,14 +491,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = replace(shipped.value, slope=curve[0], offset=curve[1])
-        vectorize = Vectorizer(own.idf)
+        vectorize = own.idf.vectorizer
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
-        votes = own.index.votes
+        votes, ids = own.index.listed, own.index.doc_ids.tolist()
         for batch in batches:
             scores, evidence = [], []
             for near in own.nearest(batch.column(1), vectorize):
                 scores.append(own.score(near))
-                evidence.append([{"doc_id": int(own.index.doc_ids[r]), "cosine": s, "toxic_share": float(votes[r][1] / votes[r].sum())} for s, r in near[:3]])
+                evidence.append([{"doc_id": ids[r], "cosine": s, "toxic_share": votes[r][1] / sum(votes[r])} for s, r in near[:3]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "evidence"])
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
@@ -505,7 +518,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
     def make():
         own = replace(shipped.value, slope=curve[0], offset=curve[1])
-        vectorize = Vectorizer(own.idf)
+        vectorize = own.idf.vectorizer
         return lambda texts: [own.score(near) < threshold for near in own.nearest(texts, vectorize)]
 
     return shared.rows_where(docs, make)
