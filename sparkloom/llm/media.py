@@ -1,13 +1,14 @@
 """Telephony audio columns: mu-law, A-law and IMA ADPCM to resampled 16-bit PCM.
 
 Companded samples expand through 256-entry tables built from the G.711 rules. ADPCM is decoded
-across blocks: all blocks of a stream step through their samples together, one numpy operation per
-sample place instead of one per sample. A stream is whole and self-contained in its row.
+across blocks: all blocks of all streams of a batch step through their samples together, one numpy
+operation per sample place instead of one per sample. A stream is whole and self-contained in its row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ TELEPHONE_RATE = 8000
 FRAME = 64
 #: Samples of a stream that are resampled and measured at once.
 CHUNK = 1 << 20
+#: Bytes of files that are decoded at once.
+BATCH_BYTES = 1 << 20
 
 
 def mulaw_table() -> np.ndarray:
@@ -53,33 +56,47 @@ STEP_SIZES = np.array(
     ],
     np.int32,
 )
-
-
-def decode_adpcm(data: bytes, block_bytes: int) -> np.ndarray:
-    """Mono IMA ADPCM: blocks of a 4-byte header (first sample, step index) and packed nibbles.
-
-    A last short block is decoded to its own length."""
-    out = []
-    n, short = divmod(len(data), block_bytes)
-    for rows, size in ((n, block_bytes), (1 if short > 4 else 0, short)):
-        if not rows:
-            continue
-        blocks = np.frombuffer(data, np.uint8, rows * size, 0 if size == block_bytes else n * block_bytes)
-        blocks = blocks.reshape(rows, size)
-        value = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
-        index = np.clip(blocks[:, 2].astype(np.int32), 0, 88)
-        codes = np.empty((rows, 2 * (size - 4)), np.int32)
-        codes[:, 0::2], codes[:, 1::2] = blocks[:, 4:] & 15, blocks[:, 4:] >> 4
-        samples = np.empty((rows, codes.shape[1] + 1), np.int16)
-        samples[:, 0] = value
-        for j in range(codes.shape[1]):
-            code, step = codes[:, j], STEP_SIZES[index]
-            change = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
-            value = np.clip(np.where(code & 8, value - change, value + change), -32768, 32767)
-            index = np.clip(index + INDEX_CHANGES[code], 0, 88)
-            samples[:, j + 1] = value
-        out.append(samples.reshape(-1))
-    return np.concatenate(out) if out else np.zeros(0, np.int16)
+_CODE = np.arange(16)
+#: Change of the sample by step index and code.
+_CHANGES = np.where(_CODE & 8, -1, 1) * sum((STEP_SIZES[:, None] >> shift) * ((_CODE >> bit & 1) if bit is not None else 1) for shift, bit in ((3, None), (2, 0), (1, 1), (0, 2)))
+#: ADPCM blocks that are decoded together.
+BLOCKS = 16_384
+
+
+def _decoded_blocks(blocks: np.ndarray) -> np.ndarray:
+    """Samples of IMA ADPCM blocks of one size (rows), all blocks stepping through their samples together."""
+    value = np.ascontiguousarray(blocks[:, :2]).view("<i2")[:, 0].astype(np.int32)
+    index = np.minimum(blocks[:, 2].astype(np.int32), 88)
+    codes = np.empty((2 * (blocks.shape[1] - 4), len(blocks)), np.uint8)
+    codes[0::2], codes[1::2] = blocks[:, 4:].T & 15, blocks[:, 4:].T >> 4
+    samples = np.empty((len(codes) + 1, len(blocks)), np.int16)
+    samples[0] = value
+    for j, code in enumerate(codes):
+        value = np.clip(value + _CHANGES[index, code], -32768, 32767)
+        index = np.clip(index + INDEX_CHANGES[code], 0, 88)
+        samples[j + 1] = value
+    return samples.T
+
+
+def decode_adpcm(streams: list[bytes], block_bytes: int) -> list[np.ndarray]:
+    """Mono IMA ADPCM streams: blocks of a 4-byte header (first sample, step index) and packed nibbles.
+
+    The blocks of all streams are decoded together, about ``BLOCKS`` at once; last short blocks to
+    their own length."""
+    if block_bytes < 5:
+        raise ValueError("an ADPCM block has a header and samples")
+    whole = [np.frombuffer(x, np.uint8, len(x) // block_bytes * block_bytes).reshape(-1, block_bytes) for x in streams]
+    blocks = np.concatenate([np.zeros((0, block_bytes), np.uint8), *whole])
+    samples = np.concatenate([np.zeros((0, 2 * block_bytes - 7), np.int16), *(_decoded_blocks(blocks[at : at + BLOCKS]) for at in range(0, len(blocks), BLOCKS))])
+    out, at = [], 0
+    for stream, own in zip(streams, whole, strict=True):
+        parts = [samples[at : at + len(own)].reshape(-1)]
+        short = np.frombuffer(stream, np.uint8, offset=own.size)
+        if len(short) > 4:
+            parts.append(_decoded_blocks(short[None])[0])
+        out.append(np.concatenate(parts))
+        at += len(own)
+    return out
 
 
 def wav(codec: int, rate: int, data: bytes, block_bytes: int = 1, bits: int = 8) -> bytes:
@@ -115,7 +132,7 @@ def decode(codec: int, data: bytes | memoryview, block_bytes: int = 1) -> np.nda
     if codec in TABLES:
         return TABLES[codec][np.frombuffer(data, np.uint8)]
     if codec == ADPCM:
-        return decode_adpcm(bytes(data), block_bytes)
+        return decode_adpcm([bytes(data)], block_bytes)[0]
     if codec == PCM:
         return np.frombuffer(data, "<i2")
     raise ValueError(f"codec {codec} is not a telephony codec")
@@ -138,52 +155,84 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
 
 def features(pcm: np.ndarray, rate: int) -> str:
     """Level, zero crossings and extremes of resampled PCM, with its checksum, as one string."""
-    wide = pcm.astype(np.float64)
-    energy = float(np.sqrt((wide * wide).mean())) if len(pcm) else 0.0
-    crossings = int((np.signbit(pcm[1:]) != np.signbit(pcm[:-1])).sum()) if len(pcm) else 0
+    squares = sum(int((wide * wide).sum()) for at in range(0, len(pcm), CHUNK) for wide in [pcm[at : at + CHUNK].astype(np.int64)])
+    energy = math.sqrt(squares / len(pcm)) if len(pcm) else 0.0
+    crossings = int(((pcm[1:] < 0) != (pcm[:-1] < 0)).sum()) if len(pcm) else 0
     low, high = (int(pcm.min()), int(pcm.max())) if len(pcm) else (0, 0)
     return f"rate={rate};n={len(pcm)};rms={energy:.3f};zc={crossings};min={low};max={high};pcm={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
 
 
-def decode_media(media: DataFrame, rate: int = 16_000, keep_pcm: bool = True) -> DataFrame:
-    """Add to ``media(media binary, ...)``: codec, n_samples, feature and, if asked, pcm (16-bit, ``rate``).
+def decode_files(files: list[bytes | None]) -> list[tuple[int, np.ndarray, int] | str | None]:
+    """For each RIFF file its codec, samples and rate, or what is wrong with it; ADPCM streams of one
+    block size are decoded together."""
+    out: list[tuple[int, np.ndarray, int] | str | None] = [None] * len(files)
+    adpcm: dict[int, list[tuple[int, int, bytes]]] = {}
+    for i, value in enumerate(files):
+        if value is None:
+            continue
+        try:
+            codec, rate, block_bytes, data = parse_wav(value)
+            if not rate:
+                raise ValueError("the file has no sample rate")
+            if codec == ADPCM and block_bytes > 4:
+                adpcm.setdefault(block_bytes, []).append((i, rate, bytes(data)))
+            else:
+                out[i] = codec, decode(codec, data, block_bytes), rate
+        except (ValueError, struct.error) as problem:
+            out[i] = str(problem)
+    for block_bytes, own in adpcm.items():
+        for (i, rate, _), pcm in zip(own, decode_adpcm([x[2] for x in own], block_bytes), strict=True):
+            out[i] = ADPCM, pcm, rate
+    return out
+
+
+def _some(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose values in ``column`` are about ``BATCH_BYTES`` together, one row at least."""
+    ends = np.cumsum([0 if not v.is_valid else len(v.as_buffer()) for v in batch.column(batch.schema.get_field_index(column))])
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES)) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
+def decode_media(media: DataFrame, rate: int = 16_000) -> DataFrame:
+    """Add to ``media(media binary, ...)``: codec, n_samples, pcm (16-bit, ``rate``), problem.
 
     Null media gives nulls; a file that is no telephony RIFF gives nulls too and its reason in
-    ``problem``. Columns of those names in the input are replaced; others pass through.
-    """
-    added = {"codec": "int", "n_samples": "long", "feature": "string", "problem": "string"} | ({"pcm": "binary"} if keep_pcm else {})
+    ``problem``; a file without samples has empty pcm. Files of any length are decoded whole, equal
+    files alike. Columns of those names in the input are replaced; others pass through."""
+    added = {"codec": "int", "n_samples": "long", "pcm": "binary", "problem": "string"}
     kept = media.drop(*added)
-    arrow_types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    place = kept.columns.index("media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value in batch.column(place):
-                row: dict = dict.fromkeys(added)
-                if value.is_valid:
-                    try:
-                        codec, own, block_bytes, data = parse_wav(value.as_buffer())
-                        pcm = decode(codec, data, block_bytes)
-                        new = resample(pcm, own, rate)
-                        row |= {"codec": codec, "n_samples": len(new), "feature": features(new, rate)}
-                        if keep_pcm:
-                            row["pcm"] = new.astype("<i2").tobytes()
-                    except (ValueError, struct.error, ZeroDivisionError) as problem:
-                        row["problem"] = str(problem)
-                rows.append(row)
-            more = [pa.array([r[c] for r in rows], arrow_types[t]) for c, t in added.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added])
+        for whole in batches:
+            for batch in _some(whole, "media"):
+                files = [v.as_buffer().to_pybytes() if v.is_valid else None for v in batch.column(batch.schema.get_field_index("media"))]
+                done = [(x[0], resample(x[1], x[2], rate)) if isinstance(x, tuple) else x for x in decode_files(files)]
+                good = [x if isinstance(x, tuple) else None for x in done]
+                more = [
+                    pa.array([x and x[0] for x in good], pa.int32()), pa.array([x and len(x[1]) for x in good], pa.int64()),
+                    pa.array([x and x[1].astype("<i2").tobytes() for x in good], pa.binary()), pa.array([x if isinstance(x, str) else None for x in done], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + "".join(f", {c} {t}" for c, t in added.items())
     return kept.mapInArrow(run, schema)
 
 
-def bytes_to_media(docs: DataFrame, codec: int = MULAW, rate: int = TELEPHONE_RATE) -> DataFrame:
+def dealt_codec(payload: bytes) -> int:
+    """Mu-law, A-law or ADPCM by the payload's crc32, so that equal payloads are stored alike."""
+    return (MULAW, ALAW, ADPCM)[zlib.crc32(payload) % 3]
+
+
+def bytes_to_media(docs: DataFrame, codec: int | None = None, rate: int = TELEPHONE_RATE) -> DataFrame:
     """``docs(doc_id, text)`` as (doc_id, n_bytes, media): the text's UTF-8 bytes, zero-padded to a
-    positive multiple of ``FRAME``, are the 8-bit codes of a companded RIFF file. Null is empty."""
-    if codec not in TABLES:
-        raise ValueError("8-bit samples need mu-law or A-law")
+    positive multiple of ``FRAME``, are the 8-bit codes of a companded RIFF file or the blocks of an
+    ADPCM one, each of ``FRAME`` bytes; without ``codec`` by ``dealt_codec``. Null is empty, texts of
+    any length are whole, equal texts are stored alike, repeated rows stay, further columns are ignored."""
+    if codec is not None and codec not in (*TABLES, ADPCM):
+        raise ValueError("bytes are stored as mu-law, A-law or ADPCM")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,14 +240,19 @@ def bytes_to_media(docs: DataFrame, codec: int = MULAW, rate: int = TELEPHONE_RA
             for value in batch.column(1):
                 data = bytes(value.as_buffer()) if value.is_valid else b""
                 sizes.append(len(data))
-                media.append(wav(codec, rate, data.ljust(max(FRAME, -(-len(data) // FRAME) * FRAME), b"\0")))
+                payload = data.ljust(max(FRAME, -(-len(data) // FRAME) * FRAME), b"\0")
+                own = codec or dealt_codec(payload)
+                media.append(wav(own, rate, payload, FRAME, 4) if own == ADPCM else wav(own, rate, payload))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
-    """Digests of stored media and of the payload read back from them."""
+    """``stored(media, ...)`` with the digests of the media and of the payload read back from them, in
+    place of the media."""
+    kept = stored.drop("media")
+    others = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,18 +263,36 @@ def media_digests(stored: DataFrame) -> DataFrame:
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            own = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "n_bytes", "feature")]
-            names = ["doc_id", "n_bytes", "feature", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names)
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], [*others, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return stored.mapInArrow(run, schema + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
+
+
+def pcm_features(stored: DataFrame, rate: int = 16_000) -> DataFrame:
+    """``stored(pcm, ...)`` with ``feature`` of the samples in place of ``pcm``; null for null."""
+    kept = stored.drop("pcm")
+    others = kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(np.frombuffer(v.as_buffer(), "<i2"), rate) if v.is_valid else None for v in batch.column(batch.schema.get_field_index("pcm"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(found, pa.string())], [*others, "feature"])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
+    return stored.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", feature string")
 
 
 def store_texts_as_media(docs: DataFrame) -> DataFrame:
-    """Write ``docs`` as mu-law media to the shared folder, read them back, decode, digest."""
-    spark = docs.sparkSession
-    path = shared.new_path(spark, "media")
-    bytes_to_media(docs).write.option("compression", "zstd").parquet(path)
-    stored = spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
-    out = media_digests(decode_media(stored, keep_pcm=False))
+    """Write ``docs(doc_id, text)`` as media of all three codecs to the shared folder, read them back,
+    write their resampled PCM there too, and return digests of the media and features of the PCM as
+    read back.
+
+    Null and empty texts have one frame of zero bytes; texts of any length are whole; equal texts have
+    equal values; repeated rows and null doc_ids are rows like others; further columns are ignored; an
+    empty table gives an empty one. Both tables stay for whoever uses them."""
+    media, _ = shared.staged(bytes_to_media(docs), "media", codec="zstd")
+    decoded = decode_media(media.select("doc_id", "n_bytes", "media")).drop("codec", "n_samples", "problem")
+    pcm, _ = shared.staged(media_digests(decoded), "pcm", codec="zstd", level=9)
+    out = pcm_features(pcm)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("feature"))

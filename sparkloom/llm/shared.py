@@ -23,10 +23,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder; the table read again and its path."""
+def staged(df: DataFrame, name: str, codec: str = "snappy", level: int = 3) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder; the table read again and its path. ``level`` is that of zstd."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -36,7 +36,9 @@ def plain_adpcm(block):
 def test_adpcm_equals_plain_decoding(size):
     data = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8).tobytes()
     want = [s for at in range(0, size, 256) if len(data[at : at + 256]) == 256 or len(data[at : at + 256]) > 4 for s in plain_adpcm(data[at : at + 256])]
-    assert media.decode_adpcm(data, 256).tolist() == want
+    assert media.decode_adpcm([data], 256)[0].tolist() == want
+    together = media.decode_adpcm([data, b"", data[: size // 2], data], 256)
+    assert together[0].tolist() == together[3].tolist() == want and not len(together[1])
 
 
 def test_resample():
@@ -58,8 +60,8 @@ def test_decode_media_keeps_pcm_and_names_problems(spark):
     df = spark.createDataFrame([(1, good), (2, None), (3, b"RIFF"), (4, adpcm), (5, media.wav(99, 8000, b"x"))], "doc_id long, media binary")
     got = {r["doc_id"]: r for r in media.decode_media(df, 16_000).collect()}
     assert got[1]["n_samples"] == 128 and len(got[1]["pcm"]) == 256 and got[1]["codec"] == media.ALAW
-    assert got[2]["feature"] is None and got[2]["problem"] is None
-    assert got[3]["feature"] is None and "RIFF" in got[3]["problem"]
+    assert got[2]["pcm"] is None and got[2]["problem"] is None
+    assert got[3]["pcm"] is None and "RIFF" in got[3]["problem"]
     assert got[4]["n_samples"] == 2 * 505 and "99" in got[5]["problem"]
 
 
@@ -68,14 +70,19 @@ def test_texts_as_media(spark):
     got = media.store_texts_as_media(docs).collect()
     texts = {(r["doc_id"], r["text"]) for r in docs.collect()}
     assert len(got) == docs.count()
-    by_text = {}
+    by_text, seen = {}, set()
     for r in got:
         data = next((t or "").encode() for d, t in texts if d == r["doc_id"] and len((t or "").encode()) == r["n_bytes"])
         payload = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        whole = media.wav(media.MULAW, 8000, payload)
+        codec = (media.MULAW, media.ALAW, media.ADPCM)[zlib.crc32(payload) % 3]
+        whole = media.wav(codec, 8000, payload, 64, 4) if codec == media.ADPCM else media.wav(codec, 8000, payload)
+        seen.add(codec)
+        pcm = media.resample(media.decode(codec, payload, 64), 8000, 16000)
+        assert r["feature"] == media.features(pcm, 16000)
         assert (r["media_bytes"], r["media_sha256"]) == (len(whole), hashlib.sha256(whole).hexdigest())
         assert by_text.setdefault(data, r["feature"]) == r["feature"]
+    assert seen == {media.MULAW, media.ALAW, media.ADPCM}
 
 
 def test_empty_and_codecs(spark):
