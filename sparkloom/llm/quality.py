@@ -1,77 +1,120 @@
 """Quality by co-training two views of a document: its text, and its metadata.
 
-Each view has a ridge-penalized logistic regression. In every round, each view labels the unlabelled
-rows that it is confident of, at most ``TAKEN`` of each class, and these pseudo-labels join the
-*other* view's training rows. Afterwards, labelled rows that no view was trained on calibrate each
-view, and a logistic curve over both calibrated log-odds combines them. The fitted weights, a few
-hundred numbers, score every document.
+The text view has hashed words, word pairs and character trigrams of the whole text beside a few
+statistics; the metadata view has language, source and stated length. The features of all documents
+are made once and staged. Each view has a ridge-penalized logistic regression. In every round both
+views score all unlabelled documents on the cluster; the ``TAKEN`` documents of each class that a
+view is most confident of join the *other* view's training rows with that label. Afterwards,
+labelled rows that no view was trained on calibrate each view, and a logistic curve over both
+calibrated log-odds combines them. The fitted weights, some two thousand numbers, score every document.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import shared
 
-#: Labelled and unlabelled rows that are learnt from, at most.
-MAX_LABELLED, MAX_UNLABELLED = 12_000, 8_000
-ROUNDS, TAKEN = 5, 400
+#: Labelled rows that are learnt from, at most; those of the smallest hash of doc_id.
+MAX_LABELLED = 12_000
+#: Rounds, and documents that a view labels in one, of each class.
+ROUNDS, TAKEN = 4, 400
 #: Probability from which a view's own label counts as confident.
 CONFIDENT = 0.97
 #: One labelled row in so many only calibrates.
 CALIBRATION_FOLD = 4
-WORD_SLOTS, SOURCE_SLOTS, LANG_SLOTS = 96, 64, 16
+#: Places of hashed words and pairs, and of hashed trigrams.
+WORD_SLOTS, GRAM_SLOTS = 512, 512
+SOURCE_SLOTS, LANG_SLOTS = 64, 16
+#: Steps of a hashed count's logarithm, and the length of the hashed part of a vector.
+STEPS, LENGTH = 16, 4.0
 RIDGE = 1.0
-_WORD = re.compile(r"\S+")
+#: Distinct words whose places a worker keeps at once.
+WORD_CACHE = 100_000
 
 STATISTICS = (
     "bias", "log_words", "distinct_share", "top_share", "repeat_share", "upper_share", "digit_share", "symbol_share", "mark_share",
     "word_length", "long_share", "shout_share", "ended_share", "lines", "repeated_lines", "odd_ends", "url_share", "space_share",
 )
-N_TEXT = len(STATISTICS) + WORD_SLOTS
+N_STATS, N_HASHED = len(STATISTICS), WORD_SLOTS + GRAM_SLOTS
 N_META = 8 + SOURCE_SLOTS + LANG_SLOTS
 
 
-def text_features(text: str | None) -> np.ndarray:
-    """Statistics of the whole text and hashed word ends and punctuation, as shares of its words."""
-    text = text or ""
-    words = text.split()
-    n, out = max(1, len(words)), np.zeros(N_TEXT, np.float32)
-    counts = Counter(words)
-    size = max(1, len(text))
-    upper = sum(map(str.isupper, words))
-    letters = sum(map(str.isalpha, words))
+def statistics(text: str, words: list[str], counts: Counter) -> np.ndarray:
+    """Shares and sizes of the whole text; zeros but for the constant without text."""
+    out = np.zeros(N_STATS, np.float32)
+    n, size = max(1, len(words)), max(1, len(text))
     lines = [x for x in text.split("\n") if x]
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    raw = text.encode()
-    codes = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    ascii_letters = codes[65:91].sum() + codes[97:123].sum()
+    codes = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+    upper = codes[65:91].sum()
+    ascii_letters = upper + codes[97:123].sum()
     digits, spaces = codes[48:58].sum(), codes[32] + codes[9:14].sum()
-    symbols = codes[33:128].sum() - ascii_letters - digits
-    marks = codes[[44, 46]].sum()
-    alphas = max(1, codes[65:91].sum() + codes[97:123].sum())
-    odd = sum(c for w, c in counts.items() if not w[-1].isalnum() and w[-1] not in ".,")
-    out[: len(STATISTICS)] = (
-        1, np.log1p(len(words)), len(counts) / n, max(counts.values(), default=0) / n, repeats / n, codes[65:91].sum() / alphas, digits / size,
-        (symbols - marks) / size, marks / size, lengths.mean() / 10 if len(words) else 0, (lengths > 16).sum() / n, upper / n, letters / n,
+    symbols, marks = codes[33:128].sum() - ascii_letters - digits, codes[[44, 46]].sum()
+    shouts, plain, odd = 0, 0, 0
+    for word, count in counts.items():
+        shouts += count * word.isupper()
+        plain += count * word.isalpha()
+        odd += count * (not word[-1].isalnum() and word[-1] not in ".,")
+    out[:] = (
+        1, np.log1p(len(words)), len(counts) / n, max(counts.values(), default=0) / n, repeats / n, upper / max(1, ascii_letters), digits / size,
+        (symbols - marks) / size, marks / size, lengths.mean() / 10 if len(words) else 0, (lengths > 16).sum() / n, shouts / n, plain / n,
         np.log1p(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), odd / n, (text.count("://") + text.count("@")) / n, spaces / size,
     )
-    for word, count in counts.items():
-        if not word.isalpha():
-            out[len(STATISTICS) + zlib.crc32(word[-2:].encode()) % WORD_SLOTS] += count / n
     return out
 
 
+class TextFeatures:
+    """Statistics and hashed counts of whole texts; keeps the places of words between texts."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[int, np.ndarray]] = {}
+
+    def _learn(self, word: str) -> None:
+        marked = f"^{word}$"
+        grams = [WORD_SLOTS + zlib.crc32(marked[i : i + 3].encode("utf-8", "surrogatepass")) % GRAM_SLOTS for i in range(len(marked) - 2)]
+        whole = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        self.known[word] = whole, np.array([whole % WORD_SLOTS, *grams], np.int64)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The statistics, and ``N_HASHED`` logarithms of counts in steps of 1 / ``STEPS`` (uint8)."""
+        text = text or ""
+        words = text.split()
+        counts = Counter(words)
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        for word in counts.keys() - self.known.keys():
+            self._learn(word)
+        found = np.zeros(N_HASHED)
+        if counts:
+            own = [self.known[w] for w in counts]
+            places = np.concatenate([x for _, x in own])
+            times = np.repeat(np.fromiter(counts.values(), np.int64, len(own)), [len(x) for _, x in own])
+            found = np.bincount(places, times, minlength=N_HASHED)
+            hashes = np.fromiter((self.known[w][0] for w in words), np.int64, len(words))
+            # a pair of words by both hashes in order
+            found[:WORD_SLOTS] += np.bincount((hashes[:-1] * 31 + hashes[1:]) % 1_000_003 % WORD_SLOTS, minlength=WORD_SLOTS)
+        steps = np.round(STEPS * np.where(found > 0, 1 + np.log2(np.maximum(found, 1)), 0))
+        return statistics(text, words, counts), np.minimum(steps, 255).astype(np.uint8)
+
+
+def text_rows(stats: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Feature rows of the text view: statistics, and hashed parts of one length."""
+    wide = hashed.astype(np.float32)
+    norm = np.sqrt(np.einsum("ij,ij->i", wide, wide))
+    wide *= (LENGTH / np.maximum(norm, 1e-6))[:, None]
+    return np.concatenate([stats.astype(np.float32), wide], axis=1)
+
+
 def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     """Language and source, hashed with null as a value of its own, and the stated length."""
     out = np.zeros(N_META, np.float32)
@@ -82,37 +125,48 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None) ->
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
-    """Weights of a ridge-penalized logistic regression, by Newton's method."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 200) -> np.ndarray:
+    """Weights of a ridge-penalized logistic regression, by L-BFGS; the first column is a constant."""
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
 
-    def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * w * w).sum())
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = (x @ w.astype(x.dtype)).astype(np.float64)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * w * w).sum()), (x.T @ (p - y).astype(x.dtype)).astype(np.float64) + penalty * w
 
-    at = loss(w)
+    w = np.zeros(x.shape[1])
+    loss, g = at(w)
+    memory: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + penalty * w
-        h = (x * (p * (1 - p))[:, None]).T @ x
-        h[np.diag_indices_from(h)] += penalty
-        step, scale = np.linalg.solve(h, g), 1.0
-        while scale > 1e-4 and (new := loss(w - scale * step)) > at:
+        if np.abs(g).max() < 1e-5 * max(1.0, len(y) ** 0.5):
+            break
+        q, kept = g.copy(), []
+        for s, d, rho in reversed(memory):
+            kept.append(rho * (s @ q))
+            q -= kept[-1] * d
+        q *= (memory[-1][0] @ memory[-1][1]) / (memory[-1][1] @ memory[-1][1]) if memory else 1 / max(1.0, np.abs(g).sum())
+        for (s, d, rho), alpha in zip(memory, reversed(kept), strict=True):
+            q += (alpha - rho * (d @ q)) * s
+        slope, scale = g @ q, 1.0
+        new, new_g = at(w - q)
+        while new > loss - 1e-4 * scale * slope and scale > 1e-8:
             scale /= 2
-        w = w - scale * step
-        if at - new < 1e-7 * max(1.0, at):
+            new, new_g = at(w - scale * q)
+        if new >= loss:
             break
-        at = new
+        s, d = -scale * q, new_g - g
+        if s @ d > 1e-12:
+            memory = [*memory[-9:], (s, d, 1 / (s @ d))]
+        w, loss, g = w + s, new, new_g
     return w
 
 
-def standardized(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Means and scales of features; the first is a constant and stays."""
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    mean[0], scale[0] = 0, 1
-    return mean, np.where(scale < 1e-6, 1.0, scale)
+def standardized(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and scales of the first ``n`` features; the first one is a constant and stays, as do the rest."""
+    mean, scale = np.zeros(x.shape[1], np.float32), np.ones(x.shape[1], np.float32)
+    mean[1:n], scale[1:n] = x[:, 1:n].mean(axis=0), x[:, 1:n].std(axis=0)
+    return mean, np.where(scale < 1e-6, 1, scale).astype(np.float32)
 
 
 @dataclass
@@ -123,8 +177,11 @@ class View:
     slope: float = 1.0
     offset: float = 0.0
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.scale
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.weights, -30, 30)
+        return np.clip(self.scaled(x).astype(np.float64) @ self.weights, -30, 30)
 
     def calibrated(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.slope * self.logit(x) + self.offset, -12, 12)
@@ -143,32 +200,34 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-x)) for x in (both, a, b))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> CoTrained:
-    """``labels``: 1, 0, or -1 for unlabelled rows; labelled rows of ``fold`` only calibrate."""
-    views = [View(*standardized(x), np.zeros(x.shape[1])) for x in (text, meta)]
-    scaled = [(x - v.mean) / v.scale for x, v in zip((text, meta), views, strict=True)]
-    train, calibrate, pool = (labels >= 0) & ~fold, (labels >= 0) & fold, labels < 0
+#: Finds confident documents: given both views, for each view (text, meta) the features of both views
+#: and the labels of the unlabelled rows that it is most confident of.
+Pool = Callable[[View, View], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, fold: np.ndarray, confident: Pool) -> CoTrained:
+    """From labelled rows; those of ``fold`` only calibrate."""
+    views = [View(*standardized(x, n), np.zeros(x.shape[1])) for x, n in ((text, N_STATS), (meta, N_META))]
+    train, calibrate = ~fold, fold
     if len({*labels[calibrate]}) < 2:
         calibrate = train
-    own = [np.where(train, labels, -1) for _ in views]
+    own = [(x[train], labels[train].astype(np.float64)) for x in (text, meta)]
+    given: list[dict[bytes, tuple[np.ndarray, float]]] = [{}, {}]  # a view's pseudo-labelled rows, each once
     rounds = []
     for k in range(ROUNDS + 1):
-        for v, x, y in zip(views, scaled, own, strict=True):
-            known = y >= 0
-            v.weights = logistic(x[known].astype(np.float64), y[known].astype(np.float64)) if known.any() else v.weights
-        if k == ROUNDS:
+        for v, (x, y), more in zip(views, own, given, strict=True):
+            rows = np.concatenate([x, *(r[None] for r, _ in more.values())]) if more else x
+            if len(rows):
+                v.weights = logistic(v.scaled(rows).astype(np.float32), np.concatenate([y, [label for _, label in more.values()]]))
+        if k == ROUNDS or not train.any():
             break
-        given = [0, 0]
-        for i, (v, x) in enumerate(zip(views, scaled, strict=True)):
-            other = own[1 - i]
-            p = 1 / (1 + np.exp(-np.clip(x @ v.weights, -30, 30)))
-            for label, sure in ((1, p), (0, 1 - p)):
-                open_ = np.flatnonzero(pool & (other < 0) & (sure >= CONFIDENT))
-                taken = open_[np.argsort(-sure[open_], kind="stable")[:TAKEN]]
-                other[taken] = label
-                given[1 - i] += len(taken)
-        rounds.append(tuple(given))
-        if not any(given):
+        before = [len(x) for x in given]
+        for i, (some_text, some_meta, some_labels) in enumerate(confident(*views)):
+            rows = (some_text, some_meta)[1 - i]
+            for key, row, label in zip((some_text if i else some_meta), rows, some_labels, strict=True):
+                given[1 - i].setdefault(key.tobytes() + row.tobytes(), (row, float(label)))
+        rounds.append((len(given[0]) - before[0], len(given[1]) - before[1]))
+        if not any(rounds[-1]):
             break
     y = labels[calibrate].astype(np.float64)
     logits = []
@@ -182,61 +241,102 @@ def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, fold: np.nd
     return CoTrained(views[0], views[1], combined, rounds)
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Text and metadata features of a batch that has text, lang, source, n_chars."""
-    text, lang, source, n_chars = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "lang", "source", "n_chars"))
-    left = np.array([text_features(t.as_py()) for t in text], np.float32).reshape(-1, N_TEXT)
-    right = np.array([meta_features(*x) for x in zip(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist(), strict=True)], np.float32).reshape(-1, N_META)
-    return left, right
+FEATURES = "doc_id long, lang string, source string, n_chars long, stats binary, hashed binary"
 
 
-def sampled(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled: int) -> DataFrame:
-    """At most so many labelled and unlabelled rows of ``docs``, those of the smallest hashes, with
-    ``quality`` (-1: unlabelled) and ``fold``."""
-    once = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
-    by_hash: list[Column] = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = once.orderBy(*by_hash).limit(labelled)
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().join(once.select("doc_id"), "doc_id", "left_anti")
-    free = ids.orderBy(*by_hash).limit(unlabelled).select("doc_id", F.lit(-1).alias("quality"))
-    chosen = known.union(free).withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(CALIBRATION_FOLD)) == 0)
-    # at most ``labelled`` + ``unlabelled`` rows of three small values
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED) -> CoTrained:
-    """Co-train on a bounded sample. Without labels every score is 0.5."""
+def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The text features of every row of ``docs`` beside its metadata, with ``quality`` and ``fold`` of
+    labelled doc_ids; a doc_id labelled both ways is bad."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = TextFeatures()
         for batch in batches:
-            left, right = _features(batch)
-            own = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "quality", "fold")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([r.tobytes() for r in left], pa.binary()), pa.array([r.tobytes() for r in right], pa.binary())], ["doc_id", "quality", "fold", "text_x", "meta_x"])
-
-    made = sampled(docs, labels, labelled, unlabelled).mapInArrow(run, "doc_id long, quality int, fold boolean, text_x binary, meta_x binary")
-    staged, _ = shared.staged(made, "quality-train")
-    rows = sorted(staged.toLocalIterator(), key=lambda r: r["doc_id"])  # bounded by the sample
-    text = np.array([np.frombuffer(r["text_x"], np.float32) for r in rows], np.float64).reshape(-1, N_TEXT)
-    meta = np.array([np.frombuffer(r["meta_x"], np.float32) for r in rows], np.float64).reshape(-1, N_META)
+            found = [features(t.as_py()) for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], [c.split()[0] for c in FEATURES.split(", ")])
+
+    made = docs.select("doc_id", "lang", "source", F.col("n_chars").cast("long"), "text").mapInArrow(run, FEATURES)
+    once = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    return made.join(once.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(CALIBRATION_FOLD)) == 0), "doc_id", "left")
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of both views."""
+    column = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names) if c in ("lang", "source", "n_chars", "stats", "hashed")}
+    stats = np.frombuffer(b"".join(column["stats"]), np.float32).reshape(-1, N_STATS)
+    hashed = np.frombuffer(b"".join(column["hashed"]), np.uint8).reshape(-1, N_HASHED)
+    meta = [meta_features(*x) for x in zip(column["lang"], column["source"], column["n_chars"], strict=True)]
+    return text_rows(stats, hashed), np.array(meta, np.float32).reshape(-1, N_META)
+
+
+def most_confident(staged: DataFrame) -> Pool:
+    """Scores all unlabelled rows of ``staged`` and fetches the few that are taken. A task hands on
+    ``TAKEN`` of each view and class, doc_ids and probabilities alone; equal ones go by doc_id."""
+    free = staged.where("quality is null and doc_id is not null")
+    names = [x.split()[0] for x in FEATURES.split(", ")]
+
+    def pool(text_view: View, meta_view: View) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], dict[int, float]] = {(v, c): {} for v in (0, 1) for c in (0, 1)}
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                for v, (view, x) in enumerate(zip((text_view, meta_view), _rows(batch), strict=True)):
+                    p = np.round(1 / (1 + np.exp(-view.logit(x))), 9)
+                    for c, sure in ((1, p), (0, 1 - p)):
+                        own = best[v, c]
+                        for i in np.flatnonzero(sure >= CONFIDENT).tolist():
+                            own[ids[i]] = float(sure[i])
+                        if len(own) > 2 * TAKEN:
+                            best[v, c] = dict(sorted(own.items(), key=lambda r: (-r[1], r[0]))[:TAKEN])
+            rows = [(v, c, d, q) for (v, c), own in best.items() for d, q in sorted(own.items(), key=lambda r: (-r[1], r[0]))[:TAKEN]]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["view", "label", "doc_id", "sure"])
+
+        scores, path = shared.staged(free.select(*names).mapInArrow(run, "view int, label int, doc_id long, sure double"), "quality-sure")
+        chosen = None
+        for v in (0, 1):
+            for c in (0, 1):
+                some = scores.where((F.col("view") == v) & (F.col("label") == c)).groupBy("view", "label", "doc_id").agg(F.max("sure").alias("sure")).orderBy(F.desc("sure"), "doc_id").limit(TAKEN)
+                chosen = some if chosen is None else chosen.union(some)
+        # at most 4 * TAKEN rows of four numbers, and as many feature rows
+        listed = free.select(*names).join(F.broadcast(chosen.select("view", "label", "doc_id")), "doc_id").dropDuplicates(["view", "label", "doc_id"])
+        found = listed.orderBy("view", "label", "doc_id").select("view", "label", *names).toArrow()
+        shared.drop_paths(staged.sparkSession, path)
+        text, meta = _rows(found)
+        view, label = (found.column(i).to_numpy() for i in (0, 1))
+        return [(text[view == v], meta[view == v], label[view == v]) for v in (0, 1)]
+
+    return pool
+
+
+def fit(staged: DataFrame, labelled: int = MAX_LABELLED) -> CoTrained:
+    """Co-train on at most ``labelled`` labelled rows of ``staged`` (as ``featured`` gives them) and on
+    confident rows among all that are unlabelled. Without labels every score is 0.5."""
+    known = staged.where("quality is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    rows = known.toArrow()  # bounded by the sample
+    text, meta = _rows(rows)
+    quality_, fold = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("quality", "fold"))
     if not len(rows):
-        text, meta = np.zeros((1, N_TEXT)), np.zeros((1, N_META))
-    quality = np.array([r["quality"] for r in rows] or [-1])
-    return co_train(text, meta, quality, np.array([r["fold"] for r in rows] or [False], bool))
+        return CoTrained(View(*standardized(np.zeros((1, N_STATS + N_HASHED)), 0), np.zeros(N_STATS + N_HASHED)), View(*standardized(np.zeros((1, N_META)), 0), np.zeros(N_META)), np.zeros(3), [])
+    return co_train(text, meta, quality_.astype(np.int64), fold.astype(bool), most_confident(staged))
 
 
-def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """Per row of ``docs``: doc_id, score (probability of good quality), keep (score >= 0.5),
+def scored(staged: DataFrame, model: CoTrained) -> DataFrame:
+    """Per row of ``staged``: doc_id, score (probability of good quality), keep (score >= 0.5),
     text_score, meta_score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both, text, meta = model.score(*_features(batch))
+            both, text, meta = model.score(*_rows(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in ((both, pa.float64()), (both >= 0.5, pa.bool_()), (text, pa.float64()), (meta, pa.float64())))], ["doc_id", "score", "keep", "text_score", "meta_score"])
 
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, score double, keep boolean, text_score double, meta_score double")
+    return staged.select(*(x.split()[0] for x in FEATURES.split(", "))).mapInArrow(run, "doc_id long, score double, keep boolean, text_score double, meta_score double")
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED) -> DataFrame:
     """Fit on ``labels(doc_id, quality)`` and score all of ``docs(doc_id, text, lang, source,
-    n_chars)``. Nulls are values of their own, empty texts have zero statistics, repeated rows
-    score alike, further columns are ignored; a doc_id labelled both ways is bad."""
-    return scored(docs, fit(docs, labels))
+    n_chars)``. Nulls are values of their own, empty texts have zero statistics, texts of any length
+    count whole, repeated rows score alike, further columns are ignored; a doc_id labelled both ways is
+    bad; an empty table gives an empty one."""
+    staged, _ = shared.staged(featured(docs, labels), "quality-features", codec="zstd")
+    return scored(staged, fit(staged, labelled))

@@ -32,12 +32,57 @@ def test_unlabelled_rows_are_told_apart(spark):
 
 def test_views_exchange_pseudo_labels(spark):
     docs, labels = table(spark)
-    model = quality.fit(docs, labels, labelled=80, unlabelled=300)
+    model = quality.fit(quality.featured(docs, labels).cache(), labelled=80)
     assert model.rounds and sum(map(sum, model.rounds)) > 0
     assert model.combined[1] > 0
 
 
-def test_newton_finds_the_optimum():
+def topical(spark, n=600):
+    """Texts alike in all statistics; only which words they use tells good from bad."""
+    random.seed(11)
+    vocabulary = ["".join(random.choices("bcdfghklmnprst", k=3)) + random.choice("aeiou") for _ in range(400)]
+    rows = []
+    for i in range(n):
+        half = vocabulary[:240] if i % 2 else vocabulary[160:]
+        text = " ".join(random.choices(half, k=60))
+        rows.append((i, text, "en", random.choice(["p", "q"]), len(text)))
+    labels = [(i, i % 2, 0) for i in range(n) if i % 3 == 0]
+    return spark.createDataFrame(rows, helpers.SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_ordinary_words_tell_texts_apart(spark):
+    docs, labels = topical(spark)
+    got = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
+    assert np.mean([got[i]["keep"] == (i % 2 == 1) for i in range(600) if i % 3]) > 0.95
+
+
+def test_against_plain_co_training(spark):
+    """Features, pseudo-labels of all documents, fits and scores on one list, without the cluster."""
+    docs, labels = table(spark)
+    rows, known = docs.orderBy("doc_id").collect(), {r["doc_id"]: r["quality"] for r in labels.collect()}
+    found = [quality.TextFeatures()(r["text"]) for r in rows]
+    text = quality.text_rows(np.array([x for x, _ in found]), np.array([x for _, x in found]))
+    meta = np.array([quality.meta_features(r["lang"], r["source"], r["n_chars"]) for r in rows], np.float32)
+    fold = {r["doc_id"]: r["fold"] for r in quality.featured(docs, labels).where("quality is not null").collect()}
+    free = [i for i, r in enumerate(rows) if r["doc_id"] not in known]
+
+    def pool(*views):
+        out = []
+        for view, x in zip(views, (text, meta), strict=True):
+            p = np.round(1 / (1 + np.exp(-view.logit(x[free]))), 9)
+            own = [(i, c) for c, sure in ((0, 1 - p), (1, p)) for i in sorted(sorted(range(len(free)), key=lambda i: (-sure[i], free[i]))[: quality.TAKEN]) if sure[i] >= quality.CONFIDENT]
+            at = [free[i] for i, _ in own]
+            out.append((text[at], meta[at], np.array([c for _, c in own])))
+        return out
+
+    at = [r["doc_id"] for r in rows if r["doc_id"] in known]
+    model = quality.co_train(text[at], meta[at], np.array([known[i] for i in at]), np.array([fold[i] for i in at]), pool)
+    want = model.score(text, meta)[0]
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels).collect()}
+    assert np.allclose([got[r["doc_id"]] for r in rows], want, atol=1e-3)
+
+
+def test_the_fit_finds_the_optimum():
     rng = np.random.default_rng(0)
     x = np.concatenate([np.ones((200, 1)), rng.normal(size=(200, 4))], axis=1)
     y = (x @ [0.3, 1, -2, 0, 0.5] + rng.logistic(size=200) > 0).astype(float)
@@ -54,4 +99,4 @@ def test_edges(spark):
     odd = spark.createDataFrame([(None, 1, 0), (6, None, 0), (6, 1, 0), (6, 0, 0), (5, 1, 1), (999, 1, 0)], "doc_id long, quality int, toxic int")
     assert all(0 <= r["score"] <= 1 for r in quality.quality(docs, odd).collect())
     assert quality.quality(helpers.empty(spark), odd).count() == 0
-    assert np.isfinite(quality.text_features(helpers.LONG)).all() and np.isfinite(quality.meta_features(None, None, None)).all()
+    assert all(np.isfinite(x).all() for x in quality.TextFeatures()(helpers.LONG)) and np.isfinite(quality.meta_features(None, None, None)).all()
