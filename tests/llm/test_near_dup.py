@@ -68,6 +68,29 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     check(spark, [(i, edited(base, rng.randint(2, 6), rng)) for i in range(60)])
 
 
+def test_rows_of_a_hot_bucket_grow_with_its_strangers_only(spark):
+    n = 20 * near_dup.BLOCK
+    members = spark.range(n).selectExpr("7L as key", "id as rep", "case when id < 3 then id + 1000000 else 5L end as comp")
+    placed = near_dup.placed_members(members)
+    blocks = 20
+    assert placed.count() == (n - 3) + 3 * (blocks + 1)
+    groups = placed.groupBy("key", "i", "j").count().agg({"count": "max"}).first()[0]
+    assert groups < 2 * near_dup.BLOCK
+    # every pair that may be linked meets in one group: strangers with all
+    meet = placed.alias("x").join(placed.alias("y"), ["key", "i", "j"]).where("x.rep < y.rep and x.comp != y.comp and (x.own != y.own or i = j)")
+    assert meet.select("x.rep", "y.rep").distinct().count() == meet.count() == 3 * (n - 3) + 3
+
+
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    base = " ".join(f"r{i}" for i in range(80))
+    rows = [(1, base), (1, "quite another text of this id"), (1, None), (2, base), (2, "something else that only two has"), (3, base), (3, base), (0, "zero has this"), (0, "zero has this")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(near_dup.near_duplicates(docs).collect(), key=str)
+    assert [(r["doc_id"], r["component_id"]) for r in got if r["n_shingles"] > 50] == [(1, 1), (2, 1), (3, 1), (3, 1)]
+    left = sorted(near_dup.one_of_each(docs).collect(), key=str)
+    assert sorted(map(tuple, left), key=str) == sorted([(0, "zero has this"), (1, base), (1, "quite another text of this id"), (1, None), (2, "something else that only two has")], key=str)
+
+
 def test_threshold_is_exact(spark):
     # sets of 9 and 10 shingles sharing 8 or 9: 8/11 and 9/10; and 80 of 100
     a = [f"t{i}" for i in range(93)]
