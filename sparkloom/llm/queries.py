@@ -75,11 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # the dual's optimum by damped steps on each covariate alone, where the operator takes Newton steps
     "op6_entropy_mix": r"""
-        WITH sized AS (
-            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
-            FROM documents),
+        WITH RECURSIVE sized AS (
+            SELECT doc_id, source, lang, size, h,
+                   (size >= 32)::INT + (size >= 128)::INT + (size >= 512)::INT + (size >= 2048)::INT AS length
+            FROM (SELECT doc_id, source, lang, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                         md5(coalesce(CAST(doc_id AS VARCHAR), '/' || coalesce(text, ''))) AS h
+                  FROM documents)),
         totals AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
             FROM sized GROUP BY source),
@@ -93,17 +96,53 @@ ORACLES: dict[str, str] = {
             WINDOW w AS (ORDER BY CAST(source_size AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         chosen AS (SELECT arg_max(level, left_weight) AS level FROM leveled WHERE level * weight <= 3 * source_size),
         targets AS (
-            SELECT source, source_size, least(chosen.level * weight, CAST(3 * source_size AS DOUBLE)) AS target
+            SELECT source, rank, source_size, least(chosen.level * weight, CAST(3 * source_size AS DOUBLE)) AS target
             FROM leveled, chosen),
+        langs AS (
+            SELECT lang, CASE WHEN row_number() OVER (ORDER BY sum(size) DESC, lang NULLS FIRST) <= 32 THEN coalesce('=' || lang, '') ELSE 'others' END AS a
+            FROM sized GROUP BY lang),
+        cells AS (
+            SELECT t.rank, t.source_size, t.target, l.a, s.length AS b, CAST(sum(s.size) AS DOUBLE) AS n, t.target >= 3 * t.source_size AS held
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source JOIN langs l ON s.lang IS NOT DISTINCT FROM l.lang
+            GROUP BY ALL),
+        whole AS (SELECT sum(n) AS total FROM cells),
+        goal AS (SELECT sum(target) AS target FROM targets),
+        wanted_a AS (SELECT a, sum(n) * max(goal.target) / max(total) - sum(CASE WHEN held THEN 3 * n ELSE 0 END) AS wanted FROM cells, whole, goal GROUP BY a),
+        wanted_b AS (SELECT b, sum(n) * max(goal.target) / max(total) - sum(CASE WHEN held THEN 3 * n ELSE 0 END) AS wanted FROM cells, whole, goal GROUP BY b),
+        start AS (
+            SELECT rank, target, c.a, c.b, n, total, wa.wanted AS wanted_a, wb.wanted AS wanted_b
+            FROM cells c JOIN wanted_a wa ON c.a = wa.a JOIN wanted_b wb ON c.b = wb.b, whole
+            WHERE NOT held AND target > 0 AND n > 0),
+        steps AS (
+            SELECT 0 AS step, *, CAST(0 AS DOUBLE) AS mu, CAST(0 AS DOUBLE) AS nu FROM start
+            UNION ALL
+            SELECT step + 1, rank, target, a, b, n, total, wanted_a, wanted_b,
+                   mu - 0.5 * (sum(w) OVER (PARTITION BY a) - wanted_a + 0.05 * total * mu) / (sum(w) OVER (PARTITION BY a) + 0.05 * total),
+                   nu - 0.5 * (sum(w) OVER (PARTITION BY b) - wanted_b + 0.05 * total * nu) / (sum(w) OVER (PARTITION BY b) + 0.05 * total)
+            FROM (SELECT *, n * least(3, e * arg_min(c, before) FILTER (WHERE c * e <= 3) OVER (PARTITION BY rank)) AS w
+                  FROM (SELECT *, (target - 3 * before) / sum(n * e) OVER (PARTITION BY rank ORDER BY e DESC, a, b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+                        FROM (SELECT *, exp(mu + nu) AS e,
+                                     coalesce(sum(n) OVER (PARTITION BY rank ORDER BY exp(mu + nu) DESC, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                              FROM steps WHERE step < 600)))),
+        tilts AS (SELECT rank, target, a, b, n, exp(round(mu, 9) + round(nu, 9)) AS e FROM steps WHERE step = 600),
+        waters AS (
+            SELECT *, (target - 3 * before) / sum(n * e) OVER (PARTITION BY rank ORDER BY e DESC, a, b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+            FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY rank ORDER BY e DESC, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tilts)),
+        rated AS (SELECT rank, a, b, least(3, e * arg_min(c, before) FILTER (WHERE c * e <= 3) OVER (PARTITION BY rank)) AS rate FROM waters),
         placed AS (
-            SELECT s.*, t.source_size, t.target,
-                   CASE WHEN t.source_size = 0 THEN 0 ELSE floor(t.target / t.source_size) END AS whole,
-                   sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size
-                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+            SELECT s.doc_id, s.size, s.h, t.source, t.source_size, t.target,
+                   CASE WHEN t.source_size = 0 OR t.target <= 0 THEN 0 WHEN t.target >= 3 * t.source_size THEN 3 ELSE coalesce(r.rate, 0) END AS rate
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source JOIN langs l ON s.lang IS NOT DISTINCT FROM l.lang
+            LEFT JOIN rated r ON r.rank = t.rank AND r.a = l.a AND r.b = s.length),
+        ordered AS (
+            SELECT *, target - sum(floor(rate) * size) OVER (PARTITION BY source) AS missing,
+                   CASE WHEN rate > floor(rate) THEN CAST('0x' || substr(h, 1, 13) AS BIGINT) / 4503599627370496 / (rate - floor(rate)) END AS place
+            FROM placed),
+        summed AS (
+            SELECT *, sum(size) OVER (PARTITION BY source, place IS NULL ORDER BY place, h, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+            FROM ordered),
         counted AS (
-            SELECT *, CAST(whole AS BIGINT) + CASE WHEN upto - size / 2 < target - whole * source_size THEN 1 ELSE 0 END AS copies
-            FROM placed)
+            SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN place IS NOT NULL AND upto - size / 2 < missing THEN 1 ELSE 0 END AS copies FROM summed)
         SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies
         FROM counted""",
 }
