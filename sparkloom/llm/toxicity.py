@@ -18,7 +18,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
 from itertools import chain, filterfalse
@@ -50,8 +50,10 @@ NEIGHBOURS = 16
 SOFT = 0.05
 #: Terms that a counting task holds before it hands on partial counts.
 HELD_TERMS = 300_000
-WORD_CACHE = 300_000
+#: Words that a worker knows before it forgets those of the time before.
+WORD_CACHE = 200_000
 
+_LOGS = np.concatenate([[0.0], 1 + np.log(np.arange(1, 1 << 16))])
 _ODD = re.compile(r"[^\w\x00-\x7f]")
 _SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -124,6 +126,11 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
+def damped(counts: np.ndarray) -> np.ndarray:
+    """1 + the logarithm of each count."""
+    return _LOGS[counts] if counts.max(initial=0) < len(_LOGS) else 1 + np.log(counts)
+
+
 class Terms:
     """All words of the examples, by sorted hash, then the 5-grams with evidence; their weights by place."""
 
@@ -136,7 +143,41 @@ class Terms:
         return len(self.weights)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "vectorizer"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("vectorizer", "automaton")}
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Places of words, -1 for one of no example."""
+        if not len(self.keys):
+            return np.full(len(words), -1)
+        own = np.fromiter(map(word_key, words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        return np.where(self.keys[at] == own, at, -1)
+
+    @cached_property
+    def automaton(self):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for gram, place in self.grams.items():
+            found.add_word(gram, place)
+        found.make_automaton()
+        return found
+
+    def grams_of(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """The places of the 5-grams of those words that have any. No gram spans two words, as their
+        marks are at a gram's ends only."""
+        if not self.grams or not words:
+            return {}
+        joined = b"^" + b"$^".join(words) + b"$"
+        text = joined.decode("utf-8", "surrogatepass")
+        hits = [*self.automaton.iter(text)]
+        if not hits:
+            return {}
+        starts = np.cumsum([0, *(len(w.decode("utf-8", "surrogatepass")) + 2 for w in words)])
+        found: dict[bytes, set[int]] = {}
+        for i, (_, place) in zip((np.searchsorted(starts, [end for end, _ in hits], "right") - 1).tolist(), hits, strict=True):
+            found.setdefault(words[i], set()).add(place)
+        return {w: sorted(x) for w, x in found.items()}
 
     @cached_property
     def vectorizer(self) -> Vectorizer:
@@ -182,79 +223,81 @@ class Vectorizer:
     def __init__(self, terms: Terms):
         self.terms = terms
         self.known: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}  # words that were known before, until as many more are
         self.marked: dict[bytes, list[int]] = {}  # 5-grams of the words that have any
 
-    def _learn(self, words: list[bytes]) -> None:
-        keys, grams = self.terms.keys, self.terms.grams
-        own = np.fromiter(map(word_key, words), np.uint64, len(words))
-        at = np.searchsorted(keys, own)
-        here = keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else np.zeros(len(words), bool)
-        self.known.update(zip(words, np.where(here, at, -1).tolist(), strict=True))
-        for word in words if grams else ():
-            marked = f"^{word.decode('utf-8', 'surrogatepass')}$"
-            if found := {grams[g] for i in range(max(1, len(marked) - GRAM + 1)) if (g := marked[i : i + GRAM]) in grams}:
-                self.marked[word] = sorted(found)
-
-    def _meet(self, words: Collection[bytes]) -> None:
+    def _meet(self, words: set[bytes]) -> None:
         """Learn those of ``words`` that are new."""
+        if len(self.known) > WORD_CACHE:
+            self.known, self.older = {}, self.known
+            self.marked = {w: g for w, g in self.marked.items() if w in self.older}
         new = [*filterfalse(self.known.__contains__, words)]
-        if new:
-            if len(self.known) + len(new) > WORD_CACHE:
-                self.known.clear(), self.marked.clear()
-                new = list(words)
-            self._learn(new)
-
-    def _with_grams(self, words: Collection[bytes]) -> Collection[bytes]:
-        return self.marked.keys() & words if len(self.marked) < len(words) else [w for w in words if w in self.marked]
-
-    def seen(self, text: str | None) -> np.ndarray:
-        """The distinct places of a text."""
-        words = set(words_of(text))
-        self._meet(words)
-        places = {*map(self.known.__getitem__, words), *(p for w in self._with_grams(words) for p in self.marked[w])}
-        places.discard(-1)
-        return np.fromiter(places, np.int64, len(places))
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted places and their counts, and the counts of words of no example."""
-        words = Counter(words_of(text))
-        self._meet(words)
+        again = [*filter(self.older.__contains__, new)]
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        if new := [*filterfalse(self.known.__contains__, new)]:
+            self.known.update(zip(new, self.terms.places(new).tolist(), strict=True))
+            self.marked.update(self.terms.grams_of(new))
+
+    def _counted(self, words: Counter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found: Counter = Counter()
-        for word in self._with_grams(words):
+        for word in self.marked.keys() & words.keys():
             for place in self.marked[word]:
                 found[place] += words[word]
         n = len(words) + len(found)
         places = np.fromiter(chain(map(self.known.__getitem__, words), found), np.int64, n)
         counts = np.fromiter(chain(words.values(), found.values()), np.int64, n)
-        order = np.argsort(places, kind="stable")
+        order = np.argsort(places)
         places, counts = places[order], counts[order]
         cut = int(np.searchsorted(places, 0))
         return places[cut:], counts[cut:], counts[:cut]
 
+    def counts(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text, sorted places and their counts, and the counts of words of no example."""
+        bags = [Counter(words_of(t)) for t in texts]
+        self._meet(set().union(*bags))
+        return [self._counted(b) for b in bags]
+
     def weights(self, places: np.ndarray, counts: np.ndarray, unseen: np.ndarray) -> np.ndarray:
         """Words of no example only lengthen the vector."""
-        weights = (1 + np.log(counts)) * self.terms.weights[places]
-        rest = (1 + np.log(unseen)) * self.terms.unseen
-        return weights / np.sqrt((weights**2).sum() + (rest**2).sum()) if len(places) else weights
+        weights = damped(counts) * self.terms.weights[places]
+        rest = damped(unseen) * self.terms.unseen
+        return weights / math.sqrt(weights @ weights + rest @ rest) if len(places) else weights
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted places and weights; both empty without words of an example."""
-        places, counts, unseen = self.counts(text)
-        return places, self.weights(places, counts, unseen)
+    def __call__(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text, sorted places and weights; both empty without words of an example."""
+        return [(places, self.weights(places, counts, unseen)) for places, counts, unseen in self.counts(texts)]
 
 
 def document_counts(docs: DataFrame, terms: Terms, shipped: Broadcast) -> tuple[np.ndarray, int]:
     """Documents of ``docs`` with each term, and all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectorize = shipped.value.vectorizer
-        seen = np.zeros(len(shipped.value) + 1, np.int64)
+        own, n = shipped.value, 0
+        seen = np.zeros(len(own), np.int64)
+        words: Counter = Counter()
+        marked: dict[bytes, list[int]] = {}
+
+        def take() -> None:
+            """Add the words' documents to their places."""
+            listed = list(words)
+            places, times = own.places(listed), np.fromiter(words.values(), np.int64, len(words))
+            np.add.at(seen, places[places >= 0], times[places >= 0])
+            words.clear(), marked.clear()
+
         for batch in batches:
-            seen[-1] += batch.num_rows
-            for text in batch.column(0):
-                seen[vectorize.seen(text.as_py())] += 1
+            n += batch.num_rows
+            for at in range(0, batch.num_rows, QUERIES):
+                bags = [set(words_of(t.as_py())) for t in batch.column(0)[at : at + QUERIES]]
+                marked.update(own.grams_of([*filterfalse(words.__contains__, set().union(*bags))]))
+                for bag in bags:
+                    words.update(bag)
+                    if found := marked.keys() & bag:
+                        seen[[*{p for w in found for p in marked[w]}]] += 1
+            if len(words) > WORD_CACHE:
+                take()
+        take()
         places = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(seen[places], pa.int64())], ["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*places, len(own)], pa.int64()), pa.array([*seen[places], n], pa.int64())], ["place", "n"])
 
     parts = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(len(terms) + 1, np.int64)
@@ -381,7 +424,7 @@ class Model:
     def nearest(self, texts: pa.Array, vectorize: Vectorizer) -> Iterator[list[tuple[float, int]]]:
         """The neighbours of each text; few texts are held as vectors at once."""
         for at in range(0, len(texts), QUERIES):
-            yield from self.index.search([vectorize(t.as_py()) for t in texts[at : at + QUERIES]], NEIGHBOURS)
+            yield from self.index.search(vectorize(texts[at : at + QUERIES].to_pylist()), NEIGHBOURS)
 
     def vote(self, near: list[tuple[float, int]], without: tuple[int, int] | None = None) -> float:
         """Log-odds of the distance-weighted votes; ``without`` takes one example (row, label) out."""
@@ -414,7 +457,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectorize = shipped.value.vectorizer
         for batch in batches:
-            keys = [np.stack(vectorize.counts(t.as_py())[:2]).astype(np.int32).tobytes() for t in batch.column(1)]
+            keys = [np.stack(x[:2]).astype(np.int32).tobytes() for at in range(0, batch.num_rows, QUERIES) for x in vectorize.counts(batch.column(1)[at : at + QUERIES].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(2)], ["doc_id", "vector", "toxic"])
 
     made, made_path = shared.staged(rows.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, vector binary, toxic int"), "toxic-vectors")

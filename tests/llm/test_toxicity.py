@@ -104,5 +104,27 @@ def test_copy_of_an_example_is_found_by_any_of_its_words(spark):
 def test_frequencies_come_from_all_documents(spark):
     docs = spark.createDataFrame([(i, "rare usual" if i == 1 else "usual", "en", "s", 0) for i in range(50)], helpers.SCHEMA)
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
-    (_, _), weights = toxicity.Vectorizer(toxicity.fit(docs, labels).idf)("rare usual")
+    _, weights = toxicity.Vectorizer(toxicity.fit(docs, labels).idf)(["rare usual"])[0]
     assert sorted(weights / min(weights)) == pytest.approx([1, np.log(51 / 2) + 1])
+
+
+def test_grams_of_joined_words_are_those_of_each():
+    words = ["ab", "abcdef", "xabcde", "b", "éabcd", "cdefg", "abcde"]
+    grams = ["^abcd", "cdef$", "^b$", "éabcd", "abcde"]
+    terms = toxicity.Terms(np.zeros(0, np.uint64), grams, np.ones(len(grams)))
+    want = {w.encode(): sorted(i for i, g in enumerate(grams) if g in toxicity.word_terms(w)) for w in words}
+    assert terms.grams_of([w.encode() for w in words]) == {w: x for w, x in want.items() if x}
+
+
+def test_places_survive_forgetting(monkeypatch):
+    monkeypatch.setattr(toxicity, "WORD_CACHE", 5)
+    random.seed(2)
+    words = [f"w{i}" for i in range(40)]
+    keys = np.sort(np.array([toxicity.word_key(w.encode()) for w in words[:25]], np.uint64))
+    terms = toxicity.Terms(keys, ["^w1$", "^w13$"], np.arange(1.0, 28))
+    vectorize = toxicity.Vectorizer(terms)
+    for _ in range(60):
+        text = " ".join(random.choices(words, k=9))
+        fresh = toxicity.Vectorizer(terms)([text])[0]
+        kept = vectorize([text, "w1 w13"])[0]
+        assert (kept[0] == fresh[0]).all() and np.allclose(kept[1], fresh[1])
