@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where none is named (tests), a fresh local one."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
         named = context.getCheckpointDir()
@@ -20,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + named[5:] if named.startswith("file:/") and not named.startswith("file://") else named
 
 
+def laid_out(edges: DataFrame, key: str = "src") -> DataFrame:
+    """``edges`` dealt and sorted by ``key`` and kept on the executors, so that joins on ``key`` move the
+    other side only. They are made from the shared folder again where an executor is lost; the caller
+    unpersists them."""
+    width = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(edges).repartition(width, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed now and read back from the shared folder, so a lost executor costs nothing."""
     shared_dir(df.sparkSession)

@@ -39,7 +39,8 @@ def test_costs_widths_and_bounded_paths_against_all_paths(spark, seed):
     a = adj(spark, pairs)
     found = {(r["source"], r["node"]): r for r in paths.shortest_paths(paths.costs(a), ["n0", "n1"]).collect()}
     wide = {(r["source"], r["node"]): r["width"] for r in paths.widest(paths.costs(a), ["n0"]).collect()}
-    short = {r["node"]: r for r in paths.bounded_paths(a, spark.createDataFrame([("n0",)], "target string"), 2).collect()}
+    names = sorted({n for x, y, _ in pairs for n in (x, y)})
+    reach = {h: {r["node"]: r for r in paths.joined_walks(a, spark.createDataFrame([("n0",)], "target string"), names, h).collect()} for h in (1, 2, 3, 4)}
     for target in sorted({n for x, y, _ in pairs for n in (x, y)} - {"n0"}):
         every = simple_paths(pairs, "n0", target)
         if not every:
@@ -47,10 +48,24 @@ def test_costs_widths_and_bounded_paths_against_all_paths(spark, seed):
             continue
         assert math.exp(-found["n0", target]["cost"]) == pytest.approx(max(math.prod(w) for _, w in every), rel=1e-9)
         assert wide["n0", target] == max(min(w) for _, w in every)
-        near = [math.prod(w) for p, w in every if len(p) <= 3]
-        assert (target in short) == bool(near)
-        if near:
-            assert math.exp(-short[target]["cost"]) == pytest.approx(max(near), rel=1e-9) and short[target]["path"][-1] == "n0"
+        for hops, short in reach.items():
+            near = [math.prod(w) for p, w in every if len(p) <= hops + 1]
+            assert (target in short) == bool(near)
+            if near:
+                got = short[target]
+                assert math.exp(-got["cost"]) == pytest.approx(max(near), rel=1e-9) and got["path"][0] == target and got["path"][-1] == "n0"
+                assert len(got["path"]) == got["hops"] + 1 <= hops + 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_goals_bound_the_search_and_change_nothing(spark, seed):
+    pairs = random_pairs(seed + 40, 9, 0.35)
+    costs = paths.costs(adj(spark, pairs))
+    goals = ["n0", "n3", "n7"]
+    whole = {(r["source"], r["node"]): (r["cost"], list(r["path"])) for r in paths.shortest_paths(costs, goals).collect()}
+    some = {(r["source"], r["node"]): (r["cost"], list(r["path"])) for r in paths.shortest_paths(costs, goals, goals).collect()}
+    assert {k: v for k, v in some.items() if k[1] in goals} == {k: v for k, v in whole.items() if k[1] in goals}
+    assert {r["source"] for r in paths.closure(costs, []).collect()} == set()
 
 
 def test_explanations(spark):
