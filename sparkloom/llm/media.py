@@ -249,10 +249,7 @@ def bytes_to_media(docs: DataFrame, codec: int | None = None, rate: int = TELEPH
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
-    """``stored(media, ...)`` with the digests of the media and of the payload read back from them, in
-    place of the media."""
-    kept = stored.drop("media")
-    others = kept.columns
+    """``stored(media, ...)`` with the digests of the media and of the payload read back from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,9 +261,9 @@ def media_digests(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], [*others, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], [*batch.schema.names, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
     return stored.mapInArrow(run, schema + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
 
 
@@ -292,7 +289,8 @@ def store_texts_as_media(docs: DataFrame) -> DataFrame:
     equal values; repeated rows and null doc_ids are rows like others; further columns are ignored; an
     empty table gives an empty one. Both tables stay for whoever uses them."""
     media, _ = shared.staged(bytes_to_media(docs), "media", codec="zstd")
-    decoded = decode_media(media.select("doc_id", "n_bytes", "media")).drop("codec", "n_samples", "problem")
-    pcm, _ = shared.staged(media_digests(decoded), "pcm", codec="zstd", level=9)
-    out = pcm_features(pcm)
+    with shared.small_batches(docs.sparkSession):
+        decoded = decode_media(media_digests(media.select("doc_id", "n_bytes", "media"))).drop("media", "codec", "n_samples", "problem")
+        pcm, _ = shared.staged(decoded, "pcm", codec="zstd", level=9)
+        out, _ = shared.staged(pcm_features(pcm), "pcm-features")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("feature"))

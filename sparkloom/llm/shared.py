@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,18 @@ def staged(df: DataFrame, name: str, codec: str = "snappy", level: int = 3) -> t
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Plans that run within hand rows with large values to Python in batches of about ``size``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop_paths(spark: SparkSession, *paths: str) -> None:
     """Delete staged tables that no later plan reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
