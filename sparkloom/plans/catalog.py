@@ -17,6 +17,7 @@ from sparkloom.functions import clean, identity
 from sparkloom.lineage import cut, shared_dir
 from sparkloom.operators import centrality, community, connect, fuse, graph, layout, paths, rank, refs, seeds, store, walk
 from sparkloom.plans import oracles as sql
+from sparkloom.plans import readers
 from sparkloom.schemas import GraphConfig, RecommendConfig
 from sparkloom.sources import dumps, star
 from sparkloom.streaming import ingest
@@ -598,3 +599,7 @@ def layout_normalized(spark: SparkSession, d: str) -> DataFrame:
     near = [r["neighbour"] for r in graph.neighbours(fused, "1", 40).collect()]
     found = layout.layout(fused, ["1", *near])
     return spark.createDataFrame([(i, x, y) for i, (x, y) in found.items()], "node string, x double, y double")
+
+
+QUERIES.update(readers.QUERIES)
+ORACLES.update(readers.ORACLES)

@@ -10,16 +10,21 @@ import os
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import clean
+from sparkloom.lineage import cut
 from sparkloom.schemas import BOOKS, KIND_ALPHA, columns
 
 #: Id prefixes of works, by source.
 WORK_PREFIX = {"goodreads_ucsd": "gr-", "amazon": "az-", "openlibrary": "ol-"}
 
 
+#: Lists within lists of authors that are opened.
+AUTHOR_DEPTH = 4
+
+
 class Source(Protocol):
     """A data set that describes books and the connections between them."""
 
@@ -124,33 +129,50 @@ def most_rated(editions: DataFrame) -> DataFrame:
     return editions.groupBy("work_id").agg(F.min(order).alias("best")).select("best.row.*")
 
 
+def blocks_of_lines(lines: DataFrame) -> DataFrame:
+    """(file, start, block, at, value): the lines of ``lines(file, start, at, value)`` that aren't blank, with a
+    name of their block (file, start, block). Blank lines, of white space alone, end a block.
+
+    Files are read in splits (file, start), lines in the order of ``at``. What stands before a split's first
+    blank line goes on with the last block of an earlier split of the file, that of the nearest split with
+    a blank line; a window over one row per split finds it."""
+    split = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = lines.withColumn("_blank", F.trim(F.regexp_replace("value", r"\s+", " ")) == "").withColumn("block", F.count_if("_blank").over(split))
+    ends = lines.groupBy("file", "start").agg(F.count_if(F.trim(F.regexp_replace("value", r"\s+", " ")) == "").alias("_n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_n") > 0, F.struct(F.col("start").alias("s"), F.col("_n").alias("b"))), ignorenulls=True).over(before)
+    carried = ends.select("file", "start", last.alias("_last"))
+    joined = counted.where(~F.col("_blank")).join(carried, ["file", "start"])
+    goes_on = F.col("block") == 0
+    first = F.struct(F.lit(-1).cast("long").alias("s"), F.lit(0).cast("long").alias("b"))  # the file's first block
+    own = F.when(goes_on, F.coalesce("_last", first)).otherwise(F.struct(F.col("start").alias("s"), F.col("block").alias("b")))
+    return joined.select("file", own["s"].alias("start"), own["b"].alias("block"), F.struct("start", "at").alias("at"), "value")
+
+
 @dataclass(frozen=True)
 class BlockDump:
-    """Blank-line-separated ``key: value`` blocks. Only books with an id and a title count.
-
-    A block is one record of the text reader; ``\\n\\n`` separates them, and lines that hold only
-    white space are expected to be normalized beforehand."""
+    """Blank-line-separated ``key: value`` blocks, whatever their line ends and the white space on blank
+    lines. Only books with an id and a title count."""
 
     path: str
     name: str = "amazon_meta"
 
+    FIELDS = ("asin", "title", "group", "similar", "reviews")
+
     def __post_init__(self) -> None:
         checked(self.path)
 
     def records(self, spark: SparkSession) -> DataFrame:
-        block = F.regexp_replace("value", "\r\n", "\n")
-
-        def field(key: str) -> Column:
-            """The last line with that key; the first colon ends the key."""
-            found = F.regexp_extract_all(block, F.lit(rf"(?im)^[ \t]*{key}[ \t]*:(.*)$"), 1)
-            return clean.text_or_null(F.try_element_at(found, F.lit(-1)))
-
-        rows = spark.read.option("lineSep", "\n\n").text(self.path).where(F.trim("value") != "")
-        rows = rows.where(~block.rlike(r"(?m)^\s*discontinued product\s*$"))
-        rows = rows.select(
-            field("ASIN").alias("asin"), field("title").alias("title"), F.lower(field("group")).alias("group"), field("similar").alias("similar"), field("reviews").alias("reviews")
-        )
-        return rows.where("asin is not null and title is not null and `group` = 'book'")
+        """One row per block; of several lines with one key the last counts, and the first colon ends the key."""
+        text = spark.read.text(self.path)
+        lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+        key = F.lower(F.regexp_extract("value", r"(?i)^\s*(asin|title|group|similar|reviews)\s*:", 1))
+        gone = F.col("value").rlike(r"^\s*discontinued product\s*$")
+        told = blocks_of_lines(cut(lines.where((key != "") | gone | F.col("value").rlike(r"^\s*$"))))
+        told = told.select("file", "start", "block", "at", key.alias("key"), F.regexp_extract("value", r"^[^:]*:(.*)$", 1).alias("value"), gone.alias("gone"))
+        fields = (clean.text_or_null(F.max_by(F.when(F.col("key") == f, F.col("value")), F.when(F.col("key") == f, F.col("at")))).alias(f) for f in self.FIELDS)
+        rows = told.groupBy("file", "start", "block").agg(*fields, F.bool_or("gone").alias("gone")).withColumn("group", F.lower("group"))
+        return rows.where("not gone and asin is not null and title is not null and `group` = 'book'").drop("file", "start", "block", "gone")
 
     def books(self, spark: SparkSession) -> DataFrame:
         number = F.regexp_extract("reviews", r"avg rating:\s*(\S+)", 1)
@@ -191,10 +213,10 @@ class ProductDump:
     @staticmethod
     def author_names(author: Column) -> Column:
         """Names out of the field's JSON text."""
-        one = F.get_json_object(author, "$.name")
-        many = F.from_json(author, F.lit("array<string>"))
-        each = F.transform(many, lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x))
-        return clean.texts(F.when(author.startswith("["), each).when(author.startswith("{"), F.array(one)).otherwise(F.array(author)))
+        found = F.array(author)
+        for _ in range(AUTHOR_DEPTH):
+            found = F.flatten(F.transform(found, lambda x: F.when(x.startswith("["), F.coalesce(F.from_json(x, F.lit("array<string>")), F.array(x))).otherwise(F.array(x))))
+        return clean.texts(F.transform(found, lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x)))
 
     def books(self, spark: SparkSession) -> DataFrame:
         rows = self.records(spark).select(

@@ -102,15 +102,33 @@ def test_blocks(spark, tmp_path):
     assert edge_set(source.edges(spark)) == {("0827229534", "A1", "az_also_bought", 1), ("0827229534", "A3", "az_also_bought", 3)}
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("blank", ["", "  ", " \t", "  \n "])
+def test_blocks_of_any_line_ends_over_any_splits(spark, tmp_path, end, blank):
+    records = []
+    for i in range(60):
+        lines = [f"Id: {i}", f"ASIN: Z{i}", f"  title: Book {i}: part", "  group: Book", f"  similar: 1 Z{i + 1}", f"  reviews: total: {i} avg rating: 3.5"]
+        records.append(end.join(lines + ["  discontinued product"] * (i % 10 == 9)))
+    (tmp_path / "b.txt").write_bytes((end + blank.replace("\n", end) + end).join(["", *records, ""]).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "333", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r["asin"]: (r["title"], r["ratings_count"]) for r in BlockDump(str(tmp_path / "b.txt")).books(spark).collect()}
+            assert got == {f"Z{i}": (f"Book {i}: part", i) for i in range(60) if i % 10 != 9}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_products(spark, tmp_path):
     rows = [
         {"parent_asin": "P1", "title": "One", "author": {"name": "Object Name"}, "average_rating": 4.5, "rating_number": 10, "categories": ["Books", " "], "also_buy": ["P2", "P3", "P1"], "also_view": ["P4"]},
-        {"asin": "P2", "title": "Two", "author": "Plain Name", "bought_together": ["P1"]}, {"asin": "P3", "title": "Three", "author": [{"name": "A"}, "B"]}, {"asin": "P5", "title": " "},
+        {"asin": "P2", "title": "Two", "author": "Plain Name", "bought_together": ["P1"]}, {"asin": "P3", "title": "Three", "author": [{"name": "A"}, ["B", [{"name": "C"}]]]}, {"asin": "P5", "title": " "},
     ]
     (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, rows)))
     source = ProductDump(str(tmp_path / "p.jsonl"))
     got = {r["asin"]: r for r in source.books(spark).collect()}
-    assert {k: r["authors"] for k, r in got.items()} == {"P1": ["Object Name"], "P2": ["Plain Name"], "P3": ["A", "B"]}
+    assert {k: r["authors"] for k, r in got.items()} == {"P1": ["Object Name"], "P2": ["Plain Name"], "P3": ["A", "B", "C"]}
     assert got["P1"]["subjects"] == ["Books"] and got["P1"]["ratings_count"] == 10
     assert edge_set(source.edges(spark)) == {("P1", "P2", "az_also_bought", 1), ("P1", "P3", "az_also_bought", 2), ("P1", "P4", "az_also_viewed", 1), ("P2", "P1", "az_also_bought", 1)}
 
