@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from sparkloom.engine import Engine, NotBuilt, as_json
+from sparkloom.engine import COMPARE_FLOOR, Engine, NotBuilt, as_json, as_text
 from sparkloom.schemas import GraphConfig, RecommendConfig
 from sparkloom.sources.dumps import BlockDump, CorpusFile, ProductDump, WorksDump
 from sparkloom.sources.enrich import EnrichmentSource
@@ -46,6 +46,8 @@ def parser() -> argparse.ArgumentParser:
         command.add_argument("--min-edge-weight", type=float, default=0.0)
         command.add_argument("--max-hops", type=int, default=8)
         command.add_argument("--compare", action="store_true")
+        command.add_argument("--floor", type=float, default=COMPARE_FLOOR, help="weight floor of the comparison's second variant")
+        command.add_argument("--text", action="store_true", help="lines with explanations instead of JSON")
     commands.add_parser("stats")
     web = commands.add_parser("web")
     web.add_argument("--port", type=int, default=8000)
@@ -68,17 +70,18 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
     if args.command == "build":
         return as_json(engine.build(GraphConfig(min_weight=args.min_weight, max_rank=args.max_rank, min_ratings=args.min_ratings, drop_leaves=args.drop_leaves), not args.no_communities, args.betweenness))
     if args.command == "recommend":
-        return as_json(engine.recommend(seeds, args.n, config))
+        found = engine.recommend(seeds, args.n, config)
+        return as_text(found) if args.text else as_json(found)
     if args.command == "map":
         return engine.export_map(seeds, args.n)
     if args.command == "bridges":
         return as_json(engine.bridges(seeds, args.n))
     if args.command == "connect":
         if args.compare:
-            return "\n".join(as_json(x) for x in engine.compare(seeds, args.max_hops).values())
+            return "\n".join(as_json(x) for x in engine.compare(seeds, args.max_hops, args.floor).values())
         return as_json(engine.connect(seeds, args.max_hops, args.objective, args.min_edge_weight)[0])
     if args.command == "route-report":
-        return engine.route_report([split_seeds(s) for s in args.seeds.split(";")], args.max_hops)
+        return engine.route_report([split_seeds(s) for s in args.seeds.split(";") if s.strip()], args.max_hops, args.floor)
     if args.command == "web":
         from sparkloom.web import serve
 
@@ -91,7 +94,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("sparkloom").getOrCreate()
     try:
-        out = run(args, Engine(spark, args.root))
+        out = run(args, Engine(spark, args.root, read_only=args.command not in ("ingest", "build")))
     except (NotBuilt, FileNotFoundError, ValueError) as problem:
         print(f"error: {problem}", file=sys.stderr)
         return 1

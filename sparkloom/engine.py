@@ -19,6 +19,10 @@ from sparkloom.sources.enrich import EnrichmentSource, subject_edges
 
 #: Weight floor of the comparison's second variant.
 COMPARE_FLOOR = 0.15
+#: Settings of map drawings: their subgraphs are dense, so they get more room and steps.
+MAP_VIEW = LayoutConfig(iterations=500, scaling_ratio=14.0)
+#: Seed sets of a route report that names none, and seeds in each.
+PROBES, PROBE_SEEDS = 3, 2
 
 
 class NotBuilt(RuntimeError):
@@ -29,9 +33,10 @@ class NotBuilt(RuntimeError):
 class Engine:
     spark: SparkSession
     root: str
+    read_only: bool = False
 
     def __post_init__(self) -> None:
-        self.store = Store(self.spark, self.root)
+        self.store = Store(self.spark, self.root, self.read_only)
 
     # -- ingest and build -------------------------------------------------
 
@@ -125,20 +130,30 @@ class Engine:
         rows = self.books().where(F.col("work_id").isin(*ids or [""])).select("work_id", "title").collect()
         return replace(found, titles={i: i for i in ids} | {r["work_id"]: r["title"] for r in rows}), unresolved
 
-    def compare(self, seeds: Sequence[str], max_hops: int = joining.MAX_HOPS) -> dict[str, joining.Connections]:
+    def compare(self, seeds: Sequence[str], max_hops: int = joining.MAX_HOPS, floor: float = COMPARE_FLOOR) -> dict[str, joining.Connections]:
         """The same seeds by product, by product above a floor, and by the widest route."""
         return {
             "product": self.connect(seeds, max_hops)[0],
-            "product_floor": self.connect(seeds, max_hops, min_edge_weight=COMPARE_FLOOR)[0],
+            "product_floor": self.connect(seeds, max_hops, min_edge_weight=floor)[0],
             "widest": self.connect(seeds, max_hops, joining.WIDEST)[0],
         }
 
-    def route_report(self, sets: Sequence[Sequence[str]], max_hops: int = joining.MAX_HOPS) -> str:
-        """Markdown of the three variants for each seed set, with times."""
+    def probes(self) -> list[list[str]]:
+        """Seed sets across communities: the most rated titles of the largest ones, paired in turn."""
+        rated = self.labels().join(self.books().select(F.col("work_id").alias("node"), "title", "ratings_count"), "node").where("title is not null")
+        sizes = self.store.table("communities").select("community", "size")
+        best = rated.groupBy("community").agg(F.max_by("title", F.struct(F.coalesce("ratings_count", F.lit(-1)), "node")).alias("title"))
+        top = [r["title"] for r in best.join(sizes, "community").orderBy(F.desc("size"), "community").limit(PROBES + PROBE_SEEDS - 1).collect()]
+        return [top[i : i + PROBE_SEEDS] for i in range(len(top) - PROBE_SEEDS + 1)]
+
+    def route_report(self, sets: Sequence[Sequence[str]] = (), max_hops: int = joining.MAX_HOPS, floor: float = COMPARE_FLOOR) -> str:
+        """Markdown of the three variants for each seed set (without any: ``probes``), with times."""
         out = ["# Routes", ""]
-        for seeds in sets:
+        for seeds in sets or self.probes():
+            if len(seeds) < 2:
+                raise ValueError(f"a seed set needs two titles: {', '.join(seeds)}")
             out += [f"## {', '.join(seeds)}", "", "| variant | route | hops | strength | weakest | seconds |", "|-|-|-|-|-|-|"]
-            for name, args in {"product": {}, "product_floor": {"min_edge_weight": COMPARE_FLOOR}, "widest": {"objective": joining.WIDEST}}.items():
+            for name, args in {"product": {}, "product_floor": {"min_edge_weight": floor}, "widest": {"objective": joining.WIDEST}}.items():
                 started = time.time()
                 found, _ = self.connect(seeds, max_hops, **args)
                 took = time.time() - started
@@ -149,11 +164,12 @@ class Engine:
             out.append("")
         return "\n".join(out)
 
-    def subgraph(self, seeds: Sequence[str], n: int = 40, config: RecommendConfig = RecommendConfig(), view: LayoutConfig = LayoutConfig()) -> dict:
+    def subgraph(self, seeds: Sequence[str], n: int = 40, config: RecommendConfig = RecommendConfig(), view: LayoutConfig = MAP_VIEW) -> dict:
+        """What a map shows; the items that join the seeds are shown whatever their rank."""
         found = self.recommend(seeds, n, config)
         ids = [m.work_id for m in found.matches]
-        required = [x for r in found.recommendations for e in r.explanations for x in e["path"][1:-1]]
-        return mapview.payload(self._graph(), self.books(), ids, required, {r.work_id: r.score for r in found.recommendations}, self.labels(), view)
+        joined = joining.connect(graph.adjacency(self._graph()), ids).connectors if len({*ids}) > 1 else ()
+        return mapview.payload(self._graph(), self.books(), ids, joined, {r.work_id: r.score for r in found.recommendations}, self.labels(), view)
 
     def export_map(self, seeds: Sequence[str], n: int = 40) -> str:
         return mapview.render_svg(self.subgraph(seeds, n))
@@ -163,6 +179,20 @@ class Engine:
         named = near.join(self.books().select(F.col("work_id").alias("neighbour"), "title"), "neighbour", "left")
         return [r.asDict() for r in named.orderBy(F.desc("weight"), "neighbour").collect()]
 
+    def lookup(self, id_type: str, id_value: str) -> str | None:
+        """The work that an outer id is an alias of."""
+        row = self.store.table("aliases").where((F.col("id_type") == id_type) & (F.col("id_value") == id_value)).first()
+        return row["work_id"] if row else None
+
+    def networkx(self):
+        """The fused graph for networkx, where that is installed; for graphs that fit one process."""
+        import networkx
+
+        found = networkx.Graph()
+        for r in self.fused().select("src", "dst", "weight").toLocalIterator():
+            found.add_edge(r["src"], r["dst"], weight=r["weight"])
+        return found
+
     def book(self, work_id: str) -> dict | None:
         row = self.books().where(F.col("work_id") == work_id).first()
         return row.asDict() if row else None
@@ -174,6 +204,15 @@ class Engine:
         return {"counts": {r["table"]: r["n"] for r in self.store.counts().collect()}, "degree": degree, "communities": [r.asDict() for r in top]}
 
 
+def as_text(found: rank.RecommendResult) -> str:
+    """Recommendations as lines, each with the explanations that speak for it."""
+    out = [f"not found: {x}" for x in found.unresolved]
+    for i, r in enumerate(found.recommendations, 1):
+        out.append(f"{i}. {r.title}" + (f" ({', '.join(r.authors)})" if r.authors else ""))
+        out += [f"   {e['text']}" for e in r.explanations]
+    return "\n".join(out)
+
+
 def as_json(value: object) -> str:
     """Results as JSON text."""
     return json.dumps(asdict(value) if hasattr(value, "__dataclass_fields__") else value, ensure_ascii=False, default=str)

@@ -60,8 +60,8 @@ class Store:
     A reader of the old version is never disturbed, and no plan reads the path that it overwrites.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
+        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
 
     def _hadoop(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -83,7 +83,13 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}")
 
+    def rows(self, name: str):
+        """A table's rows one by one, a partition at a time on the driver."""
+        return self.table(name).toLocalIterator(prefetchPartitions=True)
+
     def replace(self, name: str, df: DataFrame) -> None:
+        if self.read_only:
+            raise PermissionError(f"the store {self.root} is open for reading only")
         version = f"v-{uuid.uuid4().hex}"
         old = self._current(name)
         named = [F.col(c).cast(kind).alias(c) for c, kind in columns(TABLES[name])]

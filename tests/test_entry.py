@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from tests.conftest import ROOT
 
 SHOW = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), len(o), set(o) <= set(q), 'pipeline' in q, any(n.startswith('op') for n in q))"
@@ -19,11 +21,16 @@ def test_names():
     assert shown(ROOT)[2] == "True"
 
 
-def test_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("left", ["nothing", "pipeline", "caches"])
+def test_without_the_subpackage(tmp_path, left):
+    """Both folders gone, with the pipeline beside them or not; compiled files may stay."""
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "tests"))
     shutil.rmtree(copy / "sparkloom" / "llm", ignore_errors=True)
-    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    if left == "caches":
+        (copy / "sparkloom" / "llm" / "__pycache__").mkdir(parents=True)
+    if left == "nothing":
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     n, m, inside, pipeline, operators = shown(copy)
     assert int(n) > 50 and int(m) > 40 and (inside, pipeline, operators) == ("True", "False", "False")
 
