@@ -1,6 +1,6 @@
 """Quality by co-training two views of a document: its text, and its metadata.
 
-The text view has hashed words, word pairs and character trigrams of the whole text beside a few
+The text view has hashed words, word pairs and trigrams of bytes of the whole text beside a few
 statistics; the metadata view has language, source and stated length. The features of all documents
 are made once and staged. Each view has a ridge-penalized logistic regression. In every round both
 views score all unlabelled documents on the cluster; the ``TAKEN`` documents of each class that a
@@ -11,8 +11,8 @@ calibrated log-odds combines them. The fitted weights, some two thousand numbers
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,74 +37,104 @@ SOURCE_SLOTS, LANG_SLOTS = 64, 16
 #: Steps of a hashed count's logarithm, and the length of the hashed part of a vector.
 STEPS, LENGTH = 16, 4.0
 RIDGE = 1.0
-#: Distinct words whose places a worker keeps at once.
-WORD_CACHE = 100_000
+#: Bytes of a text that are looked at together.
+PIECE = 1 << 18
 
 STATISTICS = (
     "bias", "log_words", "distinct_share", "top_share", "repeat_share", "upper_share", "digit_share", "symbol_share", "mark_share",
     "word_length", "long_share", "shout_share", "ended_share", "lines", "repeated_lines", "odd_ends", "url_share", "space_share",
 )
 N_STATS, N_HASHED = len(STATISTICS), WORD_SLOTS + GRAM_SLOTS
+SPACE, LOWER, UPPER, DIGIT, SYMBOL, OTHER = range(6)
+#: The kind of each byte; those of characters beyond ASCII are others and count as letters.
+_KINDS = np.full(256, SYMBOL, np.uint8)
+for _low, _high, _kind in ((9, 14, SPACE), (32, 33, SPACE), (48, 58, DIGIT), (65, 91, UPPER), (97, 123, LOWER), (128, 256, OTHER)):
+    _KINDS[_low:_high] = _kind
+_SPACES = re.compile(rb"[\x20\x09-\x0D]+")
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: tuple[np.ndarray, ...] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 N_META = 8 + SOURCE_SLOTS + LANG_SLOTS
 
 
-def statistics(text: str, words: list[str], counts: Counter) -> np.ndarray:
-    """Shares and sizes of the whole text; zeros but for the constant without text."""
-    out = np.zeros(N_STATS, np.float32)
-    n, size = max(1, len(words)), max(1, len(text))
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """``raw`` in pieces of about ``PIECE`` bytes, cut where a word ends."""
+    at = 0
+    while at < len(raw):
+        end = at + PIECE
+        if end < len(raw) and (found := _SPACES.search(raw, end)):
+            end = found.end()
+        else:
+            end = len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``_BASE`` and of its inverse, modulo 2**64."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        _POWERS = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64))]) for x in (_BASE, _INVERSE))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of the whole text (zeros but for the constant without text), and ``N_HASHED`` logarithms
+    of hashed counts in steps of 1 / ``STEPS`` (uint8). Words are told apart by 64-bit polynomial hashes."""
+    text = text or ""
+    raw = text.encode("utf-8", "surrogatepass")
+    found = np.zeros(N_HASHED, np.int64)
+    bytes_of = np.zeros(256, np.int64)
+    shouts = plain = odd = 0
+    hashes, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for piece in _pieces(raw):
+        b = np.frombuffer(piece, np.uint8)
+        kind = _KINDS[b]
+        bytes_of += np.bincount(b, minlength=256)
+        edge = np.flatnonzero(np.diff((kind != SPACE).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
+            continue
+        power, inverse = _powers(len(b))
+        prefix = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(b * power, out=prefix[1:])
+        own = _mixed((prefix[end] - prefix[start]) * inverse[start])
+        hashes.append(own), lengths.append(end - start)
+        inside = [np.add.reduceat(kind == k, start) for k in (LOWER, UPPER)]
+        marks = np.add.reduceat((kind == DIGIT) | (kind == SYMBOL), start)
+        shouts += int(((inside[0] == 0) & (inside[1] > 0)).sum())
+        plain += int((marks == 0).sum())
+        last = b[end - 1]
+        odd += int(((_KINDS[last] == SYMBOL) & (last != 44) & (last != 46)).sum())
+        # trigrams of bytes; white space of any kind counts as one space
+        flat = np.where(kind == SPACE, np.uint8(32), b).astype(np.uint64)
+        if len(flat) > 2:
+            grams = _mixed(flat[:-2] * np.uint64(65_536) + flat[1:-1] * np.uint64(256) + flat[2:])
+            found[WORD_SLOTS:] += np.bincount((grams % np.uint64(GRAM_SLOTS)).astype(np.int64), minlength=GRAM_SLOTS)
+    words, lengths = np.concatenate(hashes), np.concatenate(lengths)
+    n, size = max(1, len(words)), max(1, len(raw))
+    if len(words):
+        pairs = _mixed(words[:-1] * np.uint64(31) + words[1:])
+        found[:WORD_SLOTS] += np.bincount((np.concatenate([words, pairs]) % np.uint64(WORD_SLOTS)).astype(np.int64), minlength=WORD_SLOTS)
+    times = np.unique(words, return_counts=True)[1]
     lines = [x for x in text.split("\n") if x]
-    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-    upper = codes[65:91].sum()
-    ascii_letters = upper + codes[97:123].sum()
-    digits, spaces = codes[48:58].sum(), codes[32] + codes[9:14].sum()
-    symbols, marks = codes[33:128].sum() - ascii_letters - digits, codes[[44, 46]].sum()
-    shouts, plain, odd = 0, 0, 0
-    for word, count in counts.items():
-        shouts += count * word.isupper()
-        plain += count * word.isalpha()
-        odd += count * (not word[-1].isalnum() and word[-1] not in ".,")
-    out[:] = (
-        1, np.log1p(len(words)), len(counts) / n, max(counts.values(), default=0) / n, repeats / n, upper / max(1, ascii_letters), digits / size,
+    upper = bytes_of[65:91].sum()
+    letters = upper + bytes_of[97:123].sum()
+    digits, spaces, marks = bytes_of[48:58].sum(), bytes_of[32] + bytes_of[9:14].sum(), bytes_of[[44, 46]].sum()
+    symbols = bytes_of[33:128].sum() - letters - digits
+    stats = (
+        1, np.log1p(len(words)), len(times) / n, times.max(initial=0) / n, (words[1:] == words[:-1]).sum() / n, upper / max(1, letters), digits / size,
         (symbols - marks) / size, marks / size, lengths.mean() / 10 if len(words) else 0, (lengths > 16).sum() / n, shouts / n, plain / n,
         np.log1p(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), odd / n, (text.count("://") + text.count("@")) / n, spaces / size,
     )
-    return out
-
-
-class TextFeatures:
-    """Statistics and hashed counts of whole texts; keeps the places of words between texts."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[int, np.ndarray]] = {}
-
-    def _learn(self, word: str) -> None:
-        marked = f"^{word}$"
-        grams = [WORD_SLOTS + zlib.crc32(marked[i : i + 3].encode("utf-8", "surrogatepass")) % GRAM_SLOTS for i in range(len(marked) - 2)]
-        whole = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        self.known[word] = whole, np.array([whole % WORD_SLOTS, *grams], np.int64)
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The statistics, and ``N_HASHED`` logarithms of counts in steps of 1 / ``STEPS`` (uint8)."""
-        text = text or ""
-        words = text.split()
-        counts = Counter(words)
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        for word in counts.keys() - self.known.keys():
-            self._learn(word)
-        found = np.zeros(N_HASHED)
-        if counts:
-            own = [self.known[w] for w in counts]
-            places = np.concatenate([x for _, x in own])
-            times = np.repeat(np.fromiter(counts.values(), np.int64, len(own)), [len(x) for _, x in own])
-            found = np.bincount(places, times, minlength=N_HASHED)
-            hashes = np.fromiter((self.known[w][0] for w in words), np.int64, len(words))
-            # a pair of words by both hashes in order
-            found[:WORD_SLOTS] += np.bincount((hashes[:-1] * 31 + hashes[1:]) % 1_000_003 % WORD_SLOTS, minlength=WORD_SLOTS)
-        steps = np.round(STEPS * np.where(found > 0, 1 + np.log2(np.maximum(found, 1)), 0))
-        return statistics(text, words, counts), np.minimum(steps, 255).astype(np.uint8)
+    steps = np.round(STEPS * np.where(found > 0, 1 + np.log2(np.maximum(found, 1)), 0))
+    return np.array(stats, np.float32), np.minimum(steps, 255).astype(np.uint8)
 
 
 def text_rows(stats: np.ndarray, hashed: np.ndarray) -> np.ndarray:
@@ -249,9 +279,8 @@ def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled doc_ids; a doc_id labelled both ways is bad."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = TextFeatures()
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column(4)]
+            found = [text_features(t.as_py()) for t in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], [c.split()[0] for c in FEATURES.split(", ")])
 
     made = docs.select("doc_id", "lang", "source", F.col("n_chars").cast("long"), "text").mapInArrow(run, FEATURES)

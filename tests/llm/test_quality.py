@@ -60,7 +60,7 @@ def test_against_plain_co_training(spark):
     """Features, pseudo-labels of all documents, fits and scores on one list, without the cluster."""
     docs, labels = table(spark)
     rows, known = docs.orderBy("doc_id").collect(), {r["doc_id"]: r["quality"] for r in labels.collect()}
-    found = [quality.TextFeatures()(r["text"]) for r in rows]
+    found = [quality.text_features(r["text"]) for r in rows]
     text = quality.text_rows(np.array([x for x, _ in found]), np.array([x for _, x in found]))
     meta = np.array([quality.meta_features(r["lang"], r["source"], r["n_chars"]) for r in rows], np.float32)
     fold = {r["doc_id"]: r["fold"] for r in quality.featured(docs, labels).where("quality is not null").collect()}
@@ -99,4 +99,21 @@ def test_edges(spark):
     odd = spark.createDataFrame([(None, 1, 0), (6, None, 0), (6, 1, 0), (6, 0, 0), (5, 1, 1), (999, 1, 0)], "doc_id long, quality int, toxic int")
     assert all(0 <= r["score"] <= 1 for r in quality.quality(docs, odd).collect())
     assert quality.quality(helpers.empty(spark), odd).count() == 0
-    assert all(np.isfinite(x).all() for x in quality.TextFeatures()(helpers.LONG)) and np.isfinite(quality.meta_features(None, None, None)).all()
+    assert all(np.isfinite(x).all() for x in quality.text_features(helpers.LONG)) and np.isfinite(quality.meta_features(None, None, None)).all()
+
+
+def test_statistics_and_pieces(monkeypatch):
+    text = "One two TWO two. two two|\n\nÉtat 3x http://a.b end%%\tend%%\nOne line"
+    stats, hashed = quality.text_features(text)
+    named = dict(zip(quality.STATISTICS, stats.tolist(), strict=True))
+    words = text.split()
+    assert named["log_words"] == np.float32(np.log1p(len(words))) and np.isclose(named["distinct_share"], len(set(words)) / len(words))
+    assert np.isclose(named["repeat_share"], 1 / len(words)) and np.isclose(named["shout_share"], 1 / len(words)) and np.isclose(named["odd_ends"], 3 / len(words))
+    assert np.isclose(named["ended_share"], sum(w.isalpha() for w in words) / len(words)) and np.isclose(named["word_length"], np.mean([len(w.encode()) for w in words]) / 10)
+    long = " ".join(random.Random(1).choices(["aa", "bb", "Cc!", "d1", "é"], k=4000))
+    whole = quality.text_features(long)
+    monkeypatch.setattr(quality, "PIECE", 700)
+    cut = quality.text_features(long)
+    assert np.allclose(whole[0], cut[0])
+    # trigrams over the cuts, two for each, are all that differs
+    assert (np.abs(whole[1].astype(int) - cut[1]) <= 2).all()
