@@ -192,3 +192,28 @@ def test_layouts_of_a_host_and_pages_of_lone_hosts(spark):
 def test_few_equal_texts_stay():
     pages = [f"<nav>menu {n}</nav><article><p>{'shared' if n < 3 else f'own {n}'}</p><p>Brand</p></article>" for n in range(8)]
     assert wrapper.extracted(pages[0], *wrapper.induced(pages)) == "shared\n\nBrand"
+
+
+def test_the_given_pages_need_the_wrapper_and_no_names(monkeypatch):
+    """Emptying the lists changes no page; without the wrapper every page differs."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html.tolist()
+    found = [wrapper.extracted(p, *own) for own in [wrapper.induced(pages)] for p in pages]
+    parse = wrapper.parse
+
+    def unnamed_parse(text):
+        root, todo = parse(text), []
+        todo.append(root)
+        while todo:
+            node = todo.pop()
+            node.leads, node.aside = "", False
+            todo += node.kids
+        return root
+
+    monkeypatch.setattr(wrapper, "parse", unnamed_parse)
+    assert found == [wrapper.extracted(p, *own) for own in [wrapper.induced(pages)] for p in pages]
+    monkeypatch.setattr(wrapper, "parse", parse)
+    for page, text in zip(pages, found, strict=True):
+        pivot = wrapper.Pivot.of(parse(page))
+        assert wrapper.extracted(page, pivot, wrapper.Wrapper([*range(len(pivot.nodes))], [], [], [], [])) != text
