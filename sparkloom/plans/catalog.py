@@ -375,6 +375,22 @@ def explain_paths_4hop(spark: SparkSession, d: str) -> DataFrame:
     return paths.explain_paths(star.bought_adjacency(spark, d), targets, SEEDS).select("target", "seed_id", F.round("strength", 9).alias("strength"))
 
 
+@query(
+    f"""WITH RECURSIVE {sql.GRAPH}, aims(target) AS (VALUES ('10'), ('20'), ('30')),
+    hop(k, target, node, cost) AS (
+        SELECT 0, target, target, 0.0::DOUBLE FROM aims
+        UNION ALL SELECT k + 1, target, dst, min(cost - ln(weight)) FROM hop JOIN adj ON node = src WHERE k < 4 GROUP BY k, target, dst),
+    best AS (SELECT target, node, min(cost) AS cost FROM hop WHERE k > 0 AND node IN ('1', '2', '3', '4', '5', '6') AND node <> target GROUP BY 1, 2)
+    SELECT target, node AS seed_id, round(exp(-cost), 9) AS strength, row_number() OVER (PARTITION BY target ORDER BY round(cost, 9), node) AS place FROM best
+    QUALIFY place <= 3"""
+)
+def explain_top3_of_6(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest three of six seeds, with their places."""
+    targets = spark.createDataFrame([("10",), ("20",), ("30",)], "target string")
+    found = paths.explain_paths(star.bought_adjacency(spark, d), targets, ["1", "2", "3", "4", "5", "6"])
+    return found.select("target", "seed_id", F.round("strength", 9).alias("strength"), F.col("place").cast("long").alias("place"))
+
+
 ROUNDS = 9
 
 
