@@ -381,7 +381,7 @@ def explain_paths_4hop(spark: SparkSession, d: str) -> DataFrame:
         SELECT 0, target, target, 0.0::DOUBLE FROM aims
         UNION ALL SELECT k + 1, target, dst, min(cost - ln(weight)) FROM hop JOIN adj ON node = src WHERE k < 4 GROUP BY k, target, dst),
     best AS (SELECT target, node, min(cost) AS cost FROM hop WHERE k > 0 AND node IN ('1', '2', '3', '4', '5', '6') AND node <> target GROUP BY 1, 2)
-    SELECT target, node AS seed_id, round(exp(-cost), 9) AS strength, row_number() OVER (PARTITION BY target ORDER BY round(cost, 9), node) AS place FROM best
+    SELECT target, node AS seed_id, round(exp(-cost), 9) AS strength, row_number() OVER (PARTITION BY target ORDER BY round(exp(-cost), 12) DESC, node) AS place FROM best
     QUALIFY place <= 3"""
 )
 def explain_top3_of_6(spark: SparkSession, d: str) -> DataFrame:
