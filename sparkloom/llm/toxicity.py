@@ -19,7 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 from itertools import chain, filterfalse
 
@@ -310,22 +310,27 @@ class Index:
     """Inverted index of example vectors, with block maxima of its common terms."""
 
     cuts: np.ndarray  # postings of term t are cuts[t] to cuts[t + 1]
-    postings: np.ndarray  # (postings, 2) int32: row, and the bits of its float32 weight
+    postings: np.ndarray  # 64 bits each: the row, above the bits of its single-precision weight
     common: np.ndarray  # a term's place among the common ones, or -1
     dense: np.ndarray  # (rows, common terms): weights, rows filled up to whole blocks
     most: np.ndarray  # (common terms, blocks): each term's largest weight in the block
     votes: np.ndarray  # (rows, 2): clean and toxic examples of the row
     doc_ids: np.ndarray  # a row's smallest doc_id
+    held: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
 
     def __getstate__(self) -> tuple:
         """Small for shipping: the dense blocks are made again, postings are compressed."""
-        small = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.cuts).astype(np.int32), *np.ascontiguousarray(self.postings.T))]
+        small = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.cuts).astype(np.int32), (self.postings >> np.uint64(32)).astype(np.int32), self.postings.astype(np.uint32))]
         return small, self.votes, self.doc_ids
 
     def __setstate__(self, state: tuple) -> None:
         small, votes, doc_ids = state
-        sizes, rows, weights = (np.frombuffer(zlib.decompress(x), np.int32) for x in small)
-        self.__dict__.update(Index._filled(np.concatenate([[0], np.cumsum(sizes)]), np.stack([rows, weights], 1), votes, doc_ids).__dict__)
+        sizes, rows, weights = (np.frombuffer(zlib.decompress(x), kind) for x, kind in zip(small, (np.int32, np.uint32, np.float32), strict=True))
+        self.__dict__.update(Index._filled(np.concatenate([[0], np.cumsum(sizes)]), Index._packed(rows, weights), votes, doc_ids).__dict__)
+
+    @staticmethod
+    def _packed(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return rows.astype(np.uint64) << np.uint64(32) | weights.view(np.uint32)
 
     @classmethod
     def _filled(cls, cuts: np.ndarray, postings: np.ndarray, votes: np.ndarray, doc_ids: np.ndarray) -> Index:
@@ -336,7 +341,7 @@ class Index:
         dense = np.zeros((n_blocks * BLOCK, len(often)), np.float32)
         for i, t in enumerate(often):
             own = postings[cuts[t] : cuts[t + 1]]
-            dense[own[:, 0], i] = np.ascontiguousarray(own[:, 1]).view(np.float32)
+            dense[(own >> np.uint64(32)).astype(np.int64), i] = own.astype(np.uint32).view(np.float32)
         return cls(cuts, postings, common, dense, dense.reshape(n_blocks, BLOCK, len(often)).max(axis=1).T.copy(), votes, doc_ids)
 
     @classmethod
@@ -348,21 +353,27 @@ class Index:
         cuts = np.searchsorted(term[by_term], np.arange(n_terms + 1))
         rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
         weights = np.concatenate([np.zeros(0, np.float32), *(vectors[i][1].astype(np.float32) for i in order)])
-        return cls._filled(cuts, np.stack([rows[by_term], weights[by_term].view(np.int32)], 1), votes[order], doc_ids[order])
+        return cls._filled(cuts, cls._packed(rows[by_term], weights[by_term]), votes[order], doc_ids[order])
 
     @cached_property
     def listed(self) -> list[list[float]]:
         return self.votes.tolist()
 
     def _rare(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Each row's sum over the postings of terms that are not common."""
-        spans = [slice(a, b) for a, b in zip(self.cuts[places].tolist(), self.cuts[places + 1].tolist(), strict=True)]
-        if not spans:
+        """Each row's sum over the postings of terms that are not common; arrays are used again, as fresh
+        ones of this size cost more than the sums."""
+        low, high = self.cuts[places], self.cuts[places + 1]
+        total = int((high - low).sum())
+        if not total:
             return np.zeros(len(self.dense), np.float32)
-        own = np.concatenate([self.postings[x] for x in spans])
-        gains = np.ascontiguousarray(own[:, 1]).view(np.float32)
-        gains *= np.repeat(weights.astype(np.float32), self.cuts[places + 1] - self.cuts[places])
-        return np.bincount(own[:, 0], gains, minlength=len(self.dense))
+        if total > len(self.held):
+            self.held = np.empty(2 * total, np.uint64)
+        own = self.held[:total]
+        np.concatenate([self.postings[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)], out=own)
+        gains = np.repeat(weights, high - low)
+        gains *= own.view(np.float32)[::2]
+        np.right_shift(own, np.uint64(32), out=own)
+        return np.bincount(own.view(np.int64), gains, minlength=len(self.dense))
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         """For each query (places, weights), the ``k`` rows of largest cosine (above 0), ties by row:
@@ -400,11 +411,12 @@ class Index:
                     found = part[who] + often[who] @ self.dense[rows].T
                     part[:] = 0
                     part[who] = found
-            for i in range(len(some)):
-                hits = np.flatnonzero(sums[i] >= kth[i])
-                cosines = np.round(sums[i, hits].astype(np.float64), 7)
-                best = np.lexsort((hits, -cosines))[:k]
-                out.append(list(zip(cosines[best].tolist(), hits[best].tolist(), strict=True)))
+            who, hits = np.nonzero(sums >= kth[:, None])
+            found = np.round(sums[who, hits].astype(np.float64), 7)
+            ends = np.searchsorted(who, np.arange(len(some) + 1)).tolist()
+            for x, y in zip(ends, ends[1:], strict=False):
+                best = np.lexsort((hits[x:y], -found[x:y]))[:k] + x
+                out.append(list(zip(found[best].tolist(), hits[best].tolist(), strict=True)))
         return out
 
 
