@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,8 @@ from sparkloom.lineage import shared_dir
 
 #: The white space of all word contracts: bytes 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Size of the batches that go to Python.
+BATCH_BYTES = "8m"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -27,20 +28,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str, codec: str = "snappy", level: int = 3) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder; the table read again and its path. ``level`` is that of zstd."""
     path = new_path(df.sparkSession, name)
+    bound_batches(df.sparkSession)
     df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """Plans that run within hand rows with large values to Python in batches of about ``size``."""
+def bound_batches(spark: SparkSession) -> None:
+    """Let plans hand rows to Python in batches of about ``BATCH_BYTES``, as a worker and its executor hold a few
+    of them; a session that sets a size of its own keeps it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if spark.conf.get(key).lower() in ("67108864b", "64mb", "64m"):
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def drop_paths(spark: SparkSession, *paths: str) -> None:
@@ -75,6 +73,7 @@ def rows_where(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[boo
 
     ``make`` runs once in each task and returns the test of an array of texts."""
     place = docs.columns.index("text")
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = make()

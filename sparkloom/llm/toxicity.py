@@ -51,7 +51,7 @@ SOFT = 0.05
 #: Terms that a counting task holds before it hands on partial counts.
 HELD_TERMS = 300_000
 #: Words that a worker knows before it forgets those of the time before.
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 
 _LOGS = np.concatenate([[0.0], 1 + np.log(np.arange(1, 1 << 16))])
 _ODD = re.compile(r"[^\w\x00-\x7f]")
@@ -330,7 +330,10 @@ class Index:
 
     @staticmethod
     def _packed(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return rows.astype(np.uint64) << np.uint64(32) | weights.view(np.uint32)
+        out = rows.astype(np.uint64)
+        np.left_shift(out, np.uint64(32), out=out)
+        out |= weights.view(np.uint32)
+        return out
 
     @classmethod
     def _filled(cls, cuts: np.ndarray, postings: np.ndarray, votes: np.ndarray, doc_ids: np.ndarray) -> Index:
@@ -346,14 +349,15 @@ class Index:
 
     @classmethod
     def build(cls, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray]], votes: np.ndarray, doc_ids: np.ndarray) -> Index:
+        """From the rows' sparse vectors; the list is emptied."""
         # rows of the same leading terms side by side make tight block bounds
         order = sorted(range(len(vectors)), key=lambda i: vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist())
+        sizes = [len(vectors[i][0]) for i in order]
         term = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0].astype(np.int32) for i in order)])
-        by_term = np.argsort(term, kind="stable")
-        cuts = np.searchsorted(term[by_term], np.arange(n_terms + 1))
-        rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
-        weights = np.concatenate([np.zeros(0, np.float32), *(vectors[i][1].astype(np.float32) for i in order)])
-        return cls._filled(cuts, cls._packed(rows[by_term], weights[by_term]), votes[order], doc_ids[order])
+        packed = cls._packed(np.repeat(np.arange(len(order), dtype=np.uint32), sizes), np.concatenate([np.zeros(0, np.float32), *(vectors[i][1].astype(np.float32) for i in order)]))
+        vectors.clear()  # as large again
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms)[:n_terms])])
+        return cls._filled(cuts, packed[np.argsort(term, kind="stable")], votes[order], doc_ids[order])
 
     @cached_property
     def listed(self) -> list[list[float]]:
