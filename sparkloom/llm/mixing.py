@@ -202,11 +202,12 @@ def part_of(order: Column) -> Column:
     return F.least(F.floor(order * PARTS), F.lit(ALL_PARTS - 1)).cast("int")
 
 
-def copy_plan(docs: DataFrame) -> DataFrame:
-    """(source, lang, length, source_size, target, rate, cut_part, cut): what decides a document's copies.
+def copy_plan(rows: DataFrame) -> DataFrame:
+    """(source, lang, length, source_size, target, rate, cut_part, cut): what decides a document's copies,
+    from staged ``rows`` as ``sized`` gives them.
 
     A document has a further copy if its place (part, then order, hash, doc_id, size) is before the cut."""
-    rows = sized(docs).withColumn("length", length_class(F.col("size")))
+    rows = rows.withColumn("length", length_class(F.col("size")))
     cells, _ = shared.staged(rows.groupBy("source", "lang", "length").agg(F.sum("size").alias("size")), "mix-sizes")
     rated, _ = shared.staged(rates(cells), "mix-rates")
     missing = rated.groupBy("source").agg((F.first("target") - F.sum(F.floor("rate") * F.col("cell_size"))).alias("missing"))
@@ -262,7 +263,9 @@ def mix(docs: DataFrame) -> DataFrame:
     Null sources and languages are values of their own; null and empty texts add no words; texts of
     any length count whole; rows that agree in doc_id and size share their fate; an empty table gives an
     empty one."""
-    plan = copy_plan(docs)
+    sizes, path = shared.staged(sized(docs), "mix-rows")
+    plan = copy_plan(sizes)
+    shared.drop_paths(docs.sparkSession, path)
     rows = docs.select("doc_id", "source", "lang", shared.word_count(F.col("text")).alias("size"), document_hash().alias("hash"), F.struct("*").alias("row"))
     taken = with_copies(rows, plan).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
@@ -271,6 +274,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mix_report(docs: DataFrame) -> DataFrame:
     """Per document of ``docs(doc_id, text, source, lang)``: doc_id, size, source_size, target, taken (words,
     repeats counted), copies. Rows are treated as in ``mix``."""
-    out = with_copies(sized(docs), copy_plan(docs))
+    rows, _ = shared.staged(sized(docs), "mix-rows")
+    out = with_copies(rows, copy_plan(rows))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 

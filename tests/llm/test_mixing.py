@@ -128,7 +128,7 @@ def test_newton_finds_the_dual_optimum(spark, seed):
 def test_covariates_move_towards_the_corpus(spark):
     """Sources differ in language; weights alone would change the languages' shares more."""
     rows = [(i, "w " * (10 + i % 50), "de" if i % 10 < (8 if i % 2 else 2) else "en", "ab"[i % 2], 0) for i in range(800)]
-    plan = mixing.copy_plan(spark.createDataFrame(rows, helpers.SCHEMA)).collect()
+    plan = mixing.copy_plan(mixing.sized(spark.createDataFrame(rows, helpers.SCHEMA))).collect()
     by = {(r["source"], r["lang"]): r["rate"] for r in plan}
     assert by["a", "de"] != pytest.approx(by["a", "en"], rel=1e-3) and all(0 < r["rate"] <= 3 for r in plan)
 
