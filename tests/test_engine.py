@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import cli, schemas
-from sparkloom.engine import Engine, NotBuilt, as_json
+from sparkloom.engine import Engine, NotBuilt, as_json, as_text
 from sparkloom.operators import store
 from sparkloom.schemas import GraphConfig
 from sparkloom.sources.dumps import CorpusFile
@@ -51,6 +51,18 @@ def test_recommend_and_json(engine):
     got = engine.recommend(["Star 1"], 3)
     assert len(got.recommendations) == 3 and {r.work_id for r in got.recommendations} <= {*SF, *LIT} - {"s1"}
     assert json.loads(as_json(got))["matches"][0]["work_id"] == "s1"
+    told = [e for r in got.recommendations for e in r.explanations]
+    assert all(e["seed_title"].startswith("Star 1") and e["text"].startswith("←") for e in told) and any("directly linked" in e["text"] for e in told)
+    assert told[0]["text"] in as_text(got) and len(as_text(got).splitlines()) >= 6
+
+
+def test_lookups_and_a_store_that_only_reads(engine):
+    assert engine.lookup("isbn13", "none") is None  # the corpus has no outer ids
+    assert len(list(engine.store.rows("books"))) == 10
+    reader = Engine(engine.spark, engine.root, read_only=True)
+    assert reader.stats()["counts"]["books"] == 10
+    with pytest.raises(PermissionError):
+        reader.store.replace("books", reader.books())
 
 
 def test_connect_and_report(engine):
