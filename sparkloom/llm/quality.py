@@ -274,18 +274,30 @@ def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, fold: np.nd
 FEATURES = "doc_id long, lang string, source string, n_chars long, stats binary, hashed binary"
 
 
-def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The text features of every row of ``docs`` beside its metadata, with ``quality`` and ``fold`` of
-    labelled doc_ids; a doc_id labelled both ways is bad."""
+NAMES = [x.split()[0] for x in FEATURES.split(", ")]
+
+
+def text_featured(docs: DataFrame) -> DataFrame:
+    """The text features of every row of ``docs`` beside its metadata; no shuffle, as features are about as
+    large as texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_features(t.as_py()) for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], [c.split()[0] for c in FEATURES.split(", ")])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], NAMES)
+
+    return docs.select("doc_id", "lang", "source", F.col("n_chars").cast("long"), "text").mapInArrow(run, FEATURES)
+
 
-    made = docs.select("doc_id", "lang", "source", F.col("n_chars").cast("long"), "text").mapInArrow(run, FEATURES)
+def qualities(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality, fold) of labelled doc_ids; one labelled both ways is bad."""
     once = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
-    return made.join(once.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(CALIBRATION_FOLD)) == 0), "doc_id", "left")
+    return once.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(CALIBRATION_FOLD)) == 0)
+
+
+def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text_featured`` with ``quality`` and ``fold`` of labelled doc_ids."""
+    return text_featured(docs).join(qualities(labels), "doc_id", "left")
 
 
 def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -297,39 +309,32 @@ def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return text_rows(stats, hashed), np.array(meta, np.float32).reshape(-1, N_META)
 
 
-def most_confident(staged: DataFrame) -> Pool:
-    """Scores all unlabelled rows of ``staged`` and fetches the few that are taken. A task hands on
-    ``TAKEN`` of each view and class, doc_ids and probabilities alone; equal ones go by doc_id."""
-    free = staged.where("quality is null and doc_id is not null")
-    names = [x.split()[0] for x in FEATURES.split(", ")]
+def most_confident(staged: DataFrame, known: DataFrame) -> Pool:
+    """Scores all rows of ``staged`` and fetches the few that are taken, none with a doc_id in ``known``. A task
+    hands on all that are confident, doc_ids and probabilities alone, and the labelled ones are taken out of
+    those; equal ones go by doc_id."""
 
     def pool(text_view: View, meta_view: View) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[tuple[int, int], dict[int, float]] = {(v, c): {} for v in (0, 1) for c in (0, 1)}
             for batch in batches:
-                ids = batch.column(0).to_pylist()
+                ids, valid = batch.column(0), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
                 for v, (view, x) in enumerate(zip((text_view, meta_view), _rows(batch), strict=True)):
                     p = np.round(1 / (1 + np.exp(-view.logit(x))), 9)
                     for c, sure in ((1, p), (0, 1 - p)):
-                        own = best[v, c]
-                        for i in np.flatnonzero(sure >= CONFIDENT).tolist():
-                            own[ids[i]] = float(sure[i])
-                        if len(own) > 2 * TAKEN:
-                            best[v, c] = dict(sorted(own.items(), key=lambda r: (-r[1], r[0]))[:TAKEN])
-            rows = [(v, c, d, q) for (v, c), own in best.items() for d, q in sorted(own.items(), key=lambda r: (-r[1], r[0]))[:TAKEN]]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["view", "label", "doc_id", "sure"])
-
-        scores, path = shared.staged(free.select(*names).mapInArrow(run, "view int, label int, doc_id long, sure double"), "quality-sure")
+                        own = np.flatnonzero((sure >= CONFIDENT) & valid)
+                        columns = [pa.array(np.full(len(own), v, np.int32)), pa.array(np.full(len(own), c, np.int32)), ids.take(pa.array(own)), pa.array(sure[own])]
+                        yield pa.RecordBatch.from_arrays(columns, ["view", "label", "doc_id", "sure"])
+
+        scores = staged.select(*NAMES).mapInArrow(run, "view int, label int, doc_id long, sure double")
+        scores, path = shared.staged(scores.join(known.select("doc_id"), "doc_id", "left_anti").select("view", "label", "doc_id", "sure"), "quality-sure", codec="zstd")
         chosen = None
         for v in (0, 1):
             for c in (0, 1):
                 some = scores.where((F.col("view") == v) & (F.col("label") == c)).groupBy("view", "label", "doc_id").agg(F.max("sure").alias("sure")).orderBy(F.desc("sure"), "doc_id").limit(TAKEN)
                 chosen = some if chosen is None else chosen.union(some)
         # at most 4 * TAKEN rows of four numbers, and as many feature rows
-        listed = free.select(*names).join(F.broadcast(chosen.select("view", "label", "doc_id")), "doc_id").dropDuplicates(["view", "label", "doc_id"])
-        found = listed.orderBy("view", "label", "doc_id").select("view", "label", *names).toArrow()
+        listed = staged.select(*NAMES).join(F.broadcast(chosen.select("view", "label", "doc_id")), "doc_id").dropDuplicates(["view", "label", "doc_id"])
+        found = listed.orderBy("view", "label", "doc_id").select("view", "label", *NAMES).toArrow()
         shared.drop_paths(staged.sparkSession, path)
         text, meta = _rows(found)
         view, label = (found.column(i).to_numpy() for i in (0, 1))
@@ -338,16 +343,22 @@ def most_confident(staged: DataFrame) -> Pool:
     return pool
 
 
-def fit(staged: DataFrame, labelled: int = MAX_LABELLED) -> CoTrained:
-    """Co-train on at most ``labelled`` labelled rows of ``staged`` (as ``featured`` gives them) and on
-    confident rows among all that are unlabelled. Without labels every score is 0.5."""
-    known = staged.where("quality is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = known.toArrow()  # bounded by the sample
+def fit(staged: DataFrame, labelled: int = MAX_LABELLED, labels: DataFrame | None = None) -> CoTrained:
+    """Co-train on at most ``labelled`` labelled rows of ``staged`` and on confident rows among all that are
+    unlabelled. Its labels are those that ``featured`` has added, or ``labels`` where it is from
+    ``text_featured``. Without labels every score is 0.5."""
+    own = staged.where("quality is not null").select("doc_id", "quality", "fold").distinct() if labels is None else qualities(labels)
+    known, path = shared.staged(own, "quality-labels")
+    # the sample is found by doc_ids alone, then its features are fetched
+    some = known.join(staged.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    rows = staged.select(*NAMES).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # bounded by the sample
     text, meta = _rows(rows)
     quality_, fold = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("quality", "fold"))
     if not len(rows):
         return CoTrained(View(*standardized(np.zeros((1, N_STATS + N_HASHED)), 0), np.zeros(N_STATS + N_HASHED)), View(*standardized(np.zeros((1, N_META)), 0), np.zeros(N_META)), np.zeros(3), [])
-    return co_train(text, meta, quality_.astype(np.int64), fold.astype(bool), most_confident(staged))
+    model = co_train(text, meta, quality_.astype(np.int64), fold.astype(bool), most_confident(staged, known))
+    shared.drop_paths(staged.sparkSession, path)
+    return model
 
 
 def scored(staged: DataFrame, model: CoTrained) -> DataFrame:
@@ -359,7 +370,7 @@ def scored(staged: DataFrame, model: CoTrained) -> DataFrame:
             both, text, meta = model.score(*_rows(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in ((both, pa.float64()), (both >= 0.5, pa.bool_()), (text, pa.float64()), (meta, pa.float64())))], ["doc_id", "score", "keep", "text_score", "meta_score"])
 
-    return staged.select(*(x.split()[0] for x in FEATURES.split(", "))).mapInArrow(run, "doc_id long, score double, keep boolean, text_score double, meta_score double")
+    return staged.select(*NAMES).mapInArrow(run, "doc_id long, score double, keep boolean, text_score double, meta_score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED) -> DataFrame:
@@ -367,5 +378,5 @@ def quality(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED) ->
     n_chars)``. Nulls are values of their own, empty texts have zero statistics, texts of any length
     count whole, repeated rows score alike, further columns are ignored; a doc_id labelled both ways is
     bad; an empty table gives an empty one."""
-    staged, _ = shared.staged(featured(docs, labels), "quality-features", codec="zstd")
-    return scored(staged, fit(staged, labelled))
+    staged, _ = shared.staged(text_featured(docs), "quality-features", codec="zstd")
+    return scored(staged, fit(staged, labelled, labels))

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from sparkloom.llm import quality
+from sparkloom.llm import quality, shared
 from tests.llm import helpers
 
 
@@ -82,6 +82,28 @@ def test_against_plain_co_training(spark):
     assert np.allclose([got[r["doc_id"]] for r in rows], want, atol=1e-3)
 
 
+def test_features_are_not_shuffled(spark, monkeypatch):
+    """What is staged comes from its texts without an exchange, and all rows are scored so."""
+    docs, labels = table(spark)
+    plans, staged = {}, shared.staged
+
+    def noted(df, name, *more, **named):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, name, *more, **named)
+
+    monkeypatch.setattr(shared, "staged", noted)
+    out = quality.quality(docs, labels)
+    assert "Exchange" not in plans["quality-features"] and "Join" not in plans["quality-features"]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_beside_features_or_apart_fit_alike(spark):
+    docs, labels = table(spark)
+    beside = quality.fit(quality.featured(docs, labels).cache(), 80)
+    apart = quality.fit(quality.text_featured(docs).cache(), 80, labels)
+    assert beside.rounds == apart.rounds and np.array_equal(beside.combined, apart.combined)
+
+
 def test_the_fit_finds_the_optimum():
     rng = np.random.default_rng(0)
     x = np.concatenate([np.ones((200, 1)), rng.normal(size=(200, 4))], axis=1)
