@@ -153,6 +153,48 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return out
 
 
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` samples between those at even places, halfway; the last sample holds."""
+    after = np.append(even[1:], even[-1:])
+    return ((even.astype(np.int32) + after) >> 1).astype(np.int16)[:n]
+
+
+#: Values of each companding table in order, and the place of each 16-bit value among them, -1 without one.
+_VALUES = {law: np.unique(TABLES[law]).astype("<i2") for law in (MULAW, ALAW)}
+_PLACES = {law: np.full(1 << 16, -1, np.int16) for law in _VALUES}
+for _law, _values in _VALUES.items():
+    _PLACES[_law][_values.view(np.uint16)] = np.arange(len(_values))
+
+
+def pack_pcm(pcm: np.ndarray) -> bytes:
+    """16-bit samples without loss: those at even places, in a byte each where all are values of one
+    companding table, and how the others differ from halfway between, if any does. ``unpack_pcm`` gives
+    the samples back."""
+    pcm = np.ascontiguousarray(pcm, "<i2")
+    even, odd = np.ascontiguousarray(pcm[::2]), pcm[1::2]
+    rest = odd - _between(even, len(odd))  # modulo 2**16
+    law, body = 0, even
+    for kind, places in _PLACES.items():
+        found = places[even.view(np.uint16)]
+        if (found >= 0).all():
+            law, body = kind, found.astype(np.uint8)
+            break
+    other = bool(rest.any())
+    return struct.pack("<BBQ", law, other, len(pcm)) + body.tobytes() + (rest.tobytes() if other else b"")
+
+
+def unpack_pcm(packed: bytes | memoryview) -> np.ndarray:
+    """Inverse of ``pack_pcm``."""
+    law, other, n = struct.unpack_from("<BBQ", packed)
+    body = np.frombuffer(packed, np.uint8 if law else "<i2", n - n // 2, 10)
+    even = _VALUES[law][body] if law else body
+    out = np.empty(n, np.int16)
+    out[::2], out[1::2] = even, _between(even, n // 2)
+    if other:
+        out[1::2] += np.frombuffer(packed, "<i2", n // 2, 10 + body.nbytes)
+    return out
+
+
 def features(pcm: np.ndarray, rate: int) -> str:
     """Level, zero crossings and extremes of resampled PCM, with its checksum, as one string."""
     squares = sum(int((wide * wide).sum()) for at in range(0, len(pcm), CHUNK) for wide in [pcm[at : at + CHUNK].astype(np.int64)])
@@ -196,14 +238,16 @@ def _some(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def decode_media(media: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Add to ``media(media binary, ...)``: codec, n_samples, pcm (16-bit, ``rate``), problem.
+def decode_media(media: DataFrame, rate: int = 16_000, packed: bool = False) -> DataFrame:
+    """Add to ``media(media binary, ...)``: codec, n_samples, pcm (16-bit, ``rate``; ``packed`` by
+    ``pack_pcm``), problem.
 
     Null media gives nulls; a file that is no telephony RIFF gives nulls too and its reason in
     ``problem``; a file without samples has empty pcm. Files of any length are decoded whole, equal
     files alike. Columns of those names in the input are replaced; others pass through."""
     added = {"codec": "int", "n_samples": "long", "pcm": "binary", "problem": "string"}
     kept = media.drop(*added)
+    coded = pack_pcm if packed else lambda pcm: pcm.astype("<i2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -213,7 +257,7 @@ def decode_media(media: DataFrame, rate: int = 16_000) -> DataFrame:
                 good = [x if isinstance(x, tuple) else None for x in done]
                 more = [
                     pa.array([x and x[0] for x in good], pa.int32()), pa.array([x and len(x[1]) for x in good], pa.int64()),
-                    pa.array([x and x[1].astype("<i2").tobytes() for x in good], pa.binary()), pa.array([x if isinstance(x, str) else None for x in done], pa.string()),
+                    pa.array([x and coded(x[1]) for x in good], pa.binary()), pa.array([x if isinstance(x, str) else None for x in done], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added])
 
@@ -267,14 +311,16 @@ def media_digests(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(run, schema + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
 
 
-def pcm_features(stored: DataFrame, rate: int = 16_000) -> DataFrame:
-    """``stored(pcm, ...)`` with ``feature`` of the samples in place of ``pcm``; null for null."""
+def pcm_features(stored: DataFrame, rate: int = 16_000, packed: bool = False) -> DataFrame:
+    """``stored(pcm, ...)`` with ``feature`` of the samples in place of ``pcm`` (``packed`` by ``pack_pcm``);
+    null for null."""
     kept = stored.drop("pcm")
     others = kept.columns
+    samples = unpack_pcm if packed else lambda raw: np.frombuffer(raw, "<i2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(np.frombuffer(v.as_buffer(), "<i2"), rate) if v.is_valid else None for v in batch.column(batch.schema.get_field_index("pcm"))]
+            found = [features(samples(v.as_buffer()), rate) if v.is_valid else None for v in batch.column(batch.schema.get_field_index("pcm"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(found, pa.string())], [*others, "feature"])
 
     return stored.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", feature string")
@@ -282,14 +328,16 @@ def pcm_features(stored: DataFrame, rate: int = 16_000) -> DataFrame:
 
 def store_texts_as_media(docs: DataFrame) -> DataFrame:
     """Write ``docs(doc_id, text)`` as media of all three codecs to the shared folder, read them back,
-    write their resampled PCM there too, and return digests of the media and features of the PCM as
-    read back.
+    write their resampled PCM there too, coded without loss, and return digests of the media and features
+    of the PCM as read back.
 
     Null and empty texts have one frame of zero bytes; texts of any length are whole; equal texts have
     equal values; repeated rows and null doc_ids are rows like others; further columns are ignored; an
     empty table gives an empty one. Both tables stay for whoever uses them."""
-    media, _ = shared.staged(bytes_to_media(docs), "media", codec="zstd")
-    decoded = decode_media(media_digests(media.select("doc_id", "n_bytes", "media"))).drop("media", "codec", "n_samples", "problem")
-    pcm, _ = shared.staged(decoded, "pcm", codec="zstd", level=9)
-    out = pcm_features(pcm)
+    media, _ = shared.staged(bytes_to_media(docs), "media", codec="zstd", level=9)
+    decoded = decode_media(media_digests(media.select("doc_id", "n_bytes", "media")), packed=True).drop("media", "n_samples", "problem")
+    # a column for each codec, as samples of one kind compress better among themselves
+    columns = {f"pcm_{c}": F.when(F.col("codec") == c, F.col("pcm")) for c in (MULAW, ALAW, ADPCM)}
+    pcm, _ = shared.staged(decoded.withColumns(columns).drop("pcm", "codec"), "pcm", codec="zstd", level=9)
+    out = pcm_features(pcm.withColumn("pcm", F.coalesce(*columns)).drop(*columns), packed=True)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("feature"))

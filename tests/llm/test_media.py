@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sparkloom.llm import media
+from sparkloom.llm import media, shared
 from tests.llm import helpers
 
 
@@ -89,3 +89,26 @@ def test_empty_and_codecs(spark):
     assert media.store_texts_as_media(helpers.empty(spark)).count() == 0
     with pytest.raises(ValueError):
         media.bytes_to_media(helpers.empty(spark), codec=media.PCM)
+
+
+def test_pcm_is_packed_without_loss():
+    rng = np.random.default_rng(5)
+    some = [np.zeros(0), [7], [-3, 9], rng.integers(-32768, 32768, 1001), rng.integers(-9, 9, 64), np.repeat([-32768, 32767], 50)]
+    text = np.frombuffer(b"some words of a text " * 40, np.uint8)
+    dealt = [media.resample(x, 8000, 16000) for x in (*(media.TABLES[c][text] for c in media.TABLES), media.decode_adpcm([text.tobytes()], 64)[0])]
+    for pcm in (*some, *dealt):
+        pcm = np.array(pcm, np.int16)
+        back = media.unpack_pcm(media.pack_pcm(pcm))
+        assert back.dtype == np.int16 and np.array_equal(back, pcm)
+    assert all(len(media.pack_pcm(x)) < x.nbytes / 1.9 for x in dealt) and all(len(media.pack_pcm(x)) < x.nbytes / 3 for x in dealt[:2])
+
+
+def test_the_query_stores_packed_pcm(spark, monkeypatch):
+    tables, staged = {}, shared.staged
+    monkeypatch.setattr(shared, "staged", lambda df, name, *more, **named: tables.setdefault(name, staged(df, name, *more, **named)))
+    docs = spark.createDataFrame([(i, f"text number {i} " * 200) for i in range(30)], "doc_id long, text string")
+    sizes = {r["doc_id"]: r["payload_bytes"] for r in media.store_texts_as_media(docs).collect()}
+    rows = [(r["doc_id"], *(r[c] for c in r.asDict() if c.startswith("pcm") and r[c] is not None)) for r in tables["pcm"][0].collect()]
+    # companded: 2 samples of 2 bytes for a byte; ADPCM: 4 samples
+    assert len(rows) == 30 and all(len(pcm) < 4.1 * sizes[i] and len(media.unpack_pcm(pcm)) >= 2 * sizes[i] for i, pcm in rows)
+    assert min(len(pcm) / sizes[i] for i, pcm in rows) < 1.1
