@@ -6,8 +6,10 @@ lost executor never takes them along and no plan keeps a long lineage.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system; workers are used again and wait beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError, TypeError):  # only glibc keeps it and has this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop_paths(spark: SparkSession, *paths: str) -> None:
     """Delete staged tables that no later plan reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -79,5 +88,7 @@ def rows_where(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[boo
         passes = make()
         for batch in batches:
             yield batch.filter(pa.array(passes(batch.column(place)), pa.bool_()))
+        del passes
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)

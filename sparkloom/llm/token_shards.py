@@ -46,6 +46,8 @@ BLOCK = 64 * LANES
 PERCENTILE = 0.97
 #: Ids after which a task starts its next shard file.
 SHARD_IDS = 8_000_000
+#: Blocks that are packed together.
+GROUP = 64
 
 
 def block_widths(rest: np.ndarray, percentile: float) -> np.ndarray:
@@ -81,21 +83,15 @@ def unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(len(rows), BLOCK)
 
 
-def encode_shard(
-    ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, percentile: float = PERCENTILE
-) -> bytes:
-    """One shard file of ``ids`` (uint32); ``starts`` has the first id of each document."""
+def _encoded_blocks(ids: np.ndarray, percentile: float) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of ``ids``, the last one filled up with its last id: bytes, minima, widths and exception counts."""
     n_blocks = -(-len(ids) // BLOCK)
-    blocks = np.zeros((n_blocks, BLOCK), np.uint32)
-    if n_blocks:
-        flat = blocks.reshape(-1)
-        flat[: len(ids)] = ids
-        flat[len(ids) :] = ids[-1]
-    low = blocks.min(axis=1) if n_blocks else np.zeros(0, np.uint32)
+    blocks = np.full((n_blocks, BLOCK), ids[-1], np.uint32)
+    blocks.reshape(-1)[: len(ids)] = ids
+    low = blocks.min(axis=1)
     rest = blocks - low[:, None]
-    widths = block_widths(rest, percentile) if n_blocks else np.zeros(0, np.int64)
-    limits = (np.uint64(1) << widths.astype(np.uint64))[:, None]
-    outlier = rest >= limits
+    widths = block_widths(rest, percentile)
+    outlier = rest >= (np.uint64(1) << widths.astype(np.uint64))[:, None]
     counts = outlier.sum(axis=1)
     packed: list[bytes] = [b""] * n_blocks
     kept = np.where(outlier, 0, rest)
@@ -104,20 +100,31 @@ def encode_shard(
         for at, words in zip(which, pack(kept[which], int(width)), strict=True):
             packed[at] = words.tobytes()
     _, places = np.nonzero(outlier)
-    patched = rest[outlier]
-    ends = np.cumsum(counts)
+    patched, ends = rest[outlier], np.cumsum(counts)
+    spans = [slice(end - n, end) for end, n in zip(ends, counts, strict=True)]
+    bodies = [body + places[span].astype("<u2").tobytes() + patched[span].astype("<u4").tobytes() for body, span in zip(packed, spans, strict=True)]
+    return bodies, low, widths, counts
+
+
+def encode_shard(
+    ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, percentile: float = PERCENTILE
+) -> bytes:
+    """One shard file of ``ids`` (uint32); ``starts`` has the first id of each document."""
+    n_blocks = -(-len(ids) // BLOCK)
     out, at, block_starts = [MAGIC], len(MAGIC), np.zeros(n_blocks, np.uint64)
-    for i in range(n_blocks):
-        span = slice(ends[i] - counts[i], ends[i])
-        body = packed[i] + places[span].astype("<u2").tobytes() + patched[span].astype("<u4").tobytes()
-        block_starts[i] = at
-        at += len(body)
-        out.append(body)
+    low, widths, counts = (np.zeros(n_blocks, kind) for kind in ("<u4", "u1", "<u2"))
+    # a block stands for itself, so those under way are few, whatever the length of the shard
+    for first in range(0, n_blocks, GROUP):
+        some = slice(first, first + GROUP)
+        bodies, low[some], widths[some], counts[some] = _encoded_blocks(ids[first * BLOCK : (first + GROUP) * BLOCK], percentile)
+        for i, body in enumerate(bodies, first):
+            block_starts[i] = at
+            at += len(body)
+            out.append(body)
     valid = np.array([d is not None for d in doc_ids], np.uint8)
     known = np.array([d or 0 for d in doc_ids], "<i8")
     out += [
-        block_starts.astype("<u8").tobytes(), low.astype("<u4").tobytes(),
-        widths.astype("u1").tobytes(), counts.astype("<u2").tobytes(),
+        block_starts.astype("<u8").tobytes(), low.tobytes(), widths.tobytes(), counts.tobytes(),
         valid.tobytes(), known.tobytes(), starts.astype("<u8").tobytes(),
         np.array([n_blocks, len(doc_ids), len(ids), at], "<u8").tobytes(), MAGIC,
     ]
@@ -269,6 +276,8 @@ def write_token_shards(
     ordered = ordered.repartitionByRange(shared.partitions(spark), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
+        shared.release_memory()  # of the task before, maybe of another stage
         encode = shared_encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         part, made = TaskContext.get().partitionId(), []
@@ -278,11 +287,12 @@ def write_token_shards(
 
         def close() -> None:
             ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            parts.clear()
             starts = np.cumsum([0, *sizes])[:-1]
             name = f"part-{part:06d}-{len(made):05d}.pfb"
             _put(folder, name, encode_shard(ids, names, starts, percentile))
             made.append((name, len(names), len(ids)))
-            parts.clear(), names.clear(), sizes.clear()
+            names.clear(), sizes.clear()
 
         held = 0
         gc.disable()  # the loop makes millions of lists and no cycles
@@ -302,6 +312,7 @@ def write_token_shards(
         finally:
             gc.enable()
             encode.known.clear()  # the worker's next task may need its memory for something else
+            shared.release_memory()
         if made:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)],

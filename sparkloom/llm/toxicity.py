@@ -493,6 +493,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     row_of = {_digest(known[i]): row for row, i in enumerate(index.doc_ids.tolist())}
     index.doc_ids = np.array([grouped[known[i]][2] for i in index.doc_ids], np.int64)
     del grouped, known, sparse
+    shared.release_memory()  # the driver has a JVM beside it
     model = Model(terms, index, prior, (empty[1] + prior) / (sum(empty[:2]) + 1), 1.0, 0.0)
     model.slope, model.offset = _calibrate(model, made, row_of)
     shared.drop_paths(docs.sparkSession, rows_path, counts_path, made_path)
@@ -574,6 +575,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
     model = fit(docs, labels)
     shipped, curve = model.shipped, (model.slope, model.offset)
+    del model  # the workers have it
+    shared.release_memory()
 
     def make():
         own = replace(shipped.value, slope=curve[0], offset=curve[1])

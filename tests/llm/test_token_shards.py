@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -28,6 +29,18 @@ def test_outliers_go_to_exceptions():
     assert shard.widths.tolist() == [4] and shard.counts.tolist() == [1]
 
 
+def test_packing_takes_little_memory():
+    ids = np.minimum(np.random.default_rng(0).zipf(1.3, 1_000_000), 50_000).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        data = encode_shard(ids, [1], np.array([0]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * ids.nbytes
+    assert (Shard(data).ids(0, len(ids)) == ids).all()
+
+
 def test_not_a_shard():
     with pytest.raises(ValueError):
         Shard(b"x" * 100)
