@@ -20,7 +20,7 @@ from sparkloom.lineage import shared_dir
 #: The white space of all word contracts: bytes 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Size of the batches that go to Python.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -50,6 +50,18 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving freed memory back when a task ends."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return released
+
+
 def drop_paths(spark: SparkSession, *paths: str) -> None:
     """Delete staged tables that no later plan reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -88,7 +100,5 @@ def rows_where(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[boo
         passes = make()
         for batch in batches:
             yield batch.filter(pa.array(passes(batch.column(place)), pa.bool_()))
-        del passes
-        release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

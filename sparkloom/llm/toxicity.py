@@ -117,7 +117,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    parts = rows.select("doc_id", "text", "toxic").mapInArrow(run, "term string, toxic long, clean long")
+    parts = rows.select("doc_id", "text", "toxic").mapInArrow(shared.releasing(run), "term string, toxic long, clean long")
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -299,7 +299,7 @@ def document_counts(docs: DataFrame, terms: Terms, shipped: Broadcast) -> tuple[
         places = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([*places, len(own)], pa.int64()), pa.array([*seen[places], n], pa.int64())], ["place", "n"])
 
-    parts = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    parts = docs.select("text").mapInArrow(shared.releasing(run), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(len(terms) + 1, np.int64)
     seen[parts.column(0).to_numpy()] = parts.column(1).to_numpy()
     return seen[:-1], int(seen[-1])
@@ -324,9 +324,13 @@ class Index:
         return small, self.votes, self.doc_ids
 
     def __setstate__(self, state: tuple) -> None:
-        small, votes, doc_ids = state
-        sizes, rows, weights = (np.frombuffer(zlib.decompress(x), kind) for x, kind in zip(small, (np.int32, np.uint32, np.float32), strict=True))
-        self.__dict__.update(Index._filled(np.concatenate([[0], np.cumsum(sizes)]), Index._packed(rows, weights), votes, doc_ids).__dict__)
+        (sizes, rows, weights), votes, doc_ids = state
+        cuts = np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(sizes), np.int32))])
+        postings = np.frombuffer(zlib.decompress(rows), np.uint32).astype(np.uint64)
+        np.left_shift(postings, np.uint64(32), out=postings)
+        postings |= np.frombuffer(zlib.decompress(weights), np.uint32)
+        self.__dict__.update(Index._filled(cuts, postings, votes, doc_ids).__dict__)
+        shared.release_memory()  # unpacking takes as much again
 
     @staticmethod
     def _packed(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -476,7 +480,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
             keys = [np.stack(x[:2]).astype(np.int32).tobytes() for at in range(0, batch.num_rows, QUERIES) for x in vectorize.counts(batch.column(1)[at : at + QUERIES].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(2)], ["doc_id", "vector", "toxic"])
 
-    made, made_path = shared.staged(rows.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, vector binary, toxic int"), "toxic-vectors")
+    made, made_path = shared.staged(rows.select("doc_id", "text", "toxic").mapInArrow(shared.releasing(vectors), "doc_id long, vector binary, toxic int"), "toxic-vectors")
     shipped.destroy()
     grouped: dict[bytes, list[int]] = {}
     for r in made.toLocalIterator():  # no more rows than examples
@@ -528,7 +532,7 @@ def _calibrate(model: Model, made: DataFrame, row_of: dict[bytes, int]) -> tuple
 
     # no more rows than examples; the shuffle deals them to all tasks
     spread = made.where(F.length("vector") > 0).select("vector", "toxic").repartition(shared.partitions(made.sparkSession))
-    left_out = spread.mapInArrow(run, "x double, y double").toArrow()
+    left_out = spread.mapInArrow(shared.releasing(run), "x double, y double").toArrow()
     places_of.destroy()
     x, y = (left_out.column(i).to_numpy() for i in (0, 1))
     order = np.lexsort((y, x))
@@ -562,7 +566,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "evidence"])
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, evidence array<struct<doc_id:long,cosine:double,toxic_share:double>>")
+    out = rows.mapInArrow(shared.releasing(run), "doc_id long, held_out boolean, score double, evidence array<struct<doc_id:long,cosine:double,toxic_share:double>>")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 

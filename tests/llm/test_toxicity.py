@@ -1,10 +1,11 @@
+import pickle
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from sparkloom.llm import toxicity
+from sparkloom.llm import shared, toxicity
 from sparkloom.llm.toxicity import Index
 from tests.llm import helpers
 
@@ -128,3 +129,13 @@ def test_places_survive_forgetting(monkeypatch):
         fresh = toxicity.Vectorizer(terms)([text])[0]
         kept = vectorize([text, "w1 w13"])[0]
         assert (kept[0] == fresh[0]).all() and np.allclose(kept[1], fresh[1])
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """A worker keeps what it has freed while its next stage runs beside the JVM, unless each task gives it back."""
+    given = []
+    monkeypatch.setattr(shared, "release_memory", lambda: given.append(1))
+    assert [*shared.releasing(lambda batches: (x + 1 for x in batches))(iter([1, 2]))] == [2, 3] and given == [1]
+    index = Index.build(2, [(np.array([0]), np.ones(1))], np.ones((1, 2)), np.arange(1))
+    pickle.loads(pickle.dumps(index))
+    assert given == [1, 1]
