@@ -263,8 +263,10 @@ class Vectorizer:
         rest = damped(unseen) * self.terms.unseen
         return weights / math.sqrt(weights @ weights + rest @ rest) if len(places) else weights
 
-    def __call__(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text, sorted places and weights; both empty without words of an example."""
+    def __call__(self, texts: str | Iterable[str | None] | None) -> tuple[np.ndarray, np.ndarray] | list[tuple[np.ndarray, np.ndarray]]:
+        """For each text, sorted places and weights; both empty without words of an example. Of one text alone, its own."""
+        if texts is None or isinstance(texts, str):
+            return self([texts])[0]
         return [(places, self.weights(places, counts, unseen)) for places, counts, unseen in self.counts(texts)]
 
 
@@ -363,6 +365,21 @@ class Index:
         cuts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms)[:n_terms])])
         return cls._filled(cuts, packed[np.argsort(term, kind="stable")], votes[order], doc_ids[order])
 
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """(terms, 2): where the postings of each term start and end."""
+        return np.stack([self.cuts[:-1], self.cuts[1:]], axis=1)
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """The row of each posting."""
+        return (self.postings >> np.uint64(32)).astype(np.int64)
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        """The weight of each posting."""
+        return self.postings.astype(np.uint32).view(np.float32)
+
     @cached_property
     def listed(self) -> list[list[float]]:
         return self.votes.tolist()

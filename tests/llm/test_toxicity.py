@@ -131,6 +131,26 @@ def test_places_survive_forgetting(monkeypatch):
         assert (kept[0] == fresh[0]).all() and np.allclose(kept[1], fresh[1])
 
 
+def test_an_index_has_its_postings_by_term_and_ships_whole():
+    rng = np.random.default_rng(5)
+    dense = np.where(rng.random((90, 30)) < 0.2, rng.random((90, 30)).astype(np.float32), 0)
+    dense[:, 0] = 1
+    index = Index.build(30, [(np.flatnonzero(v), v[v > 0]) for v in dense], np.ones((90, 2)), np.arange(90))
+    again = pickle.loads(pickle.dumps(index))
+    for own in (index, again):
+        got = np.zeros_like(dense)
+        for t, (start, end) in enumerate(own.starts):
+            got[own.doc_ids[own.rows[start:end]], t] = own.weights[start:end]
+        assert (got == dense).all()
+    assert (again.postings == index.postings).all() and (again.dense == index.dense).all() and (again.most == index.most).all()
+
+
+def test_one_text_alone():
+    vectorize = toxicity.Vectorizer(toxicity.Terms(np.sort(np.array([toxicity.word_key(b"a"), toxicity.word_key(b"b")], np.uint64)), [], np.ones(2)))
+    for text in ("a b a c", "", None):
+        assert all((x == y).all() for x, y in zip(vectorize(text), vectorize([text])[0], strict=True))
+
+
 def test_tasks_give_memory_back(monkeypatch):
     """A worker keeps what it has freed while its next stage runs beside the JVM, unless each task gives it back."""
     given = []
